@@ -47,13 +47,19 @@ def qrels_dedupe(qrels: DataFrame, order_cols=("file", "pos")) -> DataFrame:
 
 def ideal(qrels: DataFrame, k: int = 10) -> DataFrame:
     """H2 + recall denominator, per judged query: ideal DCG over the k best
-    grades of all judged docs, and the number of docs with grade > 0."""
+    grades of all judged docs, and the number of docs with grade > 0.
+
+    ``row_number() <= k`` is planned as a partial WindowGroupLimit before the
+    shuffle, so even a query holding a large share of all judgements sends
+    only k rows per map task; the count is a partial aggregate.
+    """
     w = Window.partitionBy(*QKEYS).orderBy(F.col("score").desc())
-    ranked = qrels.withColumn("irank", F.row_number().over(w))
-    return (ranked.groupBy(*QKEYS)
-            .agg(F.sum(F.when(F.col("irank") <= k, gain(F.col("score")) / discount(F.col("irank")))
-                       .otherwise(F.lit(0.0))).alias("idcg"),
-                 F.count_if(F.col("score") > 0).alias("rel_total")))
+    top = (qrels.select(*QKEYS, "score").withColumn("irank", F.row_number().over(w))
+           .where(F.col("irank") <= k)
+           .groupBy(*QKEYS)
+           .agg(F.sum(gain(F.col("score")) / discount(F.col("irank"))).alias("idcg")))
+    cnt = qrels.groupBy(*QKEYS).agg(F.count_if(F.col("score") > 0).alias("rel_total"))
+    return top.join(cnt, on=QKEYS, how="inner")
 
 
 def per_query(run: DataFrame, qrels: DataFrame, k: int = 10, *,

@@ -87,3 +87,145 @@ def q_sweep_per_event(spark, sf_dir):
 @register("sweep_per_task", _SWEEP + O.PER_TASK_SELECT)
 def q_sweep_per_task(spark, sf_dir):
     return judge.per_task(_sweep_perq(spark, sf_dir))
+
+
+# ---- text path: corpus, prefixes, hashed vectors, text top-k, judgements -----
+
+from ..functions.text import task_prefix  # noqa: E402
+from ..operators import corpus as C  # noqa: E402
+from ..operators import embed as EM  # noqa: E402
+
+
+def corpus_txt(spark, sf_dir):
+    return C.title_text_corpus(V.corpus_txt(spark, sf_dir), ["title", "_id"])
+
+
+def q_txt_prefixed(spark, sf_dir):
+    q = V.q_txt(spark, sf_dir)
+    return q.select(F.col("_id").alias("qid"), F.lit("QA").alias("task"),
+                    task_prefix(F.col("text"), F.lit("QA")).alias("query"))
+
+
+@register("corpus_txt", O.with_(O.CORPUS_TXT) + "SELECT idx, did, passage FROM corpus_txt")
+def q_corpus_txt(spark, sf_dir):
+    return corpus_txt(spark, sf_dir)
+
+
+@register("duplicate_report", O.with_(O.CORPUS_TXT) + """SELECT md5(passage) AS passage_md5,
+  CAST(count(*) AS BIGINT) AS copies, min(idx) AS first_idx, max(idx) AS last_idx
+FROM corpus_txt GROUP BY md5(passage) HAVING count(*) > 1""")
+def q_duplicate_report(spark, sf_dir):
+    return C.duplicate_report(corpus_txt(spark, sf_dir))
+
+
+@register("query_prefix", O.with_(O.Q_TXT) + "SELECT qid, task, query FROM q_txt")
+def q_query_prefix(spark, sf_dir):
+    return q_txt_prefixed(spark, sf_dir)
+
+
+@register("hash_features", O.with_(O.CORPUS_TXT, O.hash_feat_cte("dfeat", "corpus_txt", "idx", "passage"))
+          + "SELECT id, bucket, value FROM dfeat")
+def q_hash_features(spark, sf_dir):
+    return EM.hash_features(corpus_txt(spark, sf_dir), "idx", "passage", 64)
+
+
+def text_topk(spark, sf_dir, k: int = 10):
+    corpus = corpus_txt(spark, sf_dir)
+    dv = EM.hash_encode(corpus, "idx", "passage", 64)
+    qv = EM.hash_encode(q_txt_prefixed(spark, sf_dir), "qid", "query", 64)
+    hits = exact_topk(qv, dv, k, qid="qid", did="idx", vec="embedding")
+    return (hits.join(corpus.select(F.col("idx").alias("did"), F.col("did").alias("doc_id")), "did")
+            .select("qid", "rank", F.col("did").alias("idx"), F.col("doc_id").alias("did"), "score"))
+
+
+@register("text_topk", O.with_(O.TEXT_TOPK) + "SELECT qid, rank, idx, did, score FROM text_topk")
+def q_text_topk(spark, sf_dir):
+    return text_topk(spark, sf_dir)
+
+
+def qrels_txt(spark, sf_dir):
+    return V.qrels_txt(spark, sf_dir).select(
+        "task", "event", F.col("qkey").cast("string").alias("qkey"),
+        F.col("dkey").cast("string").alias("dkey"), "score")
+
+
+@register("qrels_txt", O.with_(O.QRELS_TXT) + "SELECT task, event, qkey, dkey, score FROM qrels_txt")
+def q_qrels_txt(spark, sf_dir):
+    return qrels_txt(spark, sf_dir)
+
+
+def run_txt(spark, sf_dir):
+    t = text_topk(spark, sf_dir)
+    return t.select(F.lit("hash64").alias("model"), F.lit("QA").alias("task"), F.lit("txt").alias("event"),
+                    F.col("qid").alias("qrow"), F.col("qid").cast("string").alias("qkey"), "rank",
+                    F.col("did").alias("dkey"), "score")
+
+
+_TXT_METRICS = O.with_(O.TEXT_TOPK, O.QRELS_TXT, O.RUN_TXT, O.metrics_ctes("run_txt", "qrels_txt"))
+
+
+@register("text_metrics_per_event", _TXT_METRICS + O.PER_EVENT_SELECT)
+def q_text_metrics_per_event(spark, sf_dir):
+    pq = judge.per_query(run_txt(spark, sf_dir), qrels_txt(spark, sf_dir), 10)
+    return judge.per_event(pq)
+
+
+@register("text_retrieval_stats", _TXT_METRICS + O.STATS_SELECT)
+def q_text_retrieval_stats(spark, sf_dir):
+    pq = judge.per_query(run_txt(spark, sf_dir), qrels_txt(spark, sf_dir), 10)
+    return judge.retrieval_stats(pq)
+
+
+# ---- E3-E6: normalisation and pooling over token states -----------------------
+
+def token_states(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.floor(F.col("vec_id") / 8).cast("long").alias("text_id"),
+                    (F.col("vec_id") % 8).cast("int").alias("pos"),
+                    F.when((F.col("vec_id") % 8) > 5, 0).otherwise(1).alias("mask"),
+                    F.col("embedding").alias("state"))
+
+
+_STATES = """states AS (SELECT vec_id // 8 AS text_id, CAST(vec_id % 8 AS INTEGER) AS pos,
+  CASE WHEN vec_id % 8 > 5 THEN 0 ELSE 1 END AS mask, embedding AS state FROM embeddings)"""
+
+
+def _long_form(df, vec="pooled"):
+    return df.select("text_id", F.posexplode(vec).alias("dim", "v")).select(
+        "text_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+_LONG = """SELECT text_id, CAST(d.dim - 1 AS BIGINT) AS dim, round(CAST(pooled[d.dim] AS DOUBLE), 6) AS value
+FROM pooled, (SELECT unnest(range(1, 65)) AS dim) d WHERE d.dim <= len(pooled)"""
+
+
+@register("pool_cls", O.with_(_STATES, "pooled_src AS (SELECT text_id, arg_min(state, pos) AS pooled FROM states GROUP BY text_id)")
+          .replace("pooled_src", "pooled") + _LONG)
+def q_pool_cls(spark, sf_dir):
+    return _long_form(EM.pool_cls(token_states(spark, sf_dir)))
+
+
+@register("pool_last", O.with_(_STATES, "pooled AS (SELECT text_id, arg_max(state, pos) AS pooled FROM states WHERE mask = 1 GROUP BY text_id)") + _LONG)
+def q_pool_last(spark, sf_dir):
+    return _long_form(EM.pool_last(token_states(spark, sf_dir)))
+
+
+@register("pool_mean", O.with_(_STATES) + """SELECT text_id, CAST(d.dim - 1 AS BIGINT) AS dim,
+  round(avg(CAST(state[d.dim] AS DOUBLE)), 6) AS value
+FROM states, (SELECT unnest(range(1, 65)) AS dim) d WHERE mask = 1 AND d.dim <= len(state)
+GROUP BY text_id, d.dim""")
+def q_pool_mean(spark, sf_dir):
+    p = EM.pool_mean(token_states(spark, sf_dir))
+    return p.select("text_id", F.col("dim").cast("long"), F.round("value", 6).alias("value"))
+
+
+@register("l2_normalize", O.with_(O.CORPUS_TXT, O.hash_feat_cte("dfeat", "corpus_txt", "idx", "passage"))
+          + """SELECT f.id, f.bucket, round(f.value / n.norm, 6) AS value
+FROM dfeat f JOIN (SELECT id, sqrt(sum(value * value)) AS norm FROM dfeat GROUP BY id) n USING (id)
+WHERE n.norm > 0""")
+def q_l2_normalize(spark, sf_dir):
+    v = EM.hash_encode(corpus_txt(spark, sf_dir), "idx", "passage", 64)
+    raw = EM.hash_features(corpus_txt(spark, sf_dir), "idx", "passage", 64)
+    long = v.select(F.col("idx").alias("id"), F.posexplode("embedding").alias("bucket", "value"))
+    return (long.join(raw.select("id", "bucket"), ["id", "bucket"], "left_semi")
+            .select("id", F.col("bucket").cast("long"), F.round("value", 6).alias("value")))

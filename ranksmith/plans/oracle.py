@@ -133,3 +133,69 @@ FROM perq GROUP BY model"""
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# ---- text path ----------------------------------------------------------------
+
+STRIP_RE = r"^[\s\p{Z}\x0B\x1C-\x1F\x85]+|[\s\p{Z}\x0B\x1C-\x1F\x85]+$"
+
+
+def strip_sql(e: str) -> str:
+    return f"regexp_replace({e}, '{STRIP_RE}', '', 'g')"
+
+
+CORPUS_TXT = f"""corpus_txt AS (
+  SELECT CAST(row_number() OVER (ORDER BY title, _id) - 1 AS BIGINT) AS idx,
+         CAST(_id AS VARCHAR) AS did, passage
+  FROM (SELECT doc_id AS _id, source AS title,
+               {strip_sql(f"concat_ws(chr(10), nullif({strip_sql('source')}, ''), nullif({strip_sql('text')}, ''))")} AS passage
+        FROM documents)
+  WHERE length(passage) > 0)"""
+
+Q_TXT = f"""q_txt AS (
+  SELECT item_id AS qid, 'QA' AS task,
+         'Given the question, retrieve most relevant passage that best answers the question: '
+           || {strip_sql('text')} AS query
+  FROM benchmark)"""
+
+
+def hash_feat_cte(name: str, src: str, id_col: str, text_col: str, dim: int = 64) -> str:
+    return f"""{name} AS (
+  SELECT id, bucket, sum(sgn) AS value FROM (
+    SELECT id, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % {dim} AS bucket,
+           CAST(CASE WHEN CAST(('0x' || substr(md5(tok), 9, 1)) AS INTEGER) < 8 THEN 1 ELSE -1 END AS DOUBLE) AS sgn
+    FROM (SELECT {id_col} AS id, unnest(string_split_regex(lower({text_col}), '[^\\p{{L}}\\p{{N}}]+')) AS tok
+          FROM {src})
+    WHERE length(tok) > 0)
+  GROUP BY id, bucket)"""
+
+
+TEXT_TOPK = ",\n".join([
+    CORPUS_TXT, Q_TXT,
+    hash_feat_cte("dfeat", "corpus_txt", "idx", "passage"),
+    hash_feat_cte("qfeat", "q_txt", "qid", "query"),
+    """dnorm AS (SELECT id, sqrt(sum(value * value)) AS norm FROM dfeat GROUP BY id)""",
+    """qnorm AS (SELECT id, sqrt(sum(value * value)) AS norm FROM qfeat GROUP BY id)""",
+    """tscore AS (
+  SELECT q.id AS qid, d.id AS idx, round(sum(q.value * d.value) / (qn.norm * dn.norm), 6) AS score
+  FROM qfeat q JOIN dfeat d ON q.bucket = d.bucket
+       JOIN qnorm qn ON qn.id = q.id JOIN dnorm dn ON dn.id = d.id
+  WHERE qn.norm > 0 AND dn.norm > 0
+  GROUP BY q.id, d.id, qn.norm, dn.norm)""",
+    """text_topk AS (
+  SELECT t.qid, CAST(row_number() OVER (PARTITION BY t.qid ORDER BY t.score DESC, t.idx ASC) AS BIGINT) AS rank,
+         t.idx, c.did, t.score
+  FROM tscore t JOIN corpus_txt c ON c.idx = t.idx
+  QUALIFY rank <= 10)""",
+])
+
+QRELS_TXT = """qrels_txt AS (
+  SELECT 'QA' AS task, 'txt' AS event, CAST(b.item_id AS VARCHAR) AS qkey, CAST(d.doc_id AS VARCHAR) AS dkey,
+         CAST(1 + coalesce(l.quality, 0) AS DOUBLE) AS score
+  FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+  LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id)"""
+
+RUN_TXT = """run_txt AS (
+  SELECT 'hash64' AS model, 'QA' AS task, 'txt' AS event, qid AS qrow, CAST(qid AS VARCHAR) AS qkey,
+         rank, did AS dkey, score
+  FROM text_topk)"""
