@@ -229,3 +229,48 @@ def q_l2_normalize(spark, sf_dir):
     long = v.select(F.col("idx").alias("id"), F.posexplode("embedding").alias("bucket", "value"))
     return (long.join(raw.select("id", "bucket"), ["id", "bucket"], "left_semi")
             .select("id", F.col("bucket").cast("long"), F.round("value", 6).alias("value")))
+
+
+# ---- I: training pairs, groups, batch plan ---------------------------------------
+
+from ..operators import train_data as T  # noqa: E402
+
+
+def train_pairs_long(df):
+    def side(kind, texts, scores):
+        z = df.select("row_id", "dataset_id", "query", F.lit(kind).alias("kind"),
+                      F.posexplode(F.arrays_zip(texts, scores)).alias("j", "z"))
+        return z.select("row_id", "dataset_id", "query", "kind", F.col("j").cast("long").alias("j"),
+                        F.col(f"z.{texts}").alias("text"), F.col(f"z.{scores}").alias("score"))
+    return side("pos", "pos", "pos_scores").unionByName(side("neg", "neg", "neg_scores"))
+
+
+@register("train_pairs", O.with_(O.TRAIN_PAIRS) + "SELECT row_id, dataset_id, query, kind, j, text, score FROM pairs_long")
+def q_train_pairs(spark, sf_dir):
+    return train_pairs_long(V.train_pairs(spark, sf_dir))
+
+
+def train_groups(spark, sf_dir):
+    return T.build_groups(V.train_pairs(spark, sf_dir), seed=O.SEED, epoch=O.EPOCH, group=O.GROUP,
+                          query_instruction=O.QA_INS, query_format="{}: {}", shuffle_ratio=O.RATIO)
+
+
+@register("train_groups", O.with_(O.TRAIN_GROUPS) + "SELECT row_id, dataset_id, query, j, text, teacher FROM groups_long")
+def q_train_groups(spark, sf_dir):
+    g = train_groups(spark, sf_dir)
+    return g.select("row_id", "dataset_id", "query",
+                    F.posexplode(F.arrays_zip("passages", "teacher")).alias("j", "z")).select(
+        "row_id", "dataset_id", "query", F.col("j").cast("long").alias("j"),
+        F.col("z.passages").alias("text"), F.col("z.teacher").alias("teacher"))
+
+
+def batch_plan(spark, sf_dir, world: int = 2, default_bs: int = 16):
+    pairs = V.train_pairs(spark, sf_dir)
+    sizes = pairs.select("dataset_id").distinct().withColumn("batch_size", F.lit(default_bs))
+    return T.plan_batches(pairs, sizes, seed=O.SEED, epoch=O.EPOCH, world=world)
+
+
+@register("batch_plan", O.with_(O.BATCH_PLAN) + "SELECT epoch, dataset_id, batch_no, rank, slot, row_id FROM plan")
+def q_batch_plan(spark, sf_dir):
+    p = batch_plan(spark, sf_dir)
+    return p.select("epoch", "dataset_id", "batch_no", "rank", "slot", "row_id")

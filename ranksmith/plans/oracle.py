@@ -199,3 +199,81 @@ RUN_TXT = """run_txt AS (
   SELECT 'hash64' AS model, 'QA' AS task, 'txt' AS event, qid AS qrow, CAST(qid AS VARCHAR) AS qkey,
          rank, did AS dkey, score
   FROM text_topk)"""
+
+
+# ---- training pairs, groups and batch plan ----------------------------------------
+
+
+def _u(*a):
+    return u01_sql(*a)
+
+
+TRAIN_PAIRS = f"""u_ AS (SELECT * FROM conversations WHERE role = 'user'),
+a_ AS (SELECT * FROM conversations WHERE role = 'assistant'),
+qs AS (SELECT u.conv_id, u.turn, u.text AS query, a.text AS pos_text
+       FROM u_ u JOIN a_ a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1),
+cand AS (SELECT conv_id AS c_conv, turn AS c_turn, text AS c_text, {_u("'cand'", 'conv_id', 'turn')} AS h FROM a_),
+ring AS (SELECT *, row_number() OVER (ORDER BY h, c_conv, c_turn) - 1 AS cpos FROM cand),
+sz AS (SELECT (SELECT max(k) FROM (SELECT count(*) AS k FROM cand GROUP BY c_conv)) AS m,
+              (SELECT count(*) FROM cand) AS n),
+probes AS (
+  SELECT q.*, 1 + q.conv_id % 12 AS n_neg, o,
+         (CAST(floor({_u("'start'", 'q.conv_id', 'q.turn')} * sz.n) AS BIGINT) + o) % sz.n AS cpos
+  FROM qs q CROSS JOIN sz, unnest(range(0, 1 + q.conv_id % 12 + sz.m)) t(o)),
+hit AS (SELECT p.*, r.c_conv, r.c_turn, r.c_text FROM probes p JOIN ring r ON r.cpos = p.cpos
+        WHERE r.c_conv <> p.conv_id),
+hit1 AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY conv_id, turn, cpos ORDER BY o) = 1),
+hit2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY o) AS k FROM hit1 QUALIFY k <= n_neg),
+pairs_long AS (
+  SELECT conv_id * 1000 + turn AS row_id, conv_id % 5 AS dataset_id, query, 'pos' AS kind,
+         CAST(0 AS BIGINT) AS j, pos_text AS text, {_u("'pos'", 'conv_id', 'turn')} AS score FROM qs
+  UNION ALL
+  SELECT conv_id * 1000 + turn, conv_id % 5, query, 'neg', CAST(k - 1 AS BIGINT), c_text,
+         {_u("'neg'", 'conv_id', 'turn', 'c_conv', 'c_turn')} FROM hit2)"""
+
+SEED, EPOCH, GROUP, RATIO = 7, 0, 8, 0.3
+QA_INS = "Given the question, retrieve most relevant passage that best answers the question"
+
+TRAIN_GROUPS = TRAIN_PAIRS + f""",
+rows_ AS (SELECT row_id, dataset_id, any_value(query) AS query,
+                 list(text ORDER BY j) FILTER (WHERE kind = 'pos') AS pos,
+                 list(text ORDER BY j) FILTER (WHERE kind = 'neg') AS neg,
+                 list(score ORDER BY j) FILTER (WHERE kind = 'pos') AS pos_scores,
+                 list(score ORDER BY j) FILTER (WHERE kind = 'neg') AS neg_scores
+          FROM pairs_long GROUP BY row_id, dataset_id),
+negpick AS (
+  SELECT row_id, jj, k AS slot FROM (
+    SELECT row_id, jj, row_number() OVER (PARTITION BY row_id ORDER BY u, jj) AS k FROM (
+      SELECT r.row_id, t.jj % len(r.neg) AS jj, {_u(str(SEED), str(EPOCH), 'r.row_id', "'neg'", 't.jj')} AS u
+      FROM rows_ r, unnest(range(0, CAST(ceil({GROUP - 1} / len(r.neg)) AS BIGINT) * len(r.neg))) t(jj)
+      WHERE len(r.neg) > 0))
+  WHERE k <= {GROUP - 1}),
+posp AS (
+  SELECT r.*, CAST(floor({_u(str(SEED), str(EPOCH), 'r.row_id', "'pos'")} * len(r.pos)) AS BIGINT) AS pi FROM rows_ r),
+pos_txt AS (
+  SELECT p.row_id, p.pi, p.pos[p.pi + 1] AS t, length(p.pos[p.pi + 1]) AS n,
+         CAST(floor(length(p.pos[p.pi + 1]) / 3) AS BIGINT) + 1 AS sz FROM posp p),
+pos_shuf AS (
+  SELECT row_id, CASE WHEN n > 100 AND {_u(str(SEED), str(EPOCH), 'row_id', "'shuffle'")} < {RATIO}
+         THEN array_to_string(list_transform(list_sort(list_transform(range(0, CAST(ceil(n / sz) AS BIGINT)),
+                lambda i: struct_pack(u := {_u(str(SEED), str(EPOCH), 'row_id', "'chunk'", 'i')}, i := i,
+                                      s := substring(t, CAST(i * sz + 1 AS BIGINT), sz)))), lambda x: x.s), ' ')
+         ELSE t END AS text FROM pos_txt),
+groups_long AS (
+  SELECT p.row_id, p.dataset_id, '{QA_INS}' || ': ' || p.query AS query, CAST(0 AS BIGINT) AS j,
+         s.text, p.pos_scores[p.pi + 1] AS teacher
+  FROM posp p JOIN pos_shuf s USING (row_id)
+  UNION ALL
+  SELECT r.row_id, r.dataset_id, '{QA_INS}' || ': ' || r.query, CAST(n.slot AS BIGINT), r.neg[n.jj + 1],
+         r.neg_scores[n.jj + 1]
+  FROM rows_ r JOIN negpick n USING (row_id))"""
+
+BATCH_PLAN = TRAIN_PAIRS + f""",
+rows_ AS (SELECT DISTINCT row_id, dataset_id FROM pairs_long),
+ranked AS (SELECT row_id, dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY
+             {_u(str(SEED), str(EPOCH), "'row'", 'row_id')}, row_id) - 1 AS rnk,
+             count(*) OVER (PARTITION BY dataset_id) AS n FROM rows_),
+plan AS (
+  SELECT CAST({EPOCH} AS INTEGER) AS epoch, dataset_id, CAST(rnk // (16 * 2) AS BIGINT) AS batch_no,
+         CAST((rnk % (16 * 2)) // 16 AS INTEGER) AS rank, CAST(rnk % 16 AS INTEGER) AS slot, row_id
+  FROM ranked WHERE rnk // (16 * 2) < n // (16 * 2))"""

@@ -132,3 +132,55 @@ def sts_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("text_1"), "text_2",
         F.when(((F.col("conv_id") * 8 + F.col("turn")) % 17) == 0, F.lit("n/a"))
         .otherwise(F.format_string("%.3f", F.lit(5.0) * u)).alias("label"))
+
+
+def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V9: contrastive training rows from conversations.
+
+    Query = a user turn whose next turn is an assistant turn (the positive).
+    Negatives: assistant turns of other conversations, ``1 + conv_id % 12`` of
+    them. All assistant turns are placed on a ring in md5 order; a query
+    starts at an md5-chosen ring position and takes the next turns that are
+    not from its own conversation. This is an equi-join on ring positions
+    (unique keys, no hot key), with ``n + M`` probes per query where M is the
+    largest number of assistant turns in one conversation.
+    """
+    from ..operators.corpus import ordered_index
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    u_ = c.where(F.col("role") == "user").alias("u")
+    a_ = c.where(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("aturn"), F.col("text").alias("pos_text"))
+    qs = (u_.join(a_, (F.col("u.conv_id") == a_.conv_id) & (F.col("aturn") == F.col("u.turn") + 1))
+          .select(F.col("u.conv_id").alias("conv_id"), F.col("u.turn").alias("turn"),
+                  F.col("u.text").alias("query"), "pos_text"))
+    cand = (c.where(F.col("role") == "assistant")
+            .select(F.col("conv_id").alias("c_conv"), F.col("turn").alias("c_turn"), F.col("text").alias("c_text"),
+                    u01(F.lit("cand"), F.col("conv_id"), F.col("turn")).alias("h")))
+    ring = ordered_index(cand, ["h", "c_conv", "c_turn"], idx="cpos")
+    sizes = (cand.groupBy("c_conv").agg(F.count(F.lit(1)).alias("k"))
+             .agg(F.max("k").alias("M"))
+             .crossJoin(cand.agg(F.count(F.lit(1)).alias("N"))))
+    n_neg = (F.lit(1) + F.col("conv_id") % 12).cast("int")
+    probes = (qs.crossJoin(F.broadcast(sizes))  # one row
+              .withColumn("n_neg", n_neg)
+              .withColumn("start", F.floor(u01(F.lit("start"), F.col("conv_id"), F.col("turn")) * F.col("N")).cast("long"))
+              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_neg") + F.col("M") - 1)))
+              .withColumn("cpos", (F.col("start") + F.col("o")) % F.col("N")))
+    hit = (probes.join(ring.select("cpos", "c_conv", "c_turn", "c_text"), "cpos")
+           .where(F.col("c_conv") != F.col("conv_id")))
+    w1 = Window.partitionBy("conv_id", "turn", "cpos").orderBy("o")
+    w2 = Window.partitionBy("conv_id", "turn").orderBy("o")
+    hit = (hit.withColumn("_first", F.row_number().over(w1)).where(F.col("_first") == 1)
+           .withColumn("k", F.row_number().over(w2)).where(F.col("k") <= F.col("n_neg")))
+    negs = (hit.groupBy("conv_id", "turn")
+            .agg(F.sort_array(F.collect_list(F.struct(
+                "k", F.col("c_text").alias("t"),
+                u01(F.lit("neg"), F.col("conv_id"), F.col("turn"), F.col("c_conv"), F.col("c_turn")).alias("s"))))
+                 .alias("nl")))
+    out = qs.join(negs, ["conv_id", "turn"], "left")
+    return out.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
+        (F.col("conv_id") % 5).alias("dataset_id"),
+        "query", F.array("pos_text").alias("pos"),
+        F.coalesce(F.transform("nl", lambda x: x["t"]), F.array().cast("array<string>")).alias("neg"),
+        F.array(u01(F.lit("pos"), F.col("conv_id"), F.col("turn"))).alias("pos_scores"),
+        F.coalesce(F.transform("nl", lambda x: x["s"]), F.array().cast("array<double>")).alias("neg_scores"))
