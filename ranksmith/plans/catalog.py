@@ -274,3 +274,36 @@ def batch_plan(spark, sf_dir, world: int = 2, default_bs: int = 16):
 def q_batch_plan(spark, sf_dir):
     p = batch_plan(spark, sf_dir)
     return p.select("epoch", "dataset_id", "batch_no", "rank", "slot", "row_id")
+
+
+# ---- L: loss audit per training group ---------------------------------------------
+
+from ..operators import losses as LS  # noqa: E402
+
+
+def group_scores(spark, sf_dir, temperature: float = O.TEMP):
+    """Own-group scores of every training row: hashed query and passage
+    vectors, dot / T (F2 within a group, L1)."""
+    g = train_groups(spark, sf_dir)
+    texts = (g.select("row_id", F.posexplode(F.arrays_zip("passages", "teacher")).alias("j", "z"))
+             .select("row_id", "j", F.col("z.passages").alias("text"), F.col("z.teacher").alias("teacher")))
+    pv = EM.hash_encode(texts.select((F.col("row_id") * 100 + F.col("j") + 1).alias("tid"), "text"), "tid", "text")
+    qv = EM.hash_encode(g.select((F.col("row_id") * 100).alias("tid"), F.col("query").alias("text")), "tid", "text")
+    t = texts.withColumn("tid", F.col("row_id") * 100 + F.col("j") + 1).join(pv, "tid")
+    q = qv.select((F.col("tid") / 100).cast("long").alias("row_id"), F.col("embedding").alias("q_vec"))
+    from ..operators.search import similarity
+    s = similarity(q, t.withColumnRenamed("embedding", "p_vec"), on=["row_id"], temperature=temperature)
+    scores = s.select(F.col("row_id").alias("batch"), F.lit(0).alias("q_rank"), F.lit(0).alias("q_slot"),
+                      F.lit(0).alias("p_rank"), F.lit(0).alias("p_slot"), "j", "score")
+    teacher = s.select(F.col("row_id").alias("batch"), F.lit(0).alias("rank"), F.lit(0).alias("slot"),
+                       "j", F.col("teacher").alias("t"))
+    return scores, teacher
+
+
+@register("loss_audit", O.with_(O.LOSS_AUDIT) + "SELECT row_id, loss_group, kd_kl FROM audit")
+def q_loss_audit(spark, sf_dir):
+    scores, teacher = group_scores(spark, sf_dir)
+    lg = LS.loss_group(scores).select("batch", F.col("loss").alias("loss_group"))
+    kd = LS.kd_kl(scores, teacher).select("batch", F.col("loss").alias("kd_kl"))
+    return lg.join(kd, "batch").select(F.col("batch").alias("row_id"), F.round("loss_group", 6).alias("loss_group"),
+                                       F.round("kd_kl", 6).alias("kd_kl"))

@@ -277,3 +277,32 @@ plan AS (
   SELECT CAST({EPOCH} AS INTEGER) AS epoch, dataset_id, CAST(rnk // (16 * 2) AS BIGINT) AS batch_no,
          CAST((rnk % (16 * 2)) // 16 AS INTEGER) AS rank, CAST(rnk % 16 AS INTEGER) AS slot, row_id
   FROM ranked WHERE rnk // (16 * 2) < n // (16 * 2))"""
+
+TEMP = 0.05
+
+LOSS_AUDIT = TRAIN_GROUPS + ",\n" + f"""texts AS (
+  SELECT row_id * 100 + j + 1 AS tid, text FROM groups_long
+  UNION ALL SELECT DISTINCT row_id * 100 AS tid, query FROM groups_long),
+""" + hash_feat_cte("tfeat", "texts", "tid", "text") + f""",
+tnorm AS (SELECT id, sqrt(sum(value * value)) AS norm FROM tfeat GROUP BY id),
+dots AS (SELECT q.id AS qid, d.id AS pid, sum(q.value * d.value) AS dot
+         FROM tfeat q JOIN tfeat d ON q.bucket = d.bucket AND d.id // 100 = q.id // 100
+         WHERE q.id % 100 = 0 AND d.id % 100 <> 0 GROUP BY q.id, d.id),
+sc AS (
+  SELECT g.row_id, g.j, g.teacher,
+         CASE WHEN qn.norm > 0 AND dn.norm > 0 THEN coalesce(dots.dot, 0) / (qn.norm * dn.norm) ELSE 0 END
+           / {TEMP} AS score
+  FROM groups_long g
+  LEFT JOIN tnorm qn ON qn.id = g.row_id * 100
+  LEFT JOIN tnorm dn ON dn.id = g.row_id * 100 + g.j + 1
+  LEFT JOIN dots ON dots.qid = g.row_id * 100 AND dots.pid = g.row_id * 100 + g.j + 1),
+agg AS (
+  SELECT row_id, max(score) AS m, max(teacher) AS mt FROM sc GROUP BY row_id),
+lse AS (
+  SELECT s.row_id, a.m + ln(sum(exp(s.score - a.m))) AS lse, sum(exp(s.teacher - a.mt)) AS tz
+  FROM sc s JOIN agg a USING (row_id) GROUP BY s.row_id, a.m),
+audit AS (
+  SELECT s.row_id,
+         round(any_value(l.lse) - max(CASE WHEN s.j = 0 THEN s.score END), 6) AS loss_group,
+         round(-sum(exp(s.teacher - a.mt) / l.tz * (s.score - l.lse)), 6) AS kd_kl
+  FROM sc s JOIN lse l USING (row_id) JOIN agg a USING (row_id) GROUP BY s.row_id)"""
