@@ -307,3 +307,52 @@ def q_loss_audit(spark, sf_dir):
     kd = LS.kd_kl(scores, teacher).select("batch", F.col("loss").alias("kd_kl"))
     return lg.join(kd, "batch").select(F.col("batch").alias("row_id"), F.round("loss_group", 6).alias("loss_group"),
                                        F.round("kd_kl", 6).alias("kd_kl"))
+
+
+# ---- J: pre-training text ---------------------------------------------------------
+
+from ..operators import pretrain as PT  # noqa: E402
+
+
+def indexed_lines(spark, sf_dir):
+    return PT.with_index(V.lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("int"), "line"),
+                         ["doc_id", "line_no"])
+
+
+@register("lines_split", O.with_(O.LINES_SPLIT) + "SELECT doc_id, line_no, idx, split FROM split_")
+def q_lines_split(spark, sf_dir):
+    return PT.percent_split(indexed_lines(spark, sf_dir), 2.0).select("doc_id", "line_no", "idx", "split")
+
+
+def packed(spark, sf_dir):
+    ix = indexed_lines(spark, sf_dir).withColumn("ids", PT.token_ids(PT.tokens("line")))
+    return PT.pack(ix, O.PACK_L, 1000)
+
+
+@register("pack_blocks", O.with_(O.PACKED) + """SELECT batch_no, block_no, CAST(len(ids) AS INTEGER) AS n_ids,
+  md5(array_to_string(ids, ' ')) AS ids_md5 FROM blocks""")
+def q_pack_blocks(spark, sf_dir):
+    b = packed(spark, sf_dir)
+    return b.select("batch_no", "block_no", F.size("ids").alias("n_ids"),
+                    F.md5(F.array_join("ids", " ")).alias("ids_md5"))
+
+
+@register("line_mode", O.with_(O.LINES) + f"""SELECT idx, CAST(len(ids) AS INTEGER) AS n_ids, md5(array_to_string(ids, ' ')) AS ids_md5
+FROM (SELECT idx, list_slice(list_transform(list_filter(string_split_regex(line, '{O.WS_RE}'), lambda t: length(t) > 0),
+        lambda t: CAST((CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 30000) + 10 AS INTEGER)), 1, 32) AS ids
+      FROM lines_ix WHERE length({O.strip_sql('line')}) > 0)""")
+def q_line_mode(spark, sf_dir):
+    lm = PT.line_mode(indexed_lines(spark, sf_dir), 32)
+    return lm.select("idx", F.size("ids").alias("n_ids"), F.md5(F.array_join("ids", " ")).alias("ids_md5"))
+
+
+@register("mask_full", O.with_(O.PACKED) + f"""SELECT batch_no, block_no,
+  CAST(count(*) FILTER (WHERE {O.u01_sql('11', 'batch_no', 'block_no', "'m'", 'pos')} < 0.2) AS BIGINT) AS n_masked,
+  CAST(coalesce(sum(id) FILTER (WHERE {O.u01_sql('11', 'batch_no', 'block_no', "'m'", 'pos')} < 0.2), 0) AS BIGINT) AS label_sum
+FROM (SELECT batch_no, block_no, generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS id FROM blocks)
+GROUP BY batch_no, block_no""")
+def q_mask_full(spark, sf_dir):
+    m = PT.mask_full(packed(spark, sf_dir), 0.2, 11)
+    masked = F.filter("labels", lambda x: x != -100)
+    return m.select("batch_no", "block_no", F.size(masked).cast("long").alias("n_masked"),
+                    F.aggregate(masked, F.lit(0).cast("long"), lambda a, x: a + x).alias("label_sum"))

@@ -306,3 +306,35 @@ audit AS (
          round(any_value(l.lse) - max(CASE WHEN s.j = 0 THEN s.score END), 6) AS loss_group,
          round(-sum(exp(s.teacher - a.mt) / l.tz * (s.score - l.lse)), 6) AS kd_kl
   FROM sc s JOIN lse l USING (row_id) JOIN agg a USING (row_id) GROUP BY s.row_id)"""
+
+
+# ---- pre-training text ----------------------------------------------------------
+
+WS_RE = r"[\s\p{Z}\x0B\x1C-\x1F\x85]+"
+PACK_L = 64
+
+LINES = f"""lines AS (
+  SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS line_no, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+lines_ix AS (SELECT *, CAST(row_number() OVER (ORDER BY doc_id, line_no) - 1 AS BIGINT) AS idx FROM lines)"""
+
+LINES_SPLIT = LINES + """,
+split_ AS (SELECT doc_id, line_no, idx,
+  CASE WHEN idx < floor((SELECT count(*) FROM lines_ix) * 2.0 / 100 + 0.5) THEN 'validation' ELSE 'train' END AS split
+  FROM lines_ix)"""
+
+PACKED = LINES + f""",
+toks AS (
+  SELECT idx, list_transform(list_filter(string_split_regex(line, '{WS_RE}'), lambda t: length(t) > 0),
+           lambda t: CAST((CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 30000) + 10 AS INTEGER)) AS ids
+  FROM lines_ix),
+rows_ AS (
+  SELECT idx, ids, idx // 1000 AS batch_no, len(ids) AS n,
+         coalesce(sum(len(ids)) OVER (PARTITION BY idx // 1000 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+         sum(len(ids)) OVER (PARTITION BY idx // 1000) AS total
+  FROM toks),
+tok AS (
+  SELECT batch_no, total, off + generate_subscripts(ids, 1) - 1 AS p, unnest(ids) AS id FROM rows_ WHERE n > 0),
+blocks AS (
+  SELECT CAST(batch_no AS BIGINT) AS batch_no, CAST(p // {PACK_L} AS BIGINT) AS block_no, list(id ORDER BY p) AS ids
+  FROM tok WHERE p // {PACK_L} < total // {PACK_L} GROUP BY batch_no, p // {PACK_L})"""
