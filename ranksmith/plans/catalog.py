@@ -356,3 +356,69 @@ def q_mask_full(spark, sf_dir):
     masked = F.filter("labels", lambda x: x != -100)
     return m.select("batch_no", "block_no", F.size(masked).cast("long").alias("n_masked"),
                     F.aggregate(masked, F.lit(0).cast("long"), lambda a, x: a + x).alias("label_sum"))
+
+
+# ---- K2-K5: sweep reports -------------------------------------------------------------
+
+from ..operators import reports as R  # noqa: E402
+
+SELECTION = ["checkpoint-10", "checkpoint-20", "checkpoint-30", "checkpoint-40"]
+
+
+@register("sweep_report", _SWEEP + """, sel(model) AS (VALUES ('checkpoint-10'), ('checkpoint-20'), ('checkpoint-30'), ('checkpoint-40')),
+ov AS (""" + O.OVERALL_SELECT + """)
+SELECT sel.model, ov.overall_ndcg, CASE WHEN ov.overall_ndcg IS NULL THEN 'missing' ELSE 'done' END AS status
+FROM sel LEFT JOIN ov USING (model)""")
+def q_sweep_report(spark, sf_dir):
+    sel = spark.createDataFrame([(m,) for m in SELECTION], "model string")
+    return R.sweep_report(sel, judge.overall(_sweep_perq(spark, sf_dir)))
+
+
+_PIVOT_COLS = ", ".join(f"""max(CASE WHEN search_task = '{t}' THEN "NDCG@10" END) AS "{t}\"""" for t in O.TASKS_SQL)
+
+
+@register("leaderboard", _SWEEP + ", " + O.SWEEP_TASK + f"""
+SELECT model, {_PIVOT_COLS}, round(avg("NDCG@10"), 6) AS avg FROM sweep_task GROUP BY model""")
+def q_leaderboard(spark, sf_dir):
+    return R.leaderboard_pivot(judge.per_task(_sweep_perq(spark, sf_dir)), O.TASKS_SQL)
+
+
+@register("rank_in_group", _SWEEP + ", " + O.SWEEP_TASK + """
+SELECT model, search_task, "NDCG@10", CAST(dense_rank() OVER (PARTITION BY search_task ORDER BY "NDCG@10" DESC) AS INTEGER) AS place,
+  CASE dense_rank() OVER (PARTITION BY search_task ORDER BY "NDCG@10" DESC) WHEN 1 THEN 'best' WHEN 2 THEN 'second' END AS mark
+FROM sweep_task""")
+def q_rank_in_group(spark, sf_dir):
+    return R.rank_in_group(judge.per_task(_sweep_perq(spark, sf_dir)))
+
+
+@register("kendall_tau", _SWEEP + ", " + O.SWEEP_TASK + ", " + O.SWEEP_TASK_LIGHT + """,
+j AS (SELECT f.search_task, f.model, l."NDCG@10" AS va, f."NDCG@10" AS vb
+      FROM sweep_light l JOIN sweep_task f USING (search_task, model))
+SELECT x.search_task, round(sum(sign(x.va - y.va) * sign(x.vb - y.vb)) / count(*), 6) AS tau, CAST(count(*) AS BIGINT) AS pairs
+FROM j x JOIN j y ON x.search_task = y.search_task AND x.model < y.model GROUP BY x.search_task""")
+def q_kendall_tau(spark, sf_dir):
+    pq = _sweep_perq(spark, sf_dir)
+    full = judge.per_task(pq)
+    light = (pq.where(F.col("judged") & (F.col("event") == "ev0")).groupBy("model", "task")
+             .agg(F.round(F.avg("ndcg_z"), 6).alias("NDCG@10")).withColumnRenamed("task", "search_task"))
+    return R.kendall_tau(light, full)
+
+
+@register("wilcoxon", _SWEEP + """,
+pr AS (SELECT a.ndcg_z AS a, b.ndcg_z AS b FROM perq a JOIN perq b ON a.qrow = b.qrow
+       WHERE a.model = 'checkpoint-10' AND b.model = 'checkpoint-30' AND a.judged AND b.judged),
+d AS (SELECT a - b AS d, abs(a - b) AS ad FROM pr WHERE a - b <> 0),
+rk AS (SELECT d, ad, row_number() OVER (ORDER BY ad) - 1 AS pos FROM d),
+ar AS (SELECT ad, (min(pos) + max(pos)) / 2 + 1 AS r FROM rk GROUP BY ad),
+s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus FROM rk JOIN ar USING (ad)),
+zz AS (SELECT n, w_plus, CASE WHEN n > 0 THEN (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0) ELSE 0 END AS z FROM s),
+t AS (SELECT *, 1.0 / (1.0 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM zz),
+e AS (SELECT *, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+               * exp(-(abs(z) / sqrt(2)) * (abs(z) / sqrt(2))) AS erfc FROM t)
+SELECT CAST(n AS BIGINT) AS n, round(w_plus, 6) AS w_plus, round(z, 6) AS z,
+       round(CASE WHEN z >= 0 THEN erfc / 2 ELSE 1 - erfc / 2 END, 6) AS p_value FROM e""")
+def q_wilcoxon(spark, sf_dir):
+    pq = _sweep_perq(spark, sf_dir).where(F.col("judged"))
+    a = pq.where(F.col("model") == "checkpoint-10").select("qrow", F.col("ndcg_z").alias("a"))
+    b = pq.where(F.col("model") == "checkpoint-30").select("qrow", F.col("ndcg_z").alias("b"))
+    return R.wilcoxon_one_tailed(a.join(b, "qrow"), "a", "b")

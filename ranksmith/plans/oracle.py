@@ -338,3 +338,17 @@ tok AS (
 blocks AS (
   SELECT CAST(batch_no AS BIGINT) AS batch_no, CAST(p // {PACK_L} AS BIGINT) AS block_no, list(id ORDER BY p) AS ids
   FROM tok WHERE p // {PACK_L} < total // {PACK_L} GROUP BY batch_no, p // {PACK_L})"""
+
+
+# ---- sweep reports --------------------------------------------------------------
+
+TASKS_SQL = ["FactCheck", "NLI", "QA", "QAdoc", "STS", "Twitter"]
+
+SWEEP_TASK = """sweep_task AS (
+  SELECT model, task AS search_task, round(avg(ndcg), 6) AS "NDCG@10"
+  FROM (SELECT model, task, event, avg(ndcg_z) AS ndcg FROM perq WHERE judged GROUP BY ALL)
+  GROUP BY model, task)"""
+
+SWEEP_TASK_LIGHT = """sweep_light AS (
+  SELECT model, task AS search_task, round(avg(ndcg_z), 6) AS "NDCG@10"
+  FROM perq WHERE judged AND event = 'ev0' GROUP BY model, task)"""
