@@ -422,3 +422,25 @@ def q_wilcoxon(spark, sf_dir):
     a = pq.where(F.col("model") == "checkpoint-10").select("qrow", F.col("ndcg_z").alias("a"))
     b = pq.where(F.col("model") == "checkpoint-30").select("qrow", F.col("ndcg_z").alias("b"))
     return R.wilcoxon_one_tailed(a.join(b, "qrow"), "a", "b")
+
+
+# ---- S1: streaming clean over the documents table -------------------------------------
+
+@register("stream_clean", O.with_("""lines AS (
+  SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS line_no, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""") + f"""SELECT doc_id, line_no, CAST(len(ids) AS INTEGER) AS n_ids,
+  md5(array_to_string(ids, ' ')) AS ids_md5
+FROM (SELECT doc_id, line_no, list_slice(list_transform(list_filter(string_split_regex(line, '{O.WS_RE}'), lambda t: length(t) > 0),
+        lambda t: CAST((CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 30000) + 10 AS INTEGER)), 1, 32) AS ids
+      FROM lines WHERE length({O.strip_sql('line')}) > 0)""")
+def q_stream_clean(spark, sf_dir):
+    from ..streaming.streams import clean_lines, run_available
+    import uuid
+    src = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stream = (spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", "documents.parquet").parquet(sf_dir))
+    out = clean_lines(stream, "text", 32, keys=("doc_id",))
+    name = f"stream_clean_{uuid.uuid4().hex[:8]}"
+    run_available(out.select("doc_id", F.col("line_no").cast("int"), F.size("ids").alias("n_ids"),
+                             F.md5(F.array_join("ids", " ")).alias("ids_md5")), name)
+    return spark.table(name)
