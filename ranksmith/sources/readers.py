@@ -109,8 +109,10 @@ def read_json_any(spark: SparkSession, path, schema: StructType | str | None = N
 
 
 def _ddl(schema) -> str:
+    """Type string usable inside ``array<..>`` (field lists become a struct)."""
     if isinstance(schema, str):
-        return schema
+        from pyspark.sql.types import _parse_datatype_string
+        schema = _parse_datatype_string(schema)
     return schema.simpleString()
 
 
