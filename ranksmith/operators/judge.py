@@ -224,3 +224,45 @@ def shift_join(pred: DataFrame, labels: DataFrame, keys=("seq",), pos: str = "po
     """Prediction at position i against label at i + 1."""
     l = labels.withColumn(pos, F.col(pos) - 1)
     return pred.join(l, on=[*keys, pos], how="inner")
+
+
+# ---- suite presets (H8-H11) and task selection (C13) ----------------------------
+
+SUITES = {
+    # suite: (cut_before_filter, stats_uncut, fixed (task, event) or None)
+    "eva": (True, False, None),
+    "trec": (True, False, ("QA", "trec_covid")),
+    "climate": (True, False, ("QA", "climate_fever")),
+    "biosses": (False, True, ("STS", "biosses")),
+}
+
+
+def evaluate_suite(run: DataFrame, qrels: DataFrame, suite: str, k: int = 10) -> dict:
+    """Whole evaluation of one suite: per-query, per-event, per-task,
+    overall and stats frames. Single-file suites always report their
+    (task, event) row (H9, H10) or their task (H11) per model."""
+    cut, uncut, fixed = SUITES[suite]
+    if suite in ("trec", "climate"):
+        # ids are the keys; a blank query id is skipped before it is counted
+        run = run.where(F.length(F.coalesce(F.col("qkey").cast("string"), F.lit(""))) > 0)
+    pq = per_query(run, qrels, k, cut_before_filter=cut, stats_uncut=uncut)
+    models = run.select("model").distinct()
+    exp_ev = exp_task = None
+    if fixed is not None:
+        fx = models.select("model", F.lit(fixed[0]).alias("task"), F.lit(fixed[1]).alias("event"))
+        exp_ev = fx if suite in ("trec", "climate") else None
+        exp_task = fx.select("model", "task")
+    return {"per_query": pq, "per_event": per_event(pq, exp_ev), "per_task": per_task(pq, exp_task),
+            "overall": overall(pq, models), "stats": retrieval_stats(pq)}
+
+
+def select_tasks(df: DataFrame, tasks: list[str] | None, col: str = "task") -> DataFrame:
+    """Keep the requested tasks; an unknown task name is an error.
+    The check reads only the distinct task names (a tiny aggregate)."""
+    if not tasks:
+        return df
+    known = {r[0] for r in df.select(col).distinct().collect()}
+    unknown = sorted(set(tasks) - known)
+    if unknown:
+        raise ValueError(f"unknown tasks: {unknown}; available: {sorted(known)}")
+    return df.where(F.col(col).isin(list(tasks)))

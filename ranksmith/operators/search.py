@@ -152,21 +152,26 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
     q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vec).alias("vec"))
     c = corpus.select(F.col(did).cast("long").alias("did"), F.col(vec).alias("vec"))
 
-    if strategy == "auto":
-        stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-        n_q, dim = int(stats["n"]), int(stats["d"] or 0)
-        strategy = "broadcast" if n_q * max(dim, 1) * 8 <= limit else "grid"
-
-    if strategy == "broadcast":
-        return _final_cut(_broadcast_hits(spark, q, c, k), k)
+    if strategy in ("auto", "broadcast"):
+        # Size check before anything is shipped: the dimension comes from one
+        # row, then at most cap + 1 query rows are fetched; more than cap rows
+        # (over the byte limit) switch to the grid plan.
+        first = q.select(F.size("vec").alias("d")).first()
+        dim = int(first["d"]) if first is not None and first["d"] is not None else 1
+        cap = max(1, limit // (8 * max(dim, 1)))
+        tbl = q.limit(cap + 1).toArrow()
+        if tbl.num_rows <= cap:
+            return _final_cut(_broadcast_hits(spark, tbl, c, k), k)
+        if strategy == "broadcast":
+            raise ValueError(f"query side above the broadcast limit of {limit} bytes")
+        strategy = "grid"
     if strategy == "grid":
         return _final_cut(_grid_hits(q, c, k, block_rows), k)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def _broadcast_hits(spark: SparkSession, q: DataFrame, c: DataFrame, k: int) -> DataFrame:
-    # Size was checked by the caller; this is the bounded side.
-    tbl = q.toArrow()
+def _broadcast_hits(spark: SparkSession, tbl, c: DataFrame, k: int) -> DataFrame:
+    # ``tbl`` is the size-checked query side (Arrow table).
     qids = np.asarray(tbl.column("qid").to_numpy(zero_copy_only=False), dtype=np.int64)
     vecs = tbl.column("vec").to_pylist()
     qmat = np.asarray(vecs, dtype=np.float64) if len(vecs) else np.zeros((0, 0))
