@@ -13,6 +13,7 @@ from .det import u01
 # and \p{Z} leave alone.
 _WS = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
 STRIP_PATTERN = f"^{_WS}+|{_WS}+$"
+LEAD_PATTERN = f"^{_WS}+"
 
 
 def _c(col) -> Column:
@@ -20,8 +21,18 @@ def _c(col) -> Column:
 
 
 def strip(col) -> Column:
-    """Remove Unicode whitespace at both ends (Python ``str.strip``)."""
-    return F.regexp_replace(_c(col), STRIP_PATTERN, "")
+    """Remove Unicode whitespace at both ends (Python ``str.strip``).
+
+    Linear time: a trailing ``[..]+$`` pattern backtracks quadratically over
+    long whitespace runs inside a text, so the trailing side is stripped as
+    the leading side of the reversed string.
+    """
+    c = _c(col)
+    lead = F.regexp_replace(c, LEAD_PATTERN, "")
+    both = F.reverse(F.regexp_replace(F.reverse(lead), LEAD_PATTERN, ""))
+    # most texts have no outer whitespace: test the two edge characters first
+    edge = F.substring(c, 1, 1).rlike(_WS) | F.substring(c, -1, 1).rlike(_WS)
+    return F.when(edge, both).otherwise(c)
 
 
 def drop_blank(col) -> Column:
@@ -38,7 +49,9 @@ def combine_title_text(title, text, sep: str = "\n") -> Column:
     """title + sep + text, title alone or text alone, then stripped."""
     t = F.nullif(strip(F.coalesce(_c(title), F.lit(""))), F.lit(""))
     x = F.nullif(strip(F.coalesce(_c(text), F.lit(""))), F.lit(""))
-    return strip(F.concat_ws(sep, t, x))
+    # both parts are stripped and blank parts are null (skipped by concat_ws),
+    # so the joined text has no outer whitespace
+    return F.concat_ws(sep, t, x)
 
 
 # The six task instructions prefixed to queries. They must be

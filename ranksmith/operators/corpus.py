@@ -2,12 +2,15 @@
 text queries.
 
 Ordered index (D1): position is meaning in the reference's corpora, so rows
-get a dense 0-based ``idx`` in the order of given keys. A window without
-``PARTITION BY`` would pull every row into one task; instead the rows are
-range-partitioned and sorted, frozen with a reliable checkpoint (so partition
-ids and order cannot change between the two uses), counted per partition,
-and each partition's offset (a running sum over at most
-#partitions rows) is broadcast back.
+get a dense 0-based ``idx`` in the order of given (unique) keys. A window
+without ``PARTITION BY`` would pull every row into one task; instead only the
+key columns are range-partitioned and sorted, frozen with a reliable
+checkpoint (so partition ids and row order cannot change between the
+counting and the numbering pass, also when a lost task is recomputed),
+counted per partition, and each partition's offset (a running sum over one
+row per partition) is broadcast back. The numbered keys are joined back to
+the rows once, so the wide columns (texts) are never checkpointed or
+evaluated more than once.
 """
 
 from __future__ import annotations
@@ -19,42 +22,40 @@ from ..functions.text import combine_title_text, drop_blank, id_text, strip
 from ..session import ensure_checkpoint_dir
 
 
-def ordered_index(df: DataFrame, order_cols: list[str], idx: str = "idx",
-                  with_total: bool = False) -> DataFrame:
-    """Add a dense 0-based ``idx`` following ``order_cols`` (a total order)."""
+def ordered_index(df: DataFrame, order_cols: list[str], idx: str = "idx") -> DataFrame:
+    """Add a dense 0-based ``idx`` following ``order_cols`` (unique keys)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    s = (df.orderBy(*order_cols)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    s = s.checkpoint(eager=True)
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    w = Window.orderBy("_pid")
-    offs = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    if with_total:
-        offs = offs.withColumn("_total", F.sum("_n").over(Window.partitionBy(F.lit(0))))
-    # offs has one row per partition: bounded by the partition count
-    out = s.join(F.broadcast(offs), on="_pid", how="inner")
-    out = out.withColumn(idx, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
-    drop = ["_pid", "_mid", "_n", "_m0", "_off"]
-    return out.drop(*drop)
+    keys = (df.select(*order_cols).orderBy(*order_cols)
+            .withColumn("_pid", F.spark_partition_id())
+            .withColumn("_mid", F.monotonically_increasing_id()))
+    keys = keys.checkpoint(eager=True)
+    counts = keys.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition: bounded by the partition count
+    offs = counts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    numbered = (keys.join(F.broadcast(offs), on="_pid", how="inner")
+                .select(*order_cols, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long").alias(idx)))
+    if set(df.columns) == set(order_cols):
+        return numbered
+    return df.join(numbered, on=order_cols, how="inner")
 
 
 def ordered_corpus(passages: DataFrame, order_cols: list[str], text: str = "passage",
-                   did: str | None = None) -> DataFrame:
+                   did: str | None = None, stripped: bool = False) -> DataFrame:
     """Strip, drop blank, number rows from 0 in ``order_cols`` order.
     Output (idx, did, passage); ``did`` is '' when the source has no ids."""
-    p = passages.withColumn("passage", strip(F.col(text))).where(drop_blank("passage"))
+    p = passages.withColumn("passage", F.col(text) if stripped else strip(F.col(text)))
+    p = p.where(F.length(F.coalesce(F.col("passage"), F.lit(""))) > 0)
     p = p.withColumn("did", id_text(F.col(did)) if did else F.lit(""))
-    return ordered_index(p.select(*order_cols, "did", "passage"), order_cols).select("idx", "did", "passage")
+    return ordered_index(p, order_cols).select("idx", "did", "passage")
 
 
 def title_text_corpus(docs: DataFrame, order_cols: list[str], id_col: str = "_id",
                       title: str = "title", text: str = "text", sep: str = "\n") -> DataFrame:
     """D2 (TREC / climate form): title + sep + text, blank rows dropped, ids aligned."""
     p = docs.withColumn("combined", combine_title_text(F.col(title), F.col(text), sep))
-    return ordered_corpus(p, order_cols, text="combined", did=id_col)
+    return ordered_corpus(p, order_cols, text="combined", did=id_col, stripped=True)
 
 
 def sts_corpus(pairs: DataFrame, order_cols: list[str]) -> DataFrame:

@@ -61,15 +61,16 @@ def _norm_sf(z):
     return F.when(z >= 0, erfc / 2).otherwise(F.lit(1.0) - erfc / 2)
 
 
-def wilcoxon_one_tailed(paired: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def wilcoxon_one_tailed(paired: DataFrame, a: str = "a", b: str = "b", key: str = "qrow") -> DataFrame:
     """K6: Wilcoxon signed-rank test that ``a`` > ``b`` on paired rows.
 
     Zero differences are dropped; |d| is ranked with average ranks for ties.
+    ``key`` is a unique row key (the tie-break of the sort).
     Ranks come from the ordered index (a range-partitioned sort), not a
     global window. Normal approximation without tie correction.
     """
-    d = paired.select((F.col(a) - F.col(b)).alias("d")).where(F.col("d") != 0) \
-        .withColumn("ad", F.abs("d")).withColumn("_k", F.monotonically_increasing_id())
+    d = paired.select(F.col(key).alias("_k"), (F.col(a) - F.col(b)).alias("d")).where(F.col("d") != 0) \
+        .withColumn("ad", F.abs("d"))
     ix = ordered_index(d, ["ad", "_k"], idx="pos")
     avg_rank = ix.groupBy("ad").agg(((F.min("pos") + F.max("pos")) / 2 + 1).alias("r"))
     r = ix.join(avg_rank, "ad")
