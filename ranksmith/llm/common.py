@@ -87,6 +87,8 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
         keep = codes != blank[0]
         before = np.concatenate([[0], np.cumsum(keep)])
         codes, offs = codes[keep], before[offs]
+        codes -= codes > blank[0]
+        del distinct[blank[0]]
     return codes, offs, distinct
 
 

@@ -68,15 +68,15 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long with the same bits."""
+    """(doc_id, rk, fp): hash of the row, and the fingerprint as a signed long with the same bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, 1):
-                fp = np.array([majority(shingle_hashes(t, width)) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            for part in text_slices(batch, 2):
+                fp = np.array([majority(shingle_hashes(t, width)) for t in part.column(2).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "rk", "fp"])
 
-    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return d.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, fp long")
 
 
 class BKTree:
@@ -193,14 +193,37 @@ def links(classes: DataFrame, radius: int = RADIUS, limit: int = SHARD_ROWS) ->
     return s.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
-                    radius: int = RADIUS, limit: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+def _components(docs: DataFrame, doc_id: str, text: str, width: int, radius: int, limit: int) -> DataFrame:
+    """(doc_id, rk, fp, component_id) per row; rk = hash of id and text."""
     fp = freeze(fingerprints(docs, doc_id=doc_id, text=text, width=width), "simhash-fp")
     classes = freeze(fp.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     comp = connected_components(links(classes, radius, limit))
     named = freeze(classes.join(comp, classes["rep"] == comp["node"], "left")
                    .select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-named")
-    j = fp.join(named, "fp", "left")
-    return j.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                    F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return fp.join(named, "fp", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
+                    radius: int = RADIUS, limit: int = SHARD_ROWS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    return _components(docs, doc_id, text, width, radius, limit).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS,
+             limit: int = SHARD_ROWS) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id (of several rows
+    of that id, one). Rows without an id stay."""
+    c = _components(docs, doc_id, text, width, radius, limit).where(F.col("component_id").isNotNull())
+    best = freeze(c.groupBy("component_id").agg(F.min(F.struct("doc_id", "rk")).alias("b"))
+                  .select(F.col("b.doc_id").alias("__id"), F.col("b.rk").alias("__rk")), "simhash-kept")
+    d = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__rk", row_key(F.col("__id"), F.col(text)))
+    # the join's partitioning and order also serve the window: one shuffle of the texts
+    w = Window.partitionBy("__id", "__rk").orderBy("__rk")
+    kept = d.join(best, ["__id", "__rk"]).withColumn("__copy", F.row_number().over(w)).where(F.col("__copy") == 1)
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Hash of a row's id and text."""
+    return F.xxhash64(doc_id, text)
