@@ -290,7 +290,8 @@ def score_documents(docs: DataFrame, model: Model, *, text: str = "text", out: s
     offending character ranges [start, end) and their marginals."""
     bc = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
     at = docs.columns.index(text)
-    kind = "array<struct<start:int,end:int,p:double>>"
+    kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+                                     T.StructField("p", T.DoubleType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     if spans:
         schema = schema.add(spans, kind)

@@ -22,7 +22,7 @@ def _frame(spark, rows, extra=True):
 def test_topk_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in np.float32(rng.integers(-2, 3, 6) / 4)]) for i in range(400)]
-    rows += [(1000, None), (1050, [1.0, None, 0, 0, 0, 0]), (1100, [float("nan")] * 6), (1150, [float("inf")] + [0.0] * 5), (None, [1.0] * 6),
+    rows += [(1000, None), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (1150, [float("inf")] + [0.0] * 5), (None, [1.0] * 6),
              (1200, [0.0] * 6)]
     df = _frame(spark, rows)
     want = brute_topk(rows)
