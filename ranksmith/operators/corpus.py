@@ -2,15 +2,12 @@
 text queries.
 
 Ordered index (D1): position is meaning in the reference's corpora, so rows
-get a dense 0-based ``idx`` in the order of given (unique) keys. A window
-without ``PARTITION BY`` would pull every row into one task; instead only the
-key columns are range-partitioned and sorted, frozen with a reliable
-checkpoint (so partition ids and row order cannot change between the
-counting and the numbering pass, also when a lost task is recomputed),
-counted per partition, and each partition's offset (a running sum over one
-row per partition) is broadcast back. The numbered keys are joined back to
-the rows once, so the wide columns (texts) are never checkpointed or
-evaluated more than once.
+get a dense 0-based ``idx`` in the order of given keys. A window
+without ``PARTITION BY`` would pull every row into one task; instead the rows
+are range-partitioned and sorted once and written, with their partition and
+position in it, to the shared folder, so neither can change afterwards, also
+when a lost task is recomputed. One count per partition gives the offsets.
+Keys may be null (first) or repeated: nothing is joined back on their values.
 """
 
 from __future__ import annotations
@@ -19,26 +16,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import combine_title_text, drop_blank, id_text, strip
-from ..session import ensure_checkpoint_dir
+from ..session import freeze
 
 
 def ordered_index(df: DataFrame, order_cols: list[str], idx: str = "idx") -> DataFrame:
-    """Add a dense 0-based ``idx`` following ``order_cols`` (unique keys)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    keys = (df.select(*order_cols).orderBy(*order_cols)
-            .withColumn("_pid", F.spark_partition_id())
-            .withColumn("_mid", F.monotonically_increasing_id()))
-    keys = keys.checkpoint(eager=True)
-    counts = keys.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    """Add a dense 0-based ``idx`` following ``order_cols``; rows with equal
+    keys get neighbouring numbers. The sort runs when this is called."""
+    bits = 33  # monotonically_increasing_id: partition << 33 | position
+    mid = F.monotonically_increasing_id()
+    rows = freeze(df.orderBy(*order_cols).withColumn("_mid", mid), "ordered")
+    rows = rows.withColumn("_part", F.shiftright("_mid", bits))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: bounded by the partition count
-    offs = counts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    numbered = (keys.join(F.broadcast(offs), on="_pid", how="inner")
-                .select(*order_cols, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long").alias(idx)))
-    if set(df.columns) == set(order_cols):
-        return numbered
-    return df.join(numbered, on=order_cols, how="inner")
+    offs = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    at = F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << bits) - 1))
+    return rows.join(F.broadcast(offs), "_part").withColumn(idx, at.cast("long")).select(*df.columns, idx)
 
 
 def ordered_corpus(passages: DataFrame, order_cols: list[str], text: str = "passage",
@@ -80,40 +73,47 @@ def duplicate_report(corpus: DataFrame, text: str = "passage") -> DataFrame:
 
 
 def contains_join(docs: DataFrame, pats: DataFrame, *, doc_id: str, doc_text: str,
-                  pat_id: str, pat_text: str, anchor: int | None = None,
-                  max_anchor: int = 32) -> DataFrame:
+                  pat_id: str, pat_text: str, longest: int = 32, parts: int = 8) -> DataFrame:
     """All (doc, pattern) pairs where the document text contains the pattern.
 
-    Exact and shuffle-based, no cross product: documents emit their
-    ``anchor``-grams only at positions that are multiples of ``anchor``;
-    patterns emit the ``anchor``-gram at every offset. Any occurrence of a
-    pattern of length >= 2 * anchor - 1 covers one aligned document gram,
-    so an equi-join on the gram finds every occurrence; each candidate is
-    then verified on the full text. ``anchor`` defaults to the largest value
-    that keeps this exact for the shortest pattern (capped at
-    ``max_anchor``). Empty patterns are ignored.
+    Exact, no cross product. Patterns are put into classes by length: a class
+    of gram length K (a power of two up to ``longest``) holds the patterns of 2K - 1 to
+    4K - 2 characters (the longest class all longer ones; length 1 and 2: K = 1).
+    Any occurrence of a pattern of at least 2K - 1 characters covers one
+    gram of the document at a multiple of K, and a pattern emits the gram at
+    each of its first K offsets only, so an equi-join on (K, gram) finds every
+    occurrence once. Documents emit grams only for the classes that exist, and
+    first only as a set per document, so a frequent gram costs one row per
+    document. The gram side of the documents is spread over ``parts`` salts
+    and the few patterns are copied to each, so a gram that is in a third of all
+    documents is split. Candidates are verified on the full text; empty
+    patterns are ignored.
     """
     p = pats.select(F.col(pat_id).alias("_pid"), F.col(pat_text).alias("_pat")).where(F.length("_pat") > 0)
-    if anchor is None:
-        min_len = p.agg(F.min(F.length("_pat"))).first()[0]
-        if min_len is None:
-            return docs.sparkSession.createDataFrame([], f"{doc_id} long, {pat_id} long")
-        anchor = max(1, min(max_anchor, (int(min_len) + 1) // 2))
-    K = anchor
+    sizes = [2 ** i for i in range(longest.bit_length()) if 2 ** i <= longest]
+    k = F.lit(1)
+    for size in sizes[1:]:
+        k = F.when(F.length("_pat") >= 2 * size - 1, size).otherwise(k)
+    p = p.withColumn("_k", k)
+    present = sorted(r._k for r in p.select("_k").distinct().collect())  # at most len(sizes) rows
+    if not present:
+        return docs.select(F.col(doc_id)).limit(0).join(pats.select(F.col(pat_id)).limit(0), F.lit(False))
     d = docs.select(F.col(doc_id).alias("_did"), F.col(doc_text).alias("_txt"))
-    dg = (d.where(F.length("_txt") >= K)
-          .select("_did", F.explode(F.sequence(F.lit(0), F.floor((F.length("_txt") - K) / K).cast("int")))
-                  .alias("_blk"), "_txt")
-          .select("_did", (F.col("_blk") * K).alias("_p"),
-                  F.substring("_txt", F.col("_blk") * K + 1, K).alias("_g")))
-    pg = (p.select("_pid", F.length("_pat").alias("_len"),
-                   F.explode(F.sequence(F.lit(0), F.length("_pat") - K)).alias("_o"), "_pat")
-          .select("_pid", "_len", "_o", F.substring("_pat", F.col("_o") + 1, K).alias("_g")))
-    cand = (dg.join(pg, on="_g", how="inner")
-            .select("_did", "_pid", "_len", (F.col("_p") - F.col("_o")).alias("_start"))
-            .where(F.col("_start") >= 0)
-            .dropDuplicates(["_did", "_pid", "_start"]))
-    ver = (cand.join(d, on="_did", how="inner").join(p, on="_pid", how="inner")
-           .where(F.substring("_txt", F.col("_start") + 1, F.col("_len")) == F.col("_pat")))
-    return (ver.select(F.col("_did").alias(doc_id), F.col("_pid").alias(pat_id))
-            .dropDuplicates([doc_id, pat_id]))
+
+    def aligned(size: int) -> DataFrame:
+        last = F.floor((F.length("_txt") - size) / size).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("_txt"), i * size + 1, F.lit(size)))
+        return (d.where(F.length("_txt") >= size)
+                .select("_did", F.lit(size).alias("_k"), F.explode(F.array_distinct(cut)).alias("_g")))
+
+    dg = aligned(present[0])
+    for size in present[1:]:
+        dg = dg.unionByName(aligned(size))
+    pg = p.select("_pid", "_k", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.least(F.col("_k"), F.length("_pat") - F.col("_k") + 1)),
+        lambda o: F.substring(F.col("_pat"), o, F.col("_k"))))).alias("_g"))
+    dg = dg.withColumn("_s", F.pmod(F.xxhash64("_did"), F.lit(parts)))
+    pg = pg.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    cand = dg.join(pg, ["_k", "_g", "_s"]).select("_did", "_pid").distinct()
+    ver = (cand.join(p.select("_pid", "_pat"), "_pid").join(d, "_did").where(F.contains("_txt", "_pat")))
+    return ver.select(F.col("_did").alias(doc_id), F.col("_pid").alias(pat_id)).distinct()

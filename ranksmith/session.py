@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -40,7 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only when it is unset (local tests) a scratch folder is made.
+    used as is; there, an unset directory is an error. Only a local master
+    (one machine: tests, bench) gets a scratch folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,11 +52,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    scratch = tempfile.mkdtemp(prefix="ranksmith-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(scratch)
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="ranksmith-ckpt-"))  # one machine: tests and local runs
     return sc.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def freeze(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a frame that reads it:
+    lineage ends there, and a lost executor costs a re-read."""
+    spark, schema = df.sparkSession, df.schema
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one driver table (``<sf_dir>/<name>.parquet``)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

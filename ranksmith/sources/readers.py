@@ -1,26 +1,32 @@
 """Readers (A1-A9).
 
-JSON inputs come either as one JSON document per file (usually an array) or
-as JSON Lines. Spark's two JSON modes are not interchangeable (multi-line
-mode silently reads only the first object of a JSON Lines file; line mode
-turns an array file into corrupt records), so the mode is chosen per file
-from its first non-blank character. Only that header is read on the driver
-(like a file listing); the data itself is read by Spark tasks.
+JSON inputs come as one JSON document per file (an array, or one object over
+several lines) or as JSON Lines. Spark's two JSON modes are not
+interchangeable (multi-line mode silently reads only the first object of a
+JSON Lines file; line mode turns an array file into corrupt records), so the
+mode is chosen per file from its head: ``[`` is a document; otherwise the
+first non-blank line is a whole value (JSON Lines) or only the beginning of one
+(a document). Only that head is read on the driver (like a file listing); the
+data itself is read by Spark tasks, and malformed JSON raises.
 
 Row order inside a file matters for ordered corpora. JSON Lines files are
 read with the splittable text source; the order key of a line is
 (file, split start, position inside the split), which follows the file
-order without reading a file in one task. Array files are parsed whole (a
-JSON array cannot be split) and exploded with their positions.
+order without reading a file in one task. Documents are parsed whole (a
+JSON array cannot be split) and exploded with their positions. The order keys
+are ``_pos`` and ``_sub``, so that data fields may be called ``pos``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.text import drop_blank, id_text, strip
+from ..operators.corpus import ordered_index
 
 
 def _hadoop_list(spark: SparkSession, path: str, exts: tuple[str, ...], recursive: bool = False) -> list[str]:
@@ -40,80 +46,92 @@ def _hadoop_list(spark: SparkSession, path: str, exts: tuple[str, ...], recursiv
     return sorted(out)
 
 
-def _first_char(spark: SparkSession, path: str, probe: int = 4096) -> str:
+def _is_document(spark: SparkSession, path: str) -> bool:
+    """True for a file that is one JSON document, False for JSON Lines."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    stream = fs.open(p)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
     try:
-        buf = bytearray()
-        while len(buf) < probe:
-            b = stream.read()
-            if b < 0:
-                break
-            buf.append(b)
-            if chr(b) not in " \t\r\n﻿" and b not in (0xEF, 0xBB, 0xBF):
-                break
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        c = reader.read()
+        while c >= 0 and chr(c) in " \t\r\n\ufeff":  # however many blanks there are
+            c = reader.read()
+        if c < 0 or chr(c) == "[":
+            return c >= 0
+        try:
+            json.loads(chr(c) + (reader.readLine() or ""))  # one record of a lines file
+            return False
+        except ValueError:
+            return chr(c) == "{"
     finally:
         stream.close()
-    text = bytes(buf).decode("utf-8", errors="ignore").lstrip(" \t\r\n﻿")
-    return text[:1]
 
 
 def split_by_mode(spark: SparkSession, path: str, exts=(".json", ".jsonl")) -> tuple[list[str], list[str]]:
     """(whole-document files, JSON Lines files) under ``path``."""
-    files = _hadoop_list(spark, path, exts)
     whole, lines = [], []
-    for f in files:
-        (whole if _first_char(spark, f) == "[" else lines).append(f)
+    for f in _hadoop_list(spark, path, exts):
+        (whole if _is_document(spark, f) else lines).append(f)
     return whole, lines
 
 
+def _valid(value: str) -> Column:
+    """The JSON text, or an error that names the file."""
+    return F.when(F.get_json_object(value, "$").isNotNull(), F.col(value)).otherwise(
+        F.raise_error(F.concat(F.lit("malformed JSON in "), F.col("file"))))
+
+
+def _raw_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, _pos, _sub, value) of the non-blank lines."""
+    return (spark.read.text(files)
+            .select(F.col("_metadata.file_path").alias("file"),
+                    F.col("_metadata.file_block_start").cast("long").alias("_pos"),
+                    (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("_sub"), "value")
+            .where(F.length(strip(F.col("value"))) > 0))
+
+
+def _raw_documents(spark: SparkSession, files: list[str]) -> DataFrame:
+    return (spark.read.text(files, wholetext=True)
+            .select(F.col("_metadata.file_path").alias("file"), F.ltrim(F.col("value"), F.lit("\ufeff")).alias("value")))
+
+
 def read_json_any(spark: SparkSession, path, schema: StructType | str | None = None) -> DataFrame:
-    """A1: JSON array files and JSON Lines files, one row per object, plus
-    ``file`` and the order keys ``pos``, ``sub`` that follow the order inside
-    the file. ``path``: a file, a directory, a glob or a list of files."""
-    if isinstance(path, (list, tuple)):
-        whole, lines = [], []
-        for p in path:
-            w, l = split_by_mode(spark, p)
-            whole += w
-            lines += l
-    else:
-        whole, lines = split_by_mode(spark, path)
+    """A1: JSON documents and JSON Lines files, one row per object, plus
+    ``file`` (``_file`` if the data have that field) and the order keys
+    ``_pos``, ``_sub`` that follow the order inside the file. ``path``: a file,
+    a directory, a glob or a list of files."""
+    whole, lines = [], []
+    for p in path if isinstance(path, (list, tuple)) else [path]:
+        w, l = split_by_mode(spark, p)
+        whole += w
+        lines += l
+    if not whole and not lines:
+        raise FileNotFoundError(f"no JSON input under {path}")
     parts = []
     if whole:
-        raw = spark.read.text(whole, wholetext=True).select(
-            F.col("_metadata.file_path").alias("file"), "value")
         elem = schema if schema is not None else _infer_elem(spark, whole)
-        arr = raw.select("file", F.posexplode(F.from_json("value", f"array<{_ddl(elem)}>")).alias("pos", "obj"))
-        parts.append(arr.select("file", F.col("pos").cast("long"), F.lit(0).cast("long").alias("sub"), "obj.*"))
+        raw = _raw_documents(spark, whole).withColumn("value", _valid("value"))
+        # an object instead of an array is one element
+        arr = raw.select("file", F.posexplode(F.from_json("value", ArrayType(_struct(elem)))).alias("_pos", "obj"))
+        parts.append(arr.select("file", F.col("_pos").cast("long"), F.lit(0).cast("long").alias("_sub"), "obj"))
     if lines:
-        raw = (spark.read.text(lines)
-               .select(F.col("_metadata.file_path").alias("file"),
-                       F.col("_metadata.file_block_start").alias("blk"), "value",
-                       F.monotonically_increasing_id().alias("mid"))
-               .where(F.length(strip(F.col("value"))) > 0))
         elem = schema if schema is not None else spark.read.json(lines).schema
-        # order key: split start (bytes), then row order inside the split
-        obj = raw.select("file", F.col("blk").cast("long").alias("pos"),
-                         (F.col("mid") % F.lit(1 << 33)).alias("sub"),
-                         F.from_json("value", _ddl(elem)).alias("obj"))
-        parts.append(obj.select("file", "pos", "sub", "obj.*"))
-    if not parts:
-        raise FileNotFoundError(f"no JSON input under {path}")
-    out = parts[0]
-    for p in parts[1:]:
+        raw = _raw_lines(spark, lines).withColumn("value", _valid("value"))
+        parts.append(raw.select("file", "_pos", "_sub", F.from_json("value", _struct(elem)).alias("obj")))
+    flat = []
+    for p in parts:
+        fields = [f.name for f in p.schema["obj"].dataType.fields]
+        name = "_file" if "file" in fields else "file"
+        flat.append(p.select(F.col("file").alias(name), "_pos", "_sub", "obj.*"))
+    out = flat[0]
+    for p in flat[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
-def _ddl(schema) -> str:
-    """Type string usable inside ``array<..>`` (field lists become a struct)."""
-    if isinstance(schema, str):
-        from pyspark.sql.types import _parse_datatype_string
-        schema = _parse_datatype_string(schema)
-    return schema.simpleString()
+def _struct(schema) -> StructType:
+    """The schema as a type (field names may hold any character)."""
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
 def _infer_elem(spark: SparkSession, files: list[str]):
@@ -121,32 +139,48 @@ def _infer_elem(spark: SparkSession, files: list[str]):
 
 
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
-    """A2: ``*.json`` string-array files in name order -> (file, pos, passage).
-    Non-string items are kept as their JSON text; blank items are dropped."""
-    files = _hadoop_list(spark, path, (".json",))
-    raw = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    items = raw.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "passage"))
-    return (items.withColumn("passage", strip(F.col("passage")))
-            .where(drop_blank("passage")).select("file", F.col("pos").cast("long"), "passage"))
+    """A2: ``*.json`` string-array files (or one value per line) in name order
+    -> (file, pos, passage), ``pos`` ascending in file order. Non-string items
+    are kept as their JSON text; blank items are dropped."""
+    whole, lines = split_by_mode(spark, path, (".json",))
+    parts = []
+    if whole:
+        raw = _raw_documents(spark, whole).withColumn("value", _valid("value"))
+        parts.append(raw.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "passage"))
+                     .select("file", F.col("pos").cast("decimal(30,0)"), "passage"))
+    if lines:
+        raw = _raw_lines(spark, lines)
+        # a line is one value: as the element of an array it may be of any kind
+        item = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>")
+        bad = F.raise_error(F.concat(F.lit("malformed JSON in "), F.col("file")))
+        item = F.when(F.get_json_object(F.concat(F.lit("["), F.col("value"), F.lit("]")), "$").isNotNull(), F.get(item, 0)).otherwise(bad)
+        parts.append(raw.select("file", (F.col("_pos").cast("decimal(30,0)") * (1 << 33) + F.col("_sub")).cast("decimal(30,0)").alias("pos"), item.alias("passage")))
+    if not parts:
+        raise FileNotFoundError(f"no passages under {path}")
+    items = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return items.withColumn("passage", strip(F.col("passage"))).where(drop_blank("passage")).select("file", "pos", "passage")
 
 
 def task_event(file_col) -> tuple:
-    """A3: file stem split at the first '_' -> (task, event)."""
+    """A3: file stem split at the first '_' -> (task, event); files that a
+    partitioned writer has put below ``task=../event=..`` go by these names."""
     stem = F.regexp_extract(file_col, r"([^/]+?)(\.[^./]*)?$", 1)
     task = F.regexp_extract(stem, r"^([^_]+)", 1)
     event = F.when(F.instr(stem, "_") > 0, F.regexp_extract(stem, r"^[^_]+_(.*)$", 1)).otherwise(stem)
     event = F.regexp_replace(event, r"_label_pool$", "")
-    return task, event
+    part = lambda k: F.url_decode(F.regexp_extract(file_col, f"/{k}=([^/]+)/", 1))
+    named = lambda k, other: F.when(part(k) != "", part(k)).otherwise(other)
+    return named("task", task), named("event", event)
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """A4: ``<task>_<event>_qrels.json`` files -> (task, event, qkey, dkey, score, file, pos)."""
+    """A4: ``<task>_<event>_qrels.json`` files -> (task, event, qkey, dkey, score) and the file order."""
     df = read_json_any(spark, path, "user_query string, passage string, score double")
     stem = F.regexp_extract("file", r"([^/]+)\.jsonl?$", 1)
     return df.select(F.regexp_extract(stem, r"^([^_]+)_(.*)_qrels$", 1).alias("task"),
                      F.regexp_extract(stem, r"^([^_]+)_(.*)_qrels$", 2).alias("event"),
                      F.col("user_query").alias("qkey"), F.col("passage").alias("dkey"),
-                     F.coalesce(F.col("score"), F.lit(0.0)).alias("score"), "file", "pos")
+                     F.coalesce(F.col("score"), F.lit(0.0)).alias("score"), "file", "_pos", "_sub")
 
 
 def read_qrels_ids(spark: SparkSession, path: str, task: str = "QA", event: str = "trec_covid") -> DataFrame:
@@ -155,7 +189,7 @@ def read_qrels_ids(spark: SparkSession, path: str, task: str = "QA", event: str
     return df.select(F.lit(task).alias("task"), F.lit(event).alias("event"),
                      id_text(F.col("`query-id`")).alias("qkey"), id_text(F.col("`corpus-id`")).alias("dkey"),
                      F.coalesce(F.col("score").try_cast("int"), F.lit(0)).cast("double").alias("score"),
-                     "file", "pos")
+                     "file", "_pos", "_sub")
 
 
 TRAIN_SCHEMA = ("query string, pos array<string>, neg array<string>, pos_scores array<double>, "
@@ -164,31 +198,44 @@ TRAIN_SCHEMA = ("query string, pos array<string>, neg array<string>, pos_scores
 
 def read_train(spark: SparkSession, paths: list[str], distill: bool = False) -> DataFrame:
     """Training files (files or directories, not recursive, only
-    .json/.jsonl, empty files skipped); one dataset per file."""
+    .json/.jsonl, empty files skipped); one dataset per file.
+
+    Adds what the batch planner needs: ``dataset_id`` (the file's number in the
+    given order), ``source_file``, ``source_dir`` (the directory it was found in,
+    the unit of merging; null for a file given by itself) and ``row_id``, dense
+    over all files in file order."""
     files: list[str] = []
+    alone: set[str] = set()
     for p in paths:
-        files += _hadoop_list(spark, p, (".json", ".jsonl"))
-    parts = [read_json_any(spark, f, TRAIN_SCHEMA) for f in files]
-    if not parts:
+        found = _hadoop_list(spark, p, (".json", ".jsonl"))
+        alone |= set(found) if p.endswith((".json", ".jsonl")) else set()
+        files += found
+    files = list(dict.fromkeys(files))
+    if not files:
         raise FileNotFoundError("no training files")
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    df = df.withColumn("dataset", F.col("file"))
-    if not distill:
-        df = df.drop("pos_scores", "neg_scores")
-    return df
+    df = read_json_any(spark, files, TRAIN_SCHEMA).withColumnRenamed("file", "source_file")
+    # the file listing (bounded by the number of files) numbers the datasets, by directory and name
+    cut = lambda f: (f.rsplit("/", 2)[-2], f.rsplit("/", 1)[-1])
+    known = spark.createDataFrame([(*cut(f), i, f in alone) for i, f in enumerate(files)],
+                                  "_dir string, _name string, dataset_id long, _alone boolean")
+    split = F.split("source_file", "/")
+    df = (df.withColumn("_dir", F.url_decode(F.element_at(split, -2))).withColumn("_name", F.url_decode(F.element_at(split, -1)))
+          .join(F.broadcast(known), ["_dir", "_name"]))
+    df = (df.withColumn("source_dir", F.when(~F.col("_alone"), F.regexp_replace("source_file", "/[^/]*$", "")))
+          .withColumn("dataset", F.col("source_file")).drop("_dir", "_name", "_alone"))
+    df = ordered_index(df, ["dataset_id", "_pos", "_sub"], idx="row_id").drop("_pos", "_sub")
+    return df if distill else df.drop("pos_scores", "neg_scores")
 
 
 def read_text(spark: SparkSession, path: str, fmt: str | None = None, column: str = "text") -> DataFrame:
-    """Txt / csv / json; other extensions are rejected."""
+    """The text column of txt / csv / json; other extensions are rejected."""
     fmt = fmt or path.rsplit(".", 1)[-1].lower()
     if fmt == "txt":
         df = spark.read.text(path).withColumnRenamed("value", column)
     elif fmt == "csv":
-        df = spark.read.option("header", True).csv(path)
+        df = spark.read.option("header", True).csv(path).select(column)
     elif fmt in ("json", "jsonl"):
-        df = read_json_any(spark, path)
+        df = read_json_any(spark, path).select(column)
     else:
         raise ValueError(f"unsupported text format: {fmt}")
     return df
@@ -199,9 +246,14 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_runs(spark: SparkSession, path: str, prefer: str | None = None) -> DataFrame:
-    """Label pools of a model -> long run form
-    (task, event, qrow, query, qid, rank, passage, doc_id). With ``prefer``
+def read_runs(spark: SparkSession, path: str, prefer: str | None = None, model: str = "run",
+              qrels: DataFrame | None = None, keys: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Label pools of a model -> (hits, queries) for ``judge.per_query``.
+
+    hits (model, task, event, qrow, qkey, rank, dkey, query, passage, qid,
+    doc_id); queries (model, task, event, qrow, qkey) holds every query, also
+    those without a hit. ``keys``: 'text' joins by md5 of the texts, 'id' by the ids. With
+    ``qrels``, files whose (task, event) has no judgement are skipped. With ``prefer``
     (single-file suites) only the file whose name holds it is used, else
     the first file by name (a choice over the file listing, not the data)."""
     files = _hadoop_list(spark, path, (".json",))
@@ -211,12 +263,18 @@ def read_runs(spark: SparkSession, path: str, prefer: str | None = None) -> Data
     schema = "user_query string, passages array<string>, query_id string, doc_ids array<string>"
     df = read_json_any(spark, files, schema)
     task, event = task_event(F.col("file"))
-    base = df.select(task.alias("task"), event.alias("event"), "file", "pos", "sub",
-                     F.col("user_query").alias("query"), F.col("query_id").alias("qid"),
-                     "passages", "doc_ids")
-    hits = base.select("task", "event", "file", "pos", "sub", "query", "qid", "doc_ids",
+    base = df.withColumn("task", task).withColumn("event", event)
+    if qrels is not None:
+        base = base.join(qrels.select("task", "event").distinct(), ["task", "event"], "left_semi")
+    base = ordered_index(base, ["task", "event", "file", "_pos", "_sub"], idx="qrow")
+    by_text = keys == "text"
+    base = base.select(F.lit(model).alias("model"), "task", "event", "qrow",
+                       (F.md5("user_query") if by_text else id_text("query_id")).alias("qkey"),
+                       F.col("user_query").alias("query"), F.col("query_id").alias("qid"), "passages", "doc_ids")
+    hits = base.select("model", "task", "event", "qrow", "qkey", "query", "qid", "doc_ids",
                        F.posexplode(F.coalesce(F.col("passages"), F.array().cast("array<string>")))
                        .alias("rank0", "passage"))
-    return hits.select("task", "event", "file", "pos", "sub", "query", "qid",
-                       (F.col("rank0") + 1).cast("long").alias("rank"), "passage",
-                       F.element_at("doc_ids", F.col("rank0") + 1).alias("doc_id"))
+    doc = F.try_element_at("doc_ids", F.col("rank0") + 1)
+    hits = hits.select("model", "task", "event", "qrow", "qkey", (F.col("rank0") + 1).cast("long").alias("rank"),
+                       (F.md5("passage") if by_text else id_text(doc)).alias("dkey"), "query", "passage", "qid", doc.alias("doc_id"))
+    return hits, base.select("model", "task", "event", "qrow", "qkey")
