@@ -33,9 +33,3 @@ def u01_sql(*exprs: str) -> str:
     """DuckDB text of the same uniform, for oracle SQL."""
     inner = ", ".join(f"CAST({e} AS VARCHAR)" for e in exprs)
     return f"(CAST(('0x' || substr(md5(concat_ws(':', {inner})), 1, 8)) AS BIGINT) / 4294967296.0)"
-
-
-def u01_spark_sql(*exprs: str) -> str:
-    """Spark SQL text of the same uniform."""
-    inner = ", ".join(f"CAST({e} AS STRING)" for e in exprs)
-    return f"(CAST(conv(substring(md5(concat_ws(':', {inner})), 1, 8), 16, 10) AS DOUBLE) / 4294967296.0)"

@@ -3,7 +3,7 @@ loaders and formatters). All are Column -> Column, JVM side."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .det import u01
@@ -69,6 +69,13 @@ TASK_INSTRUCTIONS = {
 SUITE_TASK = {"trec": "QA", "climate": "FactCheck", "biosses": "STS"}
 
 
+def suite_prefix(query, suite: str, task=None) -> Column:
+    """Queries of a single-file suite get that suite's instruction, those of
+    the main suite the instruction of their task."""
+    fixed = SUITE_TASK.get(suite)
+    return task_prefix(query, F.lit(fixed) if fixed else task)
+
+
 def task_prefix_col(task) -> Column:
     """Instruction for a task column; unknown tasks give ''.
 
@@ -84,10 +91,6 @@ def task_prefix(query, task) -> Column:
     return F.concat(task_prefix_col(task), F.lit(": "), strip(_c(query)))
 
 
-def instructions_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TASK_INSTRUCTIONS.items()), "task string, instruction string")
-
-
 def format_instruction(fmt: str, instruction, text) -> Column:
     """Two-slot format ``fmt.format(instruction, text)`` with ``\\n`` escapes
     expanded; a null instruction leaves the text unformatted."""
@@ -122,5 +125,12 @@ def chunk_shuffle(text, ratio: float, seed, *keys) -> Column:
 
 def parse_grade(label) -> Column:
     """Text grade to DOUBLE; unparsable gives 0.0."""
-    return F.coalesce(F.expr(f"try_cast({label} AS DOUBLE)") if isinstance(label, str)
-                      else _c(label).try_cast("double"), F.lit(0.0))
+    return F.coalesce(_c(label).try_cast("double"), F.lit(0.0))
+
+
+def has_keys(*keys) -> Column:
+    """Keep judgements whose query and document keys are not blank."""
+    out = drop_blank(_c(keys[0]).cast("string"))
+    for k in keys[1:]:
+        out = out & drop_blank(_c(k).cast("string"))
+    return out

@@ -23,7 +23,21 @@ def l2_norm(a) -> Column:
     return F.sqrt(F.aggregate(_c(a), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once per row.
+
+    A column used inside a lambda is evaluated again for every element; as the
+    argument of an outer one-element lambda it is a variable."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def l2_normalize(a) -> Column:
     """Divide by the L2 norm so that dot = cosine; a zero vector stays zero."""
-    n = l2_norm(a)
-    return F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return bind(l2_norm(a), lambda n: F.transform(
+        _c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
+
+
+def log_sum_exp(a) -> Column:
+    """log(sum(exp(x))) of an array, shifted by its largest element (empty: null)."""
+    return bind(F.array_max(_c(a)), lambda m: m + F.log(F.aggregate(
+        _c(a), F.lit(0.0), lambda acc, x: acc + F.exp(x - m))))

@@ -3,9 +3,8 @@
 E1 runs a user encoder over Arrow batches in ``mapInPandas``: the encoder is
 built once per Python worker and each Arrow batch (``batch_size`` rows) is
 one forward pass, so the per-row cost is a vectorised call, never a Python
-loop in the JVM path. E2 is a model-free encoder expressed in Spark SQL
-(token -> hashed bucket and sign, counts per bucket), so the search path can
-run without a trained model. Pooling (E4-E6) works on token-state tables.
+loop in the JVM path. E2 is a model-free encoder (token -> hashed bucket and
+sign, counts per bucket), so the search path can run without a trained model. Pooling (E4-E6) works on token-state tables.
 """
 
 from __future__ import annotations
@@ -17,8 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2_normalize
-
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -28,35 +25,60 @@ def tokens(text) -> Column:
     return F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: F.length(x) > 0)
 
 
+def _hashed(df: DataFrame, id_col: str, text_col: str, dim: int, dense: bool, normalize: bool) -> DataFrame:
+    """Hashed token counts of each row, made inside the row's Arrow batch (no
+    shuffle): a batch's distinct tokens are hashed once and scattered."""
+    import pyarrow as pa
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, " + ("embedding array<double>" if dense else "buckets array<long>, vals array<double>")
+
+    def run(batches):
+        import hashlib
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                toks = part.column(1)
+                n = part.num_rows
+                enc = toks.flatten().dictionary_encode()
+                digest = [hashlib.md5(t.encode()).hexdigest() for t in enc.dictionary.to_pylist()]
+                bucket = np.array([int(h[:8], 16) % dim for h in digest], np.int64)
+                sign = np.array([1.0 if int(h[8], 16) < 8 else -1.0 for h in digest])
+                codes = np.asarray(enc.indices, dtype=np.int64)
+                size = np.array(toks.value_lengths().fill_null(0))
+                cell = np.repeat(np.arange(n), size) * dim + (bucket[codes] if len(codes) else codes)
+                total = np.bincount(cell, weights=sign[codes] if len(codes) else None, minlength=n * dim).astype(float).reshape(n, dim)
+                if dense:
+                    if normalize:
+                        norm = np.sqrt((total ** 2).sum(1, keepdims=True))
+                        total = np.divide(total, norm, out=np.zeros_like(total), where=norm > 0)
+                    ends = np.arange(0, n * dim + 1, dim, dtype=np.int32)
+                    cols = [pa.ListArray.from_arrays(ends, pa.array(total.ravel()))]
+                    names = ["id", "embedding"]
+                else:
+                    row, b = np.nonzero(np.bincount(cell, minlength=n * dim).reshape(n, dim))
+                    ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+                    cols = [pa.ListArray.from_arrays(ends, pa.array(b.astype(np.int64))), pa.ListArray.from_arrays(ends, pa.array(total[row, b]))]
+                    names = ["id", "buckets", "vals"]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
+
+    return df.select(F.col(id_col).alias("id"), tokens(text_col).alias("toks")).mapInArrow(run, schema)
+
+
 def hash_features(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """E2, sparse form: (id, bucket, value) with value = signed token count.
 
-    bucket = first 8 hex digits of md5(token) mod dim; sign from the 9th hex
-    digit. Explode + groupBy aggregates partially on the map side, so the
-    shuffle carries at most ``dim`` rows per document and task.
+    bucket = first 8 hex digits of md5(token) mod dim; sign from the 9th hex digit.
     """
-    tok = df.select(F.col(id_col).alias("id"), F.explode(tokens(text_col)).alias("tok"))
-    h = F.md5(F.col("tok"))
-    b = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim))
-    s = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0))
-    return (tok.select("id", b.alias("bucket"), s.alias("sgn"))
-            .groupBy("id", "bucket").agg(F.sum("sgn").alias("value")))
+    h = _hashed(df, id_col, text_col, dim, dense=False, normalize=False)
+    return (h.select("id", F.explode(F.arrays_zip("buckets", "vals")).alias("z"))
+            .select("id", F.col("z.buckets").alias("bucket"), F.col("z.vals").alias("value")))
 
 
 def hash_encode(df: DataFrame, id_col: str, text_col: str, dim: int = 64,
                 normalize: bool = True) -> DataFrame:
     """E2 + E3: dense hashed vectors (id, embedding ARRAY<DOUBLE>); rows
     without tokens get the zero vector."""
-    sp = hash_features(df, id_col, text_col, dim)
-    dense = (sp.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
-             .select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)).cast("array<long>"),
-                                       lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("embedding")))
-    ids = df.select(F.col(id_col).alias("id"))
-    out = ids.join(dense, "id", "left").select(
-        "id", F.coalesce("embedding", F.array_repeat(F.lit(0.0), dim)).alias("embedding"))
-    if normalize:
-        out = out.withColumn("embedding", l2_normalize("embedding"))
-    return out.withColumnRenamed("id", id_col)
+    return _hashed(df, id_col, text_col, dim, dense=True, normalize=normalize).withColumnRenamed("id", id_col)
 
 
 def embed_texts(df: DataFrame, text_col: str, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]],

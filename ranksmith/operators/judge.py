@@ -38,8 +38,8 @@ def discount(rank: Column) -> Column:
     return F.log2(rank.cast("double") + F.lit(1.0))
 
 
-def qrels_dedupe(qrels: DataFrame, order_cols=("file", "pos")) -> DataFrame:
-    """A repeated (query, doc) judgement - the last row wins."""
+def qrels_dedupe(qrels: DataFrame, order_cols=("file", "_pos", "_sub")) -> DataFrame:
+    """A repeated (query, doc) judgement - the last row of the files wins."""
     order = F.struct(*[F.col(c) for c in order_cols])
     return (qrels.groupBy(*QKEYS, "dkey")
             .agg(F.max_by("score", order).alias("score")))
@@ -63,13 +63,17 @@ def ideal(qrels: DataFrame, k: int = 10) -> DataFrame:
 
 
 def per_query(run: DataFrame, qrels: DataFrame, k: int = 10, *,
-              cut_before_filter: bool = True, stats_uncut: bool = False) -> DataFrame:
+              cut_before_filter: bool = True, stats_uncut: bool = False,
+              queries: DataFrame | None = None) -> DataFrame:
     """Metrics of every judged query row, both variants, plus pair counts.
 
-    Output: model, task, event, qrow, qkey, judged (bool), n_pairs,
+    Output: model, task, event, qrow, qkey, judged (bool), file_judged (its
+    (task, event) has judgements), n_pairs,
     n_unjudged, ndcg_z, rr_z, rec_z, ndcg_i, rr_i, rec_i.
     Queries without any judgement keep a row with ``judged = false`` (their
-    pairs count in the retrieval stats, H14) and null metrics.
+    pairs count in the retrieval stats, H14) and null metrics. ``queries``
+    (model, task, event, qrow, qkey) lists the queries of the run; those
+    without a hit have no row in ``run`` and are added with zero metrics.
     """
     hits = run.select(*RUN_Q, "qkey", F.col("rank").cast("long").alias("rank"), "dkey")
     if cut_before_filter or not stats_uncut:
@@ -100,13 +104,19 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int = 10, *,
               F.min(F.when(in_i & (g > 0), F.col("irank"))).alias("first_i"),
               F.count_if(in_i & (g > 0)).alias("hit_i")))
 
+    if queries is not None:
+        sums = [c for c in q.columns if c not in (*RUN_Q, "qkey")]
+        q = (queries.select(*RUN_Q, "qkey").join(q, [*RUN_Q, "qkey"], "left")
+             .fillna(0, subset=[c for c in sums if not c.startswith("first_")]))
     q = q.join(ideal(qrels, k), on=QKEYS, how="left")
+    # one row per judged file
+    q = q.join(qrels.select("task", "event").distinct().withColumn("_file", F.lit(True)), ["task", "event"], "left")
     judged = F.col("idcg").isNotNull()
     rr = lambda first: F.coalesce(F.lit(1.0) / first.cast("double"), F.lit(0.0))
     ndcg = lambda dcg: F.when(F.col("idcg") > 0, dcg / F.col("idcg")).otherwise(F.lit(0.0))
     rec = lambda hit: F.when(F.col("rel_total") > 0, hit / F.col("rel_total")).otherwise(F.lit(0.0))
     return q.select(
-        *RUN_Q, "qkey", judged.alias("judged"), "n_pairs", "n_unjudged",
+        *RUN_Q, "qkey", judged.alias("judged"), F.coalesce("_file", F.lit(False)).alias("file_judged"), "n_pairs", "n_unjudged",
         F.when(judged, ndcg(F.col("dcg_z"))).alias("ndcg_z"),
         F.when(judged, rr(F.col("first_z"))).alias("rr_z"),
         F.when(judged, rec(F.col("hit_z"))).alias("rec_z"),
@@ -125,15 +135,14 @@ def per_event(pq: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     ``expected`` (model, task, event) adds all-zero rows for groups that must
     be reported even without judged queries (single-file suites).
     """
-    j = pq.where(F.col("judged"))
-    z = j.groupBy("model", "task", "event").agg(
-        F.count(F.lit(1)).alias("num_queries"),
-        F.avg("ndcg_z").alias("n"), F.avg("rr_z").alias("r"), F.avg("rec_z").alias("c"))
-    i = j.groupBy("model", "task", "event").agg(
-        F.count(F.lit(1)).alias("num_queries"),
-        F.avg("ndcg_i").alias("n"), F.avg("rr_i").alias("r"), F.avg("rec_i").alias("c"))
-    out = (z.withColumn("variant", F.lit("zero"))
-           .unionByName(i.withColumn("variant", F.lit("ignore"))))
+    # both variants from one aggregate, then two rows of it
+    means = (pq.where(F.col("judged")).groupBy("model", "task", "event")
+             .agg(F.count(F.lit(1)).alias("num_queries"),
+                  *[F.avg(f"{m}_{v}").alias(f"{m}_{v}") for v in ("z", "i") for m in ("ndcg", "rr", "rec")]))
+    two = F.array(*[F.struct(F.lit(name).alias("variant"), F.col(f"ndcg_{v}").alias("n"), F.col(f"rr_{v}").alias("r"),
+                             F.col(f"rec_{v}").alias("c")) for name, v in (("zero", "z"), ("ignore", "i"))])
+    out = (means.select("model", "task", "event", "num_queries", F.explode(two).alias("x"))
+           .select("model", "task", "event", "x.variant", "num_queries", "x.n", "x.r", "x.c"))
     if expected is not None:
         filler = (expected.crossJoin(F.broadcast(
             out.sparkSession.createDataFrame([("zero",), ("ignore",)], "variant string")))
@@ -177,8 +186,10 @@ def overall(pq: DataFrame, models: DataFrame | None = None) -> DataFrame:
 
 
 def retrieval_stats(pq: DataFrame) -> DataFrame:
-    """Pairs of all queries; unjudged pairs of judged queries only."""
-    s = pq.groupBy("model").agg(
+    """Pairs of all queries of the (task, event) files that have judgements
+    (a file without any is skipped before it is counted); unjudged pairs of
+    judged queries only."""
+    s = pq.where(F.col("file_judged")).groupBy("model").agg(
         F.sum("n_pairs").alias("total_retrieved_pairs"),
         F.sum(F.when(F.col("judged"), F.col("n_unjudged")).otherwise(0)).alias("unannotated_pairs"))
     return s.select(
@@ -215,6 +226,22 @@ def unjudged_pairs(run: DataFrame, qrels: DataFrame) -> DataFrame:
             .join(qrels.select(*QKEYS, "dkey"), on=[*QKEYS, "dkey"], how="left_anti"))
 
 
+def text_key(df: DataFrame, query: str = "query", passage: str = "passage") -> DataFrame:
+    """Keys of a text-keyed run or judgement: ``qkey``, ``dkey`` are the
+    texts' md5, a short join key; the texts stay for the equality check."""
+    return df.withColumn("qkey", F.md5(F.col(query))).withColumn("dkey", F.md5(F.col(passage)))
+
+
+def text_key_join(run: DataFrame, qrels: DataFrame, query: str = "query", passage: str = "passage") -> DataFrame:
+    """Hits with the ``grade`` of the judgement on the same texts (null if none):
+    joined by md5 of both texts, then compared as texts."""
+    r = text_key(run, query, passage)
+    q = text_key(qrels, query, passage).select(*QKEYS, "dkey", F.col("score").alias("_grade"), F.col(query).alias("_q"), F.col(passage).alias("_p"))
+    j = r.join(q, [*QKEYS, "dkey"], "left")
+    same = (F.col("_q") == F.col(query)) & (F.col("_p") == F.col(passage))
+    return j.withColumn("grade", F.when(same, F.col("_grade"))).drop("_q", "_p", "_grade")
+
+
 def skip_done(candidates: DataFrame, done: DataFrame, key: str = "model") -> DataFrame:
     """Drop runs (checkpoints) that already have results."""
     return candidates.join(done.select(key).distinct(), on=key, how="left_anti")

@@ -9,23 +9,22 @@ pairs never cross batches):
     passage (j = 0 the positive of query (p_rank, p_slot)).
 ``teacher`` (batch, rank, slot, j, t) - optional teacher scores.
 
-All log-sum-exps subtract the group maximum first. Results are per query
-and per (batch, rank) means; nothing is collected.
+A query's scores become three arrays in one aggregate (its own passages in
+order of j, the other passages of its rank, those of the other ranks); a batch
+bounds their size. All losses are array expressions over that one row, with
+every log-sum-exp shifted by its largest element, so nothing is joined back
+and nothing is collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Q = ["batch", "q_rank", "q_slot"]
-
+from ..functions.vectors import bind, log_sum_exp
 
-def _lse(df: DataFrame, keys: list[str], where=None, name: str = "lse") -> DataFrame:
-    d = df if where is None else df.where(where)
-    m = d.groupBy(*keys).agg(F.max("score").alias("_m"))
-    return (d.join(m, keys).groupBy(*keys)
-            .agg((F.first("_m") + F.log(F.sum(F.exp(F.col("score") - F.col("_m"))))).alias(name)))
+Q = ["batch", "q_rank", "q_slot"]
+SCOPES = ("group", "in_batch", "cross_device")
 
 
 def own(scores: DataFrame) -> DataFrame:
@@ -33,25 +32,47 @@ def own(scores: DataFrame) -> DataFrame:
     return scores.where((F.col("p_rank") == F.col("q_rank")) & (F.col("p_slot") == F.col("q_slot")))
 
 
-def _target(scores: DataFrame) -> DataFrame:
-    return own(scores).where(F.col("j") == 0).select(*Q, F.col("score").alias("s_pos"))
+def query_arrays(scores: DataFrame) -> DataFrame:
+    """One row per query: own scores by j, other scores of the rank, scores of other ranks."""
+    is_rank = F.col("p_rank") == F.col("q_rank")
+    is_own = is_rank & (F.col("p_slot") == F.col("q_slot"))
+    a = scores.groupBy(*Q).agg(
+        F.array_sort(F.collect_list(F.when(is_own, F.struct("j", "score")))).alias("own"),
+        F.collect_list(F.when(is_rank & ~is_own, F.col("score"))).alias("rank_rest"),
+        F.collect_list(F.when(~is_rank, F.col("score"))).alias("step_rest"))
+    return a.where(F.size("own") > 0).withColumn("own", F.transform("own", lambda x: x["score"]))
+
+
+def _rest(scope: str) -> Column:
+    """The passages of the scope that are not the query's own."""
+    if scope == "group":
+        return F.array().cast("array<double>")
+    return F.col("rank_rest") if scope == "in_batch" else F.concat("rank_rest", "step_rest")
+
+
+def _ce(scope: str) -> Column:
+    """Cross-entropy of the own positive within the scope."""
+    return log_sum_exp(F.concat("own", _rest(scope))) - F.col("own")[0]
 
 
 def loss_group(scores: DataFrame) -> DataFrame:
     """L2: logsumexp over own passages - own positive, per query."""
-    o = own(scores)
-    return _lse(o, Q).join(_target(scores), Q).select(*Q, (F.col("lse") - F.col("s_pos")).alias("loss"))
+    return query_arrays(scores).select(*Q, _ce("group").alias("loss"))
 
 
 def loss_in_batch(scores: DataFrame) -> DataFrame:
     """L3: over all passages of the query's rank in the batch."""
-    s = scores.where(F.col("p_rank") == F.col("q_rank"))
-    return _lse(s, Q).join(_target(scores), Q).select(*Q, (F.col("lse") - F.col("s_pos")).alias("loss"))
+    return query_arrays(scores).select(*Q, _ce("in_batch").alias("loss"))
 
 
 def loss_cross_device(scores: DataFrame) -> DataFrame:
     """L4: over all passages of the batch (all ranks of the step)."""
-    return _lse(scores, Q).join(_target(scores), Q).select(*Q, (F.col("lse") - F.col("s_pos")).alias("loss"))
+    return query_arrays(scores).select(*Q, _ce("cross_device").alias("loss"))
+
+
+def softmax(a: Column) -> Column:
+    """Softmax of an array, shifted by its largest element."""
+    return bind(log_sum_exp(a), lambda z: F.transform(a, lambda x: F.exp(x - z)))
 
 
 def teacher_softmax(teacher: DataFrame) -> DataFrame:
@@ -62,62 +83,84 @@ def teacher_softmax(teacher: DataFrame) -> DataFrame:
     return teacher.withColumn("tp", e / F.sum(e).over(w))
 
 
+def _with_teacher(arrays: DataFrame, teacher: DataFrame) -> DataFrame:
+    t = (teacher.groupBy(F.col("batch"), F.col("rank").alias("q_rank"), F.col("slot").alias("q_slot"))
+         .agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "t"))), lambda x: x["t"]).alias("t")))
+    return arrays.join(t, Q).withColumn("tp", softmax(F.col("t"))).drop("t")
+
+
+def _kl() -> Column:
+    """-sum_j teacher_j * log_softmax(own)_j."""
+    return bind(log_sum_exp(F.col("own")), lambda z: F.aggregate(
+        F.zip_with("tp", "own", lambda p, s: p * (z - s)), F.lit(0.0), lambda acc, x: acc + x))
+
+
 def kd_kl(scores: DataFrame, teacher: DataFrame) -> DataFrame:
     """-sum_j teacher_j * log_softmax(own)_j per query."""
-    o = own(scores)
-    lse = _lse(o, Q)
-    tp = teacher_softmax(teacher).select(F.col("batch"), F.col("rank").alias("q_rank"),
-                                         F.col("slot").alias("q_slot"), "j", "tp")
-    x = o.join(lse, Q).join(tp, [*Q, "j"])
-    return x.groupBy(*Q).agg((-F.sum(F.col("tp") * (F.col("score") - F.col("lse")))).alias("loss"))
+    return _with_teacher(query_arrays(scores), teacher).select(*Q, _kl().alias("loss"))
+
+
+def _progressive(scope: str) -> Column:
+    """For each own position i: teacher_i times the cross-entropy of own_i
+    against the scope without own_0 .. own_(i-1); summed.
+
+    The remaining scores are the own suffix and the scope's other passages; the
+    latter enter as one number, their log-sum-exp, and each suffix has a
+    log-sum-exp of its own, so large removed scores leave no rounding behind.
+    """
+    def suffix(rest: Column | None, s: Column, i: Column) -> Column:
+        tail = F.slice("own", i + 1, F.size("own") - i)
+        return log_sum_exp(F.concat(tail, rest)) - s
+
+    def total(rest: Column) -> Column:
+        terms = F.transform("own", lambda s, i: F.element_at("tp", i + 1) * suffix(rest, s, i))
+        return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+
+    others = _rest(scope)
+    one = F.when(F.size(others) > 0, F.array(log_sum_exp(others))).otherwise(F.array().cast("array<double>"))
+    return bind(one, total)
 
 
 def kd_progressive(scores: DataFrame, teacher: DataFrame, scope: str = "in_batch") -> DataFrame:
-    """For each own position i, cross-entropy of own[i] against the scope
-    with own[0..i-1] removed, weighted by teacher[i]; summed over i.
+    """Progressive distillation, summed over the own positions, per query.
 
     scope: 'group' (own passages), 'in_batch' (same rank), 'cross_device'.
     """
-    if scope == "group":
-        s = own(scores)
-    elif scope == "in_batch":
-        s = scores.where(F.col("p_rank") == F.col("q_rank"))
-    else:
-        s = scores
-    is_own = (F.col("p_rank") == F.col("q_rank")) & (F.col("p_slot") == F.col("q_slot"))
-    m = s.groupBy(*Q).agg(F.max("score").alias("_m"))
-    s = s.join(m, Q).withColumn("_e", F.exp(F.col("score") - F.col("_m")))
-    tot = s.groupBy(*Q).agg(F.sum("_e").alias("_tot"), F.first("_m").alias("_m"))
-    ow = s.where(is_own).select(*Q, "j", "score", "_e")
-    w = Window.partitionBy(*Q).orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    ow = ow.withColumn("_before", F.coalesce(F.sum("_e").over(w), F.lit(0.0)))
-    tp = teacher_softmax(teacher).select(F.col("batch"), F.col("rank").alias("q_rank"),
-                                         F.col("slot").alias("q_slot"), "j", "tp")
-    x = ow.join(tot, Q).join(tp, [*Q, "j"])
-    ce = F.col("_m") + F.log(F.col("_tot") - F.col("_before")) - F.col("score")
-    return x.groupBy(*Q).agg(F.sum(F.col("tp") * ce).alias("loss"))
+    if scope not in SCOPES:
+        raise ValueError(f"unknown scope {scope!r}")
+    return _with_teacher(query_arrays(scores), teacher).select(*Q, _progressive(scope).alias("loss"))
 
 
 def batch_mean(per_query: DataFrame, name: str) -> DataFrame:
     return per_query.groupBy("batch", "q_rank").agg(F.avg("loss").alias(name))
 
 
-def combined(scores: DataFrame, teacher: DataFrame | None, *, no_in_batch: bool = False,
+def combined(scores: DataFrame, teacher: DataFrame | None, *, flags: DataFrame | None = None, no_in_batch: bool = False,
              cross_device: bool = False, kd: str | None = None, kd_weight: float = 1.0) -> DataFrame:
     """The loss the trainer would use for a batch, per (batch, q_rank).
 
     base: no in-batch negatives -> L2; else cross-device -> L4; else L3.
     kd = 'kl': base CE + weight * L6 (group-local teacher); kd = 'm3':
     weight * L7 alone, scoped like the base (own group without in-batch
-    negatives).
+    negatives). ``flags`` (batch, no_in_batch) switches single batches;
+    ``no_in_batch`` all of them. With cross-device negatives the mean is over
+    the queries of all ranks of the step, so every rank reports the same loss.
     """
-    base = loss_group if no_in_batch else (loss_cross_device if cross_device else loss_in_batch)
-    ce = batch_mean(base(scores), "ce")
-    if kd is None or teacher is None:
-        return ce.withColumnRenamed("ce", "loss")
-    if kd == "kl":
-        k = batch_mean(kd_kl(scores, teacher), "kd")
-        return ce.join(k, ["batch", "q_rank"]).select("batch", "q_rank", (F.col("ce") + kd_weight * F.col("kd")).alias("loss"))
-    scope = "group" if no_in_batch else ("cross_device" if cross_device else "in_batch")
-    k = batch_mean(kd_progressive(scores, teacher, scope), "kd")
-    return k.select("batch", "q_rank", (kd_weight * F.col("kd")).alias("loss"))
+    a = query_arrays(scores)
+    a = a.join(flags.select("batch", "no_in_batch"), "batch", "left") if flags is not None else a.withColumn("no_in_batch", F.lit(False))
+    off = F.coalesce("no_in_batch", F.lit(False)) | F.lit(no_in_batch)
+    wide = "cross_device" if cross_device else "in_batch"
+    base = F.when(off, _ce("group")).otherwise(_ce(wide))
+    if kd is not None and teacher is not None:
+        a = _with_teacher(a, teacher)
+        if kd == "kl":
+            base = base + kd_weight * _kl()
+        else:
+            base = kd_weight * F.when(off, _progressive("group")).otherwise(_progressive(wide))
+    per = a.select(*Q, off.alias("off"), base.alias("loss"))
+    out = per.groupBy("batch", "q_rank", "off").agg(F.avg("loss").alias("own_mean"), F.sum("loss").alias("s"), F.count(F.lit(1)).alias("n"))
+    if not cross_device:
+        return out.select("batch", "q_rank", F.col("own_mean").alias("loss"))
+    w = Window.partitionBy("batch")  # one row per rank of a step
+    step = F.sum("s").over(w) / F.sum("n").over(w)
+    return out.select("batch", "q_rank", F.when(F.col("off"), F.col("own_mean")).otherwise(step).alias("loss"))

@@ -72,9 +72,10 @@ def wilcoxon_one_tailed(paired: DataFrame, a: str = "a", b: str = "b", key: str
     d = paired.select(F.col(key).alias("_k"), (F.col(a) - F.col(b)).alias("d")).where(F.col("d") != 0) \
         .withColumn("ad", F.abs("d"))
     ix = ordered_index(d, ["ad", "_k"], idx="pos")
-    avg_rank = ix.groupBy("ad").agg(((F.min("pos") + F.max("pos")) / 2 + 1).alias("r"))
-    r = ix.join(avg_rank, "ad")
-    s = r.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"))
+    # Rows with equal |d| share a rank, so counts per |d| are enough: one partial aggregate, also for a third of all rows on one key
+    tie = ix.groupBy("ad").agg(((F.min("pos") + F.max("pos")) / 2 + 1).alias("r"), F.count(F.lit(1)).alias("k"),
+                               F.count_if(F.col("d") > 0).alias("up"))
+    s = tie.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("r") * F.col("up")), F.lit(0.0)).alias("w_plus"))
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24)

@@ -26,21 +26,20 @@ def cap_dataset(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def merge_small(df: DataFrame, small_threshold: int, drop_threshold: int, merged_id: int = -1) -> DataFrame:
-    """Datasets with fewer than ``small_threshold`` rows are merged into
-    one; the merged set is dropped when it has fewer than ``drop_threshold``
-    rows. Adds ``merged`` (bool)."""
-    if small_threshold <= 0:
-        return df.withColumn("merged", F.lit(False))
-    sizes = df.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n"))
-    small_total = sizes.where(F.col("_n") < small_threshold).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_small"))
-    # both side frames are one row per dataset / one row: bounded by the dataset count
-    j = df.join(F.broadcast(sizes), "dataset_id").crossJoin(F.broadcast(small_total))
-    is_small = F.col("_n") < small_threshold
-    j = j.where(~is_small | (F.col("_small") >= drop_threshold))
-    return (j.withColumn("merged", is_small)
-            .withColumn("dataset_id", F.when(is_small, F.lit(merged_id)).otherwise(F.col("dataset_id")))
-            .drop("_n", "_small"))
+def merge_small(df: DataFrame, small_threshold: int, drop_threshold: int) -> DataFrame:
+    """Small datasets (fewer than ``small_threshold`` rows) of one directory
+    (``source_dir``) become one dataset, named by the smallest of their ids and
+    dropped below ``drop_threshold`` rows; a small dataset that was given as a
+    single file (null ``source_dir``) is dropped. Adds ``merged`` (bool)."""
+    sizes = df.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n"), F.min("source_dir").alias("_dir"))
+    small = sizes.where((F.col("_n") < small_threshold) & F.col("_dir").isNotNull())
+    merged = small.groupBy("_dir").agg(F.min("dataset_id").alias("_into"), F.sum("_n").alias("_total"))
+    # one row per dataset: the join is broadcast by its statistics, shuffled if there are very many
+    plan = (sizes.join(merged, "_dir", "left")
+            .select("dataset_id", (F.col("_n") < small_threshold).alias("merged"), "_dir", "_into", "_total")
+            .where(~F.col("merged") | (F.col("_dir").isNotNull() & (F.col("_total") >= drop_threshold))))
+    return (df.join(plan.select("dataset_id", "merged", "_into"), "dataset_id")
+            .withColumn("dataset_id", F.when(F.col("merged"), F.col("_into")).otherwise(F.col("dataset_id"))).drop("_into"))
 
 
 def dataset_batch_size(df: DataFrame, default: int) -> DataFrame:
@@ -64,6 +63,19 @@ def group_size(first_type: Column, first_neg_count: Column, first_tgs: Column, d
             .otherwise(F.lit(default)))
 
 
+def batch_group_size(plan: DataFrame, df: DataFrame, default: int) -> DataFrame:
+    """I4 per batch: every row of ``df`` with the group size of its rank's slice
+    of the batch, which the slice's first row (slot 0) decides."""
+    cols = set(df.columns)
+    typ = F.col("type") if "type" in cols else F.lit(None).cast("string")
+    tgs = F.col("train_group_size") if "train_group_size" in cols else F.lit(None).cast("int")
+    slices = ["epoch", "dataset_id", "batch_no", "rank"]
+    first = (plan.where(F.col("slot") == 0).select(*slices, "row_id").join(df.drop("dataset_id"), "row_id")
+             .select(*slices, group_size(typ, F.size("neg"), tgs, default).alias("g")))
+    rows = plan.select(*slices, "row_id").join(first, slices).select("row_id", "g")
+    return df.join(rows, "row_id")
+
+
 def pick_positive(pos: Column, seed, epoch, row_id: Column) -> Column:
     """0-based index of one random positive."""
     return F.floor(u01(seed, epoch, row_id, F.lit("pos")) * F.size(pos)).cast("int")
@@ -89,6 +101,7 @@ def build_groups(df: DataFrame, *, seed: int, epoch: int, group: int = 8,
                  shuffle_ratio: float = 0.0, distill: bool = True) -> DataFrame:
     """One training group per row.
 
+    The group size is the column ``g`` (see ``batch_group_size``) or ``group``.
     Output: row_id, dataset_id, query (formatted), g, passages ARRAY<STRING>
     (positive first), teacher ARRAY<DOUBLE> (same order, null without
     distillation). Types ``symmetric_sts`` / ``symmetric_clustering`` format
@@ -96,9 +109,8 @@ def build_groups(df: DataFrame, *, seed: int, epoch: int, group: int = 8,
     """
     cols = set(df.columns)
     typ = F.col("type") if "type" in cols else F.lit(None).cast("string")
-    tgs = F.col("train_group_size") if "train_group_size" in cols else F.lit(None).cast("int")
     prompt = F.col("prompt") if "prompt" in cols else F.lit(None).cast("string")
-    g = group_size(typ, F.size("neg"), tgs, group) if ("type" in cols or "train_group_size" in cols) else F.lit(group)
+    g = F.col("g") if "g" in cols else F.lit(group)
     rid = F.col("row_id")
     t = (df.withColumn("g", g)
          .withColumn("_pi", pick_positive(F.col("pos"), F.lit(seed), F.lit(epoch), rid))
@@ -134,8 +146,7 @@ def plan_batches(df: DataFrame, batch_sizes: DataFrame, *, seed: int, epoch: int
     keyed = df.select("dataset_id", "row_id", u.alias("_u"))
     idx = ordered_index(keyed, ["dataset_id", "_u", "row_id"], idx="_idx")
     firsts = idx.groupBy("dataset_id").agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # one row per dataset: bounded by the dataset count
-    j = idx.join(F.broadcast(firsts.join(batch_sizes, "dataset_id")), "dataset_id")
+    j = idx.join(firsts.join(batch_sizes, "dataset_id"), "dataset_id")
     per = F.col("batch_size") * F.lit(world)
     rnk = F.col("_idx") - F.col("_first")
     j = (j.withColumn("batch_no", F.floor(rnk / per).cast("long"))
@@ -179,11 +190,14 @@ def flatten_batch(plan: DataFrame, groups: DataFrame) -> DataFrame:
     return q.unionByName(p)
 
 
-def pad_plan(tokens: DataFrame, max_len: int, multiple: int = 8, keys=("epoch", "dataset_id", "batch_no", "rank")) -> DataFrame:
-    """Padded length per (sub-)batch: longest truncated sequence rounded
-    up to ``multiple``; each row's ids truncated and padded to it."""
+def pad_plan(tokens: DataFrame, max_len: int, multiple: int = 8, keys=("epoch", "dataset_id", "batch_no", "rank"),
+             sub_batch: int | None = None, position: str = "position") -> DataFrame:
+    """Padded length per batch, or per ``sub_batch`` consecutive positions
+    of it: longest truncated sequence rounded up to ``multiple``; each row's ids
+    truncated and padded to it."""
     t = tokens.withColumn("_len", F.least(F.size("ids"), F.lit(max_len)))
-    w = Window.partitionBy(*keys)
+    part = [F.col(k) for k in keys] + ([F.floor(F.col(position) / sub_batch)] if sub_batch else [])
+    w = Window.partitionBy(*part)  # rows of a batch: bounded
     t = t.withColumn("pad_to", (F.ceil(F.max("_len").over(w) / multiple) * multiple).cast("int"))
     return t.withColumn("padded", F.concat(F.slice("ids", 1, max_len),
                                            F.array_repeat(F.lit(0), F.col("pad_to") - F.col("_len")))) \
@@ -192,24 +206,19 @@ def pad_plan(tokens: DataFrame, max_len: int, multiple: int = 8, keys=("epoch",
 
 
 def validate_training(df: DataFrame, distill: bool = False) -> DataFrame:
-    """Rejected rows with a reason (empty frame = all good)."""
-    cols = set(df.columns)
+    """Rejected rows with all their reasons (empty frame = all good)."""
     reasons = [
         F.when(F.col("pos").isNull() | (F.size("pos") == 0), F.lit("pos missing or empty")),
         F.when(F.col("neg").isNull() | (F.size("neg") == 0), F.lit("neg missing or empty")),
     ]
     if distill:
-        reasons += [
-            F.when(F.col("pos_scores").isNull() | (F.size("pos_scores") != F.size("pos")),
-                   F.lit("pos_scores do not match pos")),
-            F.when(F.col("neg_scores").isNull() | (F.size("neg_scores") != F.size("neg")),
-                   F.lit("neg_scores do not match neg")),
-        ]
+        for side in ("pos", "neg"):
+            scores = F.col(f"{side}_scores")
+            reasons.append(F.when(scores.isNull() | (F.size(scores) != F.size(side)), F.lit(f"{side}_scores do not match {side}")))
+            bad = F.exists(scores, lambda x: x.isNull() | F.isnan(x))
+            reasons.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(f"{side}_scores not numeric")))
     r = F.filter(F.array(*reasons), lambda x: x.isNotNull())
-    out = df.withColumn("reasons", r).where(F.size("reasons") > 0)
-    if "type" in cols and "batch_no" in cols:
-        pass
-    return out
+    return df.withColumn("reasons", r).where(F.size("reasons") > 0)
 
 
 def mixed_type_batches(plan: DataFrame, df: DataFrame) -> DataFrame:

@@ -2,25 +2,27 @@
 
 Streams are stateless (the reference only iterates lazily); each runs with
 ``trigger(availableNow=True)`` so a backlog is processed in bounded
-micro-batches and the query stops. Progress and sink commits live under the
-checkpoint directory named by the cluster (``spark.checkpoint.dir``), so a
-restarted job resumes where it stopped.
+micro-batches and the query stops. Progress is kept beside the output (or in
+a given folder), on the store that all executors share, so a restarted job resumes where it stopped.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import embed as EM
 from ..operators import pretrain as PT
-from ..session import ensure_checkpoint_dir
 
 
-def _ckpt(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:8]}"
+def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stream over ``<sf_dir>/<name>.parquet``, a single file or a directory of part files."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def clean_lines(stream: DataFrame, text_col: str, max_len: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -30,18 +32,15 @@ def clean_lines(stream: DataFrame, text_col: str, max_len: int, keys: tuple[str,
     return PT.line_mode(lines, max_len)
 
 
-def run_available(stream_out: DataFrame, name: str, fmt: str = "memory", path: str | None = None,
-                  checkpoint: str | None = None):
-    """Run a stream over everything available now and stop."""
-    spark = stream_out.sparkSession
-    w = (stream_out.writeStream.format(fmt).outputMode("append")
-         .option("checkpointLocation", checkpoint or _ckpt(spark, name))
-         .trigger(availableNow=True))
-    if fmt == "memory":
-        w = w.queryName(name)
-    elif path is not None:
-        w = w.option("path", path)
-    q = w.start()
+def run_available(stream_out: DataFrame, name: str, path: str, checkpoint: str | None = None):
+    """Run a stream over everything available now into Parquet below ``path`` and stop.
+
+    Progress is kept in ``checkpoint``, by default a folder that belongs to the
+    output path, so a repeated call with the same path goes on where the last one
+    stopped."""
+    q = (stream_out.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", checkpoint or f"{path.rstrip('/')}-progress-{name}")
+         .option("path", path).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
@@ -63,12 +62,9 @@ def stream_embed(store_path: str, dim: int = 64, keys=("model", "suite", "conten
     def per_batch(df: DataFrame, epoch_id: int) -> None:
         spark = df.sparkSession
         todo = df.withColumn("content_md5", F.md5("text"))
-        try:
-            store = spark.read.parquet(store_path)
-            todo = EM.embed_missing(todo, store, keys)
-        except Exception as e:  # first batch: no store yet
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                raise
+        p = spark._jvm.org.apache.hadoop.fs.Path(store_path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):  # the first batch has no store
+            todo = EM.embed_missing(todo, spark.read.parquet(store_path), keys)
         todo = todo.dropDuplicates(list(keys))
         vec = EM.hash_encode(todo.select(*keys, "text").withColumn("_id", F.col("content_md5")),
                              "_id", "text", dim)
