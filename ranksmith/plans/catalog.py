@@ -8,21 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators import judge
 from ..operators.search import exact_topk
+from ..session import freeze, shared_path
 from . import oracle as O
 from . import views as V
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
+from .registry import ORACLE, QUERIES, register  # noqa: F401
 
 # ---- F1: exact top-k --------------------------------------------------------
 
@@ -36,7 +25,7 @@ def q_topk_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- V3: judgements from label distance -------------------------------------
 
-@register("qrels_vec", O.with_(O.V1, O.V2, O.V3) + "SELECT task, event, qkey, dkey, score FROM qrels_vec")
+@register("qrels_vec", O.with_(O.VEC_VIEWS) + "SELECT task, event, qkey, dkey, score FROM qrels_vec")
 def q_qrels_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.qrels_vec(spark, sf_dir)
 
@@ -44,7 +33,8 @@ def q_qrels_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- H8-H14 on the vector run ------------------------------------------------
 
 def _vec_perq(spark, sf_dir):
-    return judge.per_query(V.run_vec(spark, sf_dir), V.qrels_vec(spark, sf_dir), 10)
+    run = freeze(V.run_vec(spark, sf_dir), "run-vec")  # one search serves the run and its pool of judgements
+    return judge.per_query(run, V.qrels_vec(spark, sf_dir, run), 10)
 
 
 _VEC_METRICS = O.with_(O.VEC_VIEWS, O.metrics_ctes("run_vec", "qrels_vec"))
@@ -76,7 +66,7 @@ _SWEEP = O.with_(O.VEC_VIEWS, O.V5, O.metrics_ctes("models_run", "qrels_vec"))
 
 
 def _sweep_perq(spark, sf_dir):
-    return judge.per_query(V.models_run(spark, sf_dir), V.qrels_vec(spark, sf_dir), 10)
+    return freeze(judge.per_query(V.models_run(spark, sf_dir), V.qrels_vec(spark, sf_dir), 10), "sweep")
 
 
 @register("sweep_per_event", _SWEEP + O.PER_EVENT_SELECT)
@@ -434,13 +424,13 @@ FROM (SELECT doc_id, line_no, list_slice(list_transform(list_filter(string_split
         lambda t: CAST((CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 30000) + 10 AS INTEGER)), 1, 32) AS ids
       FROM lines WHERE length({O.strip_sql('line')}) > 0)""")
 def q_stream_clean(spark, sf_dir):
-    from ..streaming.streams import clean_lines, run_available
-    import uuid
-    src = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    stream = (spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "documents.parquet").parquet(sf_dir))
-    out = clean_lines(stream, "text", 32, keys=("doc_id",))
-    name = f"stream_clean_{uuid.uuid4().hex[:8]}"
-    run_available(out.select("doc_id", F.col("line_no").cast("int"), F.size("ids").alias("n_ids"),
-                             F.md5(F.array_join("ids", " ")).alias("ids_md5")), name)
-    return spark.table(name)
+    from ..streaming.streams import clean_lines, read_table_stream, run_available
+    out = clean_lines(read_table_stream(spark, sf_dir, "documents"), "text", 32, keys=("doc_id",))
+    out = out.select("doc_id", F.col("line_no").cast("int"), F.size("ids").alias("n_ids"),
+                     F.md5(F.array_join("ids", " ")).alias("ids_md5"))
+    path = shared_path(spark, "stream-clean")
+    run_available(out, "stream_clean", path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+from . import catalog_embed, catalog_suites, catalog_train  # noqa: E402, F401  (they register their queries)

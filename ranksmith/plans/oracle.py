@@ -19,10 +19,14 @@ V1 = f"""q_vec AS (
 
 V2 = """c_vec AS (SELECT vec_id AS did, embedding, label FROM embeddings WHERE vec_id % 10 <> 0)"""
 
-V3 = """qrels_vec AS (
+V3 = """qrels_pairs AS (
+  SELECT qkey AS qid, dkey AS did FROM run_vec
+  UNION
+  SELECT q.qid, q.qid + t.o FROM q_vec q, unnest(range(1, 21)) t(o)),
+qrels_vec AS (
   SELECT q.task, q.event, q.qid AS qkey, c.did AS dkey,
-         CAST(2 - abs(q.label - c.label) AS DOUBLE) AS score
-  FROM q_vec q JOIN c_vec c ON abs(q.label - c.label) <= 2
+         CAST(greatest(0, 2 - abs(q.label - c.label)) AS DOUBLE) AS score
+  FROM qrels_pairs p JOIN q_vec q ON q.qid = p.qid JOIN c_vec c ON c.did = p.did
   WHERE (q.qid // 10) % 7 <> 0 AND (q.qid * 31 + c.did) % 5 <> 0)"""
 
 
@@ -43,17 +47,17 @@ run_vec AS (
          CAST(t.rank AS BIGINT) AS rank, t.did AS dkey, t.score
   FROM topk_vec t JOIN q_vec q USING (qid))"""
 
-V5 = f"""ckpt(model, w) AS (VALUES ('checkpoint-10', 0.0), ('checkpoint-20', 0.1), ('checkpoint-30', 0.2)),
-models_pool AS (
-  SELECT k.model, r.task, r.event, r.qrow, r.qkey, r.dkey,
-         round((1 - k.w) * r.score + k.w * {u01_sql('k.model', 'r.qkey', 'r.dkey')}, 6) AS score
-  FROM run_vec r CROSS JOIN ckpt k),
+V5 = f"""ckpt(model, n, w) AS (VALUES ('checkpoint-10', 0, 0.0::DOUBLE), ('checkpoint-20', 1, 0.1::DOUBLE), ('checkpoint-30', 2, 0.2::DOUBLE)),
+mq_vec AS (
+  SELECT k.model, q.task, q.event, q.qid AS own, q.qid * 3 + k.n AS qid,
+         list_transform(q.embedding, lambda x, i: (1 - k.w) * CAST(x AS DOUBLE) + k.w * ({u01_sql('k.model', 'q.qid', 'i - 1')} - 0.5)) AS embedding
+  FROM q_vec q CROSS JOIN ckpt k),
+""" + topk_cte("topk_models", "mq_vec", "c_vec") + """,
 models_run AS (
-  SELECT model, task, event, qrow, qkey, dkey, score,
-         CAST(row_number() OVER (PARTITION BY model, qrow ORDER BY score DESC, dkey ASC) AS BIGINT) AS rank
-  FROM models_pool)"""
+  SELECT q.model, q.task, q.event, q.own AS qrow, q.own AS qkey, t.did AS dkey, t.score, CAST(t.rank AS BIGINT) AS rank
+  FROM topk_models t JOIN mq_vec q USING (qid))"""
 
-VEC_VIEWS = ",\n".join([V1, V2, V3, V4])
+VEC_VIEWS = ",\n".join([V1, V2, V4, V3])
 
 
 def metrics_ctes(run: str, qrels: str, k: int = 10, cut_before_filter: bool = True,
@@ -92,7 +96,7 @@ pi AS (
   FROM ign GROUP BY model, task, event, qrow),
 perq AS (
   SELECT pz.model, pz.task, pz.event, pz.qrow, pz.qkey, pz.n_pairs, pz.n_unjudged,
-         ideal.idcg IS NOT NULL AS judged,
+         ideal.idcg IS NOT NULL AS judged, f.task IS NOT NULL AS file_judged,
          CASE WHEN ideal.idcg > 0 THEN dcg_z / ideal.idcg ELSE 0 END AS ndcg_z,
          coalesce(1.0 / first_z, 0) AS rr_z,
          CASE WHEN ideal.rel_total > 0 THEN hit_z / ideal.rel_total ELSE 0 END AS rec_z,
@@ -100,7 +104,8 @@ perq AS (
          coalesce(1.0 / pi.first_i, 0) AS rr_i,
          CASE WHEN ideal.rel_total > 0 THEN coalesce(pi.hit_i, 0) / ideal.rel_total ELSE 0 END AS rec_i
   FROM pz LEFT JOIN pi USING (model, task, event, qrow)
-          LEFT JOIN ideal USING (task, event, qkey))"""
+          LEFT JOIN ideal USING (task, event, qkey)
+          LEFT JOIN (SELECT DISTINCT task, event FROM {qrels}) f ON f.task = pz.task AND f.event = pz.event)"""
 
 
 PER_EVENT_SELECT = """SELECT model, task AS search_task, event AS event_type, 'zero' AS variant,
@@ -128,7 +133,7 @@ STATS_SELECT = """SELECT model, CAST(sum(n_pairs) AS BIGINT) AS total_retrieved_
        round(CASE WHEN sum(n_pairs) > 0
                   THEN sum(CASE WHEN judged THEN n_unjudged ELSE 0 END) / sum(n_pairs) ELSE 0 END, 6)
          AS unannotated_ratio
-FROM perq GROUP BY model"""
+FROM perq WHERE file_judged GROUP BY model"""
 
 
 def with_(*ctes: str) -> str:
@@ -214,12 +219,11 @@ qs AS (SELECT u.conv_id, u.turn, u.text AS query, a.text AS pos_text
        FROM u_ u JOIN a_ a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1),
 cand AS (SELECT conv_id AS c_conv, turn AS c_turn, text AS c_text, {_u("'cand'", 'conv_id', 'turn')} AS h FROM a_),
 ring AS (SELECT *, row_number() OVER (ORDER BY h, c_conv, c_turn) - 1 AS cpos FROM cand),
-sz AS (SELECT (SELECT max(k) FROM (SELECT count(*) AS k FROM cand GROUP BY c_conv)) AS m,
-              (SELECT count(*) FROM cand) AS n),
+sz AS (SELECT count(*) AS n FROM cand),
 probes AS (
   SELECT q.*, 1 + q.conv_id % 12 AS n_neg, o,
          (CAST(floor({_u("'start'", 'q.conv_id', 'q.turn')} * sz.n) AS BIGINT) + o) % sz.n AS cpos
-  FROM qs q CROSS JOIN sz, unnest(range(0, 1 + q.conv_id % 12 + sz.m)) t(o)),
+  FROM qs q CROSS JOIN sz, unnest(range(0, 1 + q.conv_id % 12 + 12)) t(o)),
 hit AS (SELECT p.*, r.c_conv, r.c_turn, r.c_text FROM probes p JOIN ring r ON r.cpos = p.cpos
         WHERE r.c_conv <> p.conv_id),
 hit1 AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY conv_id, turn, cpos ORDER BY o) = 1),

@@ -19,6 +19,9 @@ TASKS = ["FactCheck", "NLI", "QA", "QAdoc", "STS", "Twitter"]
 # Checkpoints of the sweep view and their noise weight.
 SWEEP_MODELS = [("checkpoint-10", 0.0), ("checkpoint-20", 0.1), ("checkpoint-30", 0.2)]
 
+# Ring positions that a query looks at beyond the negatives it wants.
+SPARE = 12
+
 
 def _task_of(label: Column) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in TASKS]), F.pmod(label, F.lit(6)).cast("int") + 1)
@@ -39,27 +42,24 @@ def c_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(F.col("vec_id") % 10 != 0).select(F.col("vec_id").alias("did"), "embedding", "label")
 
 
-def qrels_vec(spark: SparkSession, sf_dir: str, salt: int | None = None) -> DataFrame:
-    """V3: graded judgements from label distance (2 / 1 / 0 for distance
-    0 / 1 / 2); every fifth pair by hash is left unjudged and queries with
-    ``(qid div 10) % 7 = 0`` have no judgement at all.
+def qrels_vec(spark: SparkSession, sf_dir: str, run: DataFrame | None = None, beside: int = 20) -> DataFrame:
+    """V3: graded judgements, a bounded number per query as in a pooled track.
 
-    Label groups are few and large, so the equi-join on the wanted label is
-    salted: corpus rows spread over ``salt`` buckets and each query row is
-    copied once per bucket. No task holds a whole label group.
+    Judged are the V4 pool of the query (its top 10) and the ``beside`` corpus
+    ids behind its own; the grade is 2 - label distance, 0 at least. Every fifth pair by
+    arithmetic is left unjudged and queries with ``(qid div 10) % 7 = 0`` have
+    no judgement at all. Rows grow with the queries, not with their square.
     """
-    salt = salt or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run = run if run is not None else run_vec(spark, sf_dir)
     q = (q_vec(spark, sf_dir).where((F.floor(F.col("qid") / 10) % 7) != 0)
-         .select("qid", "task", "event", F.col("label").alias("qlabel"))
-         .withColumn("want", F.explode(F.sequence(F.col("qlabel") - 2, F.col("qlabel") + 2)))
-         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))))
-    c = (c_vec(spark, sf_dir).select("did", F.col("label").alias("want"))
-         .withColumn("salt", F.pmod(F.xxhash64("did"), F.lit(salt))))
-    j = q.join(c, on=["want", "salt"], how="inner")
-    d = F.abs(F.col("qlabel") - F.col("want"))
-    return (j.where(((F.col("qid") * 31 + F.col("did")) % 5) != 0)
-            .select("task", "event", F.col("qid").alias("qkey"), F.col("did").alias("dkey"),
-                    (F.lit(2.0) - d.cast("double")).alias("score")))
+         .select("qid", "task", "event", F.col("label").alias("qlabel")))
+    pool = run.select(F.col("qkey").alias("qid"), F.col("dkey").alias("did"))
+    near = q.select("qid", F.explode(F.sequence(F.col("qid") + 1, F.col("qid") + beside)).alias("did"))
+    pairs = pool.unionByName(near).where(((F.col("qid") * 31 + F.col("did")) % 5) != 0).distinct()
+    c = c_vec(spark, sf_dir).select("did", "label")
+    j = pairs.join(q, "qid").join(c, "did")
+    grade = F.greatest(F.lit(0), F.lit(2) - F.abs(F.col("qlabel") - F.col("label")))
+    return j.select("task", "event", F.col("qid").alias("qkey"), F.col("did").alias("dkey"), grade.cast("double").alias("score"))
 
 
 def run_vec(spark: SparkSession, sf_dir: str, k: int = 10, model: str = "base") -> DataFrame:
@@ -73,16 +73,29 @@ def run_vec(spark: SparkSession, sf_dir: str, k: int = 10, model: str = "base")
                     F.col("qid").alias("qkey"), "rank", F.col("did").alias("dkey"), "score"))
 
 
+def checkpoint_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query vectors of every checkpoint: (1 - w) * embedding + w * (u - 1/2)
+    with a uniform of (checkpoint, query, component); ``mq`` numbers them."""
+    q = q_vec(spark, sf_dir)
+    out = None
+    for n, (model, w) in enumerate(SWEEP_MODELS):
+        noise = F.transform("embedding", lambda x, i: F.lit(1.0 - w) * x.cast("double")
+                            + F.lit(w) * (u01(F.lit(model), F.col("qid"), i) - F.lit(0.5)))
+        part = q.select(F.lit(model).alias("model"), "task", "event", "qid", (F.col("qid") * len(SWEEP_MODELS) + n).alias("mq"),
+                        noise.alias("embedding"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def models_run(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """V5: several checkpoints in one frame: the V4 pool re-scored with
-    ``(1 - w) * dot + w * u(ckpt, qid, did)`` and re-ranked per checkpoint."""
-    base = run_vec(spark, sf_dir, k)
-    ck = spark.createDataFrame(SWEEP_MODELS, "model string, w double")
-    r = base.drop("model").crossJoin(F.broadcast(ck))
-    r = r.withColumn("score", F.round((F.lit(1.0) - F.col("w")) * F.col("score")
-                                      + F.col("w") * u01(F.col("model"), F.col("qkey"), F.col("dkey")), 6))
-    w = Window.partitionBy("model", "qrow").orderBy(F.col("score").desc(), F.col("dkey").asc())
-    return r.withColumn("rank", F.row_number().over(w).cast("long")).drop("w")
+    """V5: every checkpoint searches the whole corpus with its own query vectors."""
+    from ..operators.search import exact_topk
+    q = checkpoint_queries(spark, sf_dir)
+    hits = exact_topk(q.select("mq", "embedding"), c_vec(spark, sf_dir).select("did", "embedding"), k,
+                      qid="mq", did="did", vec="embedding")
+    return (hits.join(q.select(F.col("mq").alias("qid"), F.col("qid").alias("own"), "model", "task", "event"), "qid")
+            .select("model", "task", "event", F.col("own").alias("qrow"), F.col("own").alias("qkey"), "rank",
+                    F.col("did").alias("dkey"), "score"))
 
 
 def corpus_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,10 +153,10 @@ def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Query = a user turn whose next turn is an assistant turn (the positive).
     Negatives: assistant turns of other conversations, ``1 + conv_id % 12`` of
     them. All assistant turns are placed on a ring in md5 order; a query
-    starts at an md5-chosen ring position and takes the next turns that are
-    not from its own conversation. This is an equi-join on ring positions
-    (unique keys, no hot key), with ``n + M`` probes per query where M is the
-    largest number of assistant turns in one conversation.
+    starts at an md5-chosen ring position, looks at the next ``n + SPARE`` turns and takes the first
+    n that are not from its own conversation (fewer, if its conversation holds most
+    of that stretch). This is an equi-join on ring positions (unique keys, no
+    hot key) with a bounded number of probes per query.
     """
     from ..operators.corpus import ordered_index
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -156,14 +169,12 @@ def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("conv_id").alias("c_conv"), F.col("turn").alias("c_turn"), F.col("text").alias("c_text"),
                     u01(F.lit("cand"), F.col("conv_id"), F.col("turn")).alias("h")))
     ring = ordered_index(cand, ["h", "c_conv", "c_turn"], idx="cpos")
-    sizes = (cand.groupBy("c_conv").agg(F.count(F.lit(1)).alias("k"))
-             .agg(F.max("k").alias("M"))
-             .crossJoin(cand.agg(F.count(F.lit(1)).alias("N"))))
+    sizes = cand.agg(F.count(F.lit(1)).alias("N"))
     n_neg = (F.lit(1) + F.col("conv_id") % 12).cast("int")
     probes = (qs.crossJoin(F.broadcast(sizes))  # one row
               .withColumn("n_neg", n_neg)
               .withColumn("start", F.floor(u01(F.lit("start"), F.col("conv_id"), F.col("turn")) * F.col("N")).cast("long"))
-              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_neg") + F.col("M") - 1)))
+              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_neg") + (SPARE - 1))))
               .withColumn("cpos", (F.col("start") + F.col("o")) % F.col("N")))
     hit = (probes.join(ring.select("cpos", "c_conv", "c_turn", "c_text"), "cpos")
            .where(F.col("c_conv") != F.col("conv_id")))
