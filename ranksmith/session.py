@@ -26,6 +26,9 @@ DEFAULT_CONF = {
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "ranksmith") -> SparkSession:
     """A local session for tests and benchmarks (UI off, AQE on)."""
+    # Python workers find the package wherever the script was started
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", os.environ.get("RANKSMITH_DRIVER_MEMORY", "16g")))
