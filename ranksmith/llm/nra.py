@@ -180,7 +180,7 @@ def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", vec: str = "embedding",
     q = (v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
          .groupBy(F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(blocks)).alias("b"))
          .agg(F.collect_list(F.struct("vec_id", "v")).alias("m"))
-         .select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("g"), F.lit(1).alias("kind"),
+         .select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.lit(1).alias("kind"),
                  F.col("m.vec_id").alias("ids"),
                  # rows of equal length, so that a block is one flat array
                  F.flatten(F.transform("m.v", lambda x: F.concat(x, F.array_repeat(F.lit(0), F.lit(dim) - F.size(x))))).alias("v")))
