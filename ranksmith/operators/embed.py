@@ -64,12 +64,17 @@ def _hashed(df: DataFrame, id_col: str, text_col: str, dim: int, dense: bool, no
     return df.select(F.col(id_col).alias("id"), tokens(text_col).alias("toks")).mapInArrow(run, schema)
 
 
+def hash_arrays(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
+    """E2, one row per text: (id, buckets, vals), the buckets that hold a token."""
+    return _hashed(df, id_col, text_col, dim, dense=False, normalize=False)
+
+
 def hash_features(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """E2, sparse form: (id, bucket, value) with value = signed token count.
 
     bucket = first 8 hex digits of md5(token) mod dim; sign from the 9th hex digit.
     """
-    h = _hashed(df, id_col, text_col, dim, dense=False, normalize=False)
+    h = hash_arrays(df, id_col, text_col, dim)
     return (h.select("id", F.explode(F.arrays_zip("buckets", "vals")).alias("z"))
             .select("id", F.col("z.buckets").alias("bucket"), F.col("z.vals").alias("value")))
 

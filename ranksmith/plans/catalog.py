@@ -82,6 +82,7 @@ def q_sweep_per_task(spark, sf_dir):
 # ---- text path: corpus, prefixes, hashed vectors, text top-k, judgements -----
 
 from ..functions.text import task_prefix  # noqa: E402
+from ..functions.vectors import l2_normalize  # noqa: E402
 from ..operators import corpus as C  # noqa: E402
 from ..operators import embed as EM  # noqa: E402
 
@@ -119,8 +120,8 @@ def q_hash_features(spark, sf_dir):
     return EM.hash_features(corpus_txt(spark, sf_dir), "idx", "passage", 64)
 
 
-def text_topk(spark, sf_dir, k: int = 10):
-    corpus = corpus_txt(spark, sf_dir)
+def text_topk(spark, sf_dir, k: int = 10, corpus=None):
+    corpus = corpus if corpus is not None else corpus_txt(spark, sf_dir)
     dv = EM.hash_encode(corpus, "idx", "passage", 64)
     qv = EM.hash_encode(q_txt_prefixed(spark, sf_dir), "qid", "query", 64)
     hits = exact_topk(qv, dv, k, qid="qid", did="idx", vec="embedding")
@@ -214,11 +215,11 @@ def q_pool_mean(spark, sf_dir):
 FROM dfeat f JOIN (SELECT id, sqrt(sum(value * value)) AS norm FROM dfeat GROUP BY id) n USING (id)
 WHERE n.norm > 0""")
 def q_l2_normalize(spark, sf_dir):
-    v = EM.hash_encode(corpus_txt(spark, sf_dir), "idx", "passage", 64)
-    raw = EM.hash_features(corpus_txt(spark, sf_dir), "idx", "passage", 64)
-    long = v.select(F.col("idx").alias("id"), F.posexplode("embedding").alias("bucket", "value"))
-    return (long.join(raw.select("id", "bucket"), ["id", "bucket"], "left_semi")
-            .select("id", F.col("bucket").cast("long"), F.round("value", 6).alias("value")))
+    # sparse vectors: the norm of a row's values is bound once, the empty buckets stay out
+    f = EM.hash_arrays(corpus_txt(spark, sf_dir), "idx", "passage", 64)
+    unit = f.select("id", "buckets", l2_normalize("vals").alias("vals"))
+    return (unit.where(F.exists("vals", lambda x: x != 0)).select("id", F.explode(F.arrays_zip("buckets", "vals")).alias("z"))
+            .select("id", F.col("z.buckets").alias("bucket"), F.round(F.col("z.vals"), 6).alias("value")))
 
 
 # ---- I: training pairs, groups, batch plan ---------------------------------------

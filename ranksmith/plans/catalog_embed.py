@@ -9,7 +9,7 @@ from ..functions.text import TASK_INSTRUCTIONS, suite_prefix, task_prefix
 from ..operators import embed as EM
 from ..operators import judge
 from ..operators.search import hydrate_hits
-from ..session import freeze, shared_path, table
+from ..session import shared_path, table
 from ..streaming.streams import stream_embed, stream_pack
 from . import oracle as O
 from . import views as V
@@ -41,14 +41,13 @@ def q_suite_prefix(spark, sf_dir):
 
 
 @register("embed_texts", O.with_(O.CORPUS_TXT, O.hash_feat_cte("dfeat", "corpus_txt", "idx", "passage"))
-          + """SELECT f.id, f.bucket, round(f.value / n.norm, 5) AS value
-FROM dfeat f JOIN (SELECT id, sqrt(sum(value * value)) AS norm FROM dfeat GROUP BY id) n USING (id) WHERE n.norm > 0 AND f.value <> 0""")
+          + "SELECT id, bucket, value FROM dfeat WHERE value <> 0")
 def q_embed_texts(spark, sf_dir):
-    """E1 with the Python encoder that stands in for a model."""
+    """E1 with the Python encoder that stands in for a model; counts are exact in 32-bit floats."""
     from .catalog import corpus_txt
-    v = EM.embed_texts(corpus_txt(spark, sf_dir), "passage", EM.numpy_hash_encoder(64), 64, keep=("idx",))
+    v = EM.embed_texts(corpus_txt(spark, sf_dir), "passage", EM.numpy_hash_encoder(64), 64, normalize=False, keep=("idx",))
     return (v.select(F.col("idx").alias("id"), F.posexplode("embedding").alias("bucket", "value")).where("value <> 0")
-            .select("id", F.col("bucket").cast("long"), F.round(F.col("value").cast("double"), 5).alias("value")))
+            .select("id", F.col("bucket").cast("long"), F.col("value").cast("double").alias("value")))
 
 
 @register("embed_missing", """SELECT doc_id FROM documents d
@@ -68,8 +67,8 @@ def q_check_embedding_count(spark, sf_dir):
 def _hits(spark, sf_dir):
     """Text hits with their passages (F3) and the query texts."""
     from .catalog import corpus_txt, q_txt_prefixed, text_topk
-    corpus = freeze(corpus_txt(spark, sf_dir), "corpus")
-    hits = text_topk(spark, sf_dir).select("qid", "rank", F.col("idx").alias("did"), "score")
+    corpus = corpus_txt(spark, sf_dir)
+    hits = text_topk(spark, sf_dir, corpus=corpus).select("qid", "rank", F.col("idx").alias("did"), "score")
     h = hydrate_hits(hits, corpus, idx="idx", cols=("did", "passage"))
     q = q_txt_prefixed(spark, sf_dir).select("qid", "query")
     return h.withColumnRenamed("hit_did", "doc_id").withColumnRenamed("hit_passage", "passage").join(q, "qid")
