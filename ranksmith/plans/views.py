@@ -133,10 +133,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sts_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive turns of a conversation as STS pairs with a text label
     (every 17th pair by row number carries the unparsable label 'n/a')."""
-    c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    p = (c.withColumn("text_2", F.lead("text").over(w)).withColumn("turn_2", F.lead("turn").over(w))
-         .where(F.col("text_2").isNotNull()))
+    from ..operators.corpus import ordered_index
+    # neighbours in the global order instead of a window per conversation: a conversation
+    # with a third of all turns stays spread over the tasks
+    c = ordered_index(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], idx="at")
+    nxt = c.select((F.col("at") - 1).alias("at"), F.col("conv_id").alias("conv_2"), F.col("turn").alias("turn_2"), F.col("text").alias("text_2"))
+    p = c.join(nxt, "at").where((F.col("conv_id") == F.col("conv_2")) & F.col("text_2").isNotNull())
     ident = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     u = u01(F.lit("sts"), F.col("conv_id"), F.col("turn"))
     return p.select(
