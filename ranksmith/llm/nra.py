@@ -44,9 +44,9 @@ K = 5
 EVERY = 50
 SCALE = 256
 LIMIT = 1 << 23
-QUERY_ROWS = 256
+QUERY_ROWS = 64
 #: Components of a shard and of a corpus group: rows times dimensions, whatever the dimension.
-SHARD_CELLS = 1 << 19
+SHARD_CELLS = 1 << 18
 GROUP_CELLS = 1 << 22
 #: Share of each list that is read before the bounds are compared; then doubled.
 FIRST_READ = 1 / 16
@@ -91,47 +91,46 @@ class Shard:
         ``floor``: per query a score that k rows are known to reach.
         """
         n, dim = self.vecs.shape
-        nq = len(qid)
-        up, down = np.maximum(q, 0).astype(np.float64), np.maximum(-q, 0).astype(np.float64)
+        # 32-bit floats are exact for integers as long as no sum reaches 2^24
+        most = np.abs(q).max(initial=0) * 2.0 * np.abs(self.sorted).max(initial=0) * dim
+        kind = np.float32 if most < 1 << 24 else np.float64
+        up, down = np.maximum(q, 0).T.astype(kind), np.maximum(-q, 0).T.astype(kind)  # component, query
+        lists = self.sorted.astype(kind)
+        head, tail = lists[0], lists[-1]
         # the smallest summands: the far end of each list
-        worst = up @ self.sorted[-1].astype(np.float64) - down @ self.sorted[0].astype(np.float64)
-        got = np.zeros((nq, n))  # summands read, above the smallest possible
+        worst = tail @ up - head @ down
+        got = np.zeros((n, len(qid)), kind)  # summands read, above the smallest possible
         top, low = np.zeros((n, dim), bool), np.zeros((n, dim), bool)  # read from the top, from the bottom
-        own = qid[:, None] == self.ids[None, :]
-        depth, step = 0, max(1, int(n * FIRST_READ))
-        alive = np.arange(nq)
-        out = []
+        alive, floor, own = np.arange(len(qid)), np.asarray(floor, np.float64), self.ids[:, None] == qid[None, :]
+        depth, step, out = 0, max(1, int(n * FIRST_READ)), []
         while len(alive):
             end = min(n, depth + step)
             for d in range(dim):
                 hi, lo = self.order[depth:end, d], self.order[n - end:n - depth, d]
                 top[hi, d] = True
                 low[lo, d] = True
-                u, w = alive[up[alive, d] > 0], alive[down[alive, d] > 0]
-                if len(u):
-                    got[np.ix_(u, hi)] += np.outer(up[u, d], self.sorted[depth:end, d] - self.sorted[-1, d])
-                if len(w):
-                    got[np.ix_(w, lo)] += np.outer(down[w, d], self.sorted[0, d] - self.sorted[n - end:n - depth, d])
+                # a query reads a list from one end: its factor for the other one is 0
+                got[hi] += np.multiply.outer(lists[depth:end, d] - tail[d], up[d])
+                got[lo] += np.multiply.outer(head[d] - lists[n - end:n - depth, d], down[d])
             depth, step = end, end
-            # what an unread summand can still add above the smallest possible: the reading front
-            front_up = (self.sorted[min(depth, n - 1)] - self.sorted[-1]).astype(np.float64) if depth < n else np.zeros(dim)
-            front_low = (self.sorted[0] - self.sorted[max(n - depth - 1, 0)]).astype(np.float64) if depth < n else np.zeros(dim)
-            lower = got[alive] + worst[alive, None]
-            upper = lower + (up[alive] * front_up) @ (~top).T + (down[alive] * front_low) @ (~low).T
-            lower[own[alive]] = -np.inf
-            upper[own[alive]] = -np.inf
-            kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(alive), -np.inf)
-            bound = np.maximum(kth, floor[alive])
-            left = upper >= bound[:, None] - 0.5  # integer scores
-            done = (left.sum(1) <= SETTLE) | (depth >= n)
-            rows, cols = np.nonzero(left[done])
-            pos = alive[done][rows]
-            ok = ~own[pos, cols]
-            pos, cols = pos[ok], cols[ok]
+            lower = got + worst
+            upper = lower
+            if depth < n:  # what an unread summand can still add: the reading front
+                upper = (lower + (~top).astype(kind) @ ((lists[depth] - tail)[:, None] * up)
+                         + (~low).astype(kind) @ ((head - lists[n - depth - 1])[:, None] * down))
+            lower = np.where(own, kind(-np.inf), lower)
+            kth = np.partition(lower.T, n - k, axis=1)[:, n - k] if n > k else np.full(len(alive), -np.inf)
+            left = (upper >= np.maximum(kth, floor) - 0.5) & ~own  # integer scores
+            done = (left.sum(0) <= SETTLE) | (depth >= n)
+            rows, cols = np.nonzero(left[:, done])
+            pos = alive[done][cols]
             for a in range(0, len(pos), 1 << 16):  # resolve the final scores
-                p, c = pos[a:a + (1 << 16)], cols[a:a + (1 << 16)]
+                p, c = pos[a:a + (1 << 16)], rows[a:a + (1 << 16)]
                 out.append((p, self.ids[c], np.einsum("ij,ij->i", q[p].astype(np.int64), self.vecs[c].astype(np.int64))))
-            alive = alive[~done]
+            if done.any():
+                keep = ~done
+                alive, floor, worst = alive[keep], floor[keep], worst[keep]
+                got, own, up, down = got[:, keep], own[:, keep], up[:, keep], down[:, keep]
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
@@ -172,7 +171,9 @@ def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", vec: str = "embedding",
     c = v.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max(F.size("v")).alias("d")).first()
     dim = c["d"] or 0
     shard_rows = max(1, shard_cells // max(dim, 1))
-    groups = max(1, -(-c["n"] * dim // group_cells))
+    # groups of bounded size; with few rows, smaller ones so that all cores have work
+    cells = c["n"] * dim
+    groups = max(1, -(-cells // group_cells), min(-(-cells // shard_cells), 2 * vectors.sparkSession.sparkContext.defaultParallelism))
     blocks = max(1, -(-c["q"] // query_rows))
     # kind 0: rows of a group; kind 1: query blocks, one row per block and group
     rows = v.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).alias("g"), F.lit(0).alias("kind"),
@@ -184,7 +185,8 @@ def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", vec: str = "embedding",
                  F.col("m.vec_id").alias("ids"),
                  # rows of equal length, so that a block is one flat array
                  F.flatten(F.transform("m.v", lambda x: F.concat(x, F.array_repeat(F.lit(0), F.lit(dim) - F.size(x))))).alias("v")))
-    both = rows.unionByName(q).repartition(groups, "g").sortWithinPartitions("g", "kind")
+    # by range: a group a task, without hash collisions
+    both = rows.unionByName(q).repartitionByRange(groups, "g").sortWithinPartitions("g", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {"g": None, "ids": [], "vecs": [], "shards": None}
