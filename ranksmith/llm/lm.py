@@ -53,14 +53,16 @@ from pyspark.sql import functions as F
 
 from .common import freeze, held, text_slices, words
 
-BASE = 1.3
+BASE = 1.5
 ERROR = 1 / 256
 PAIR_LEAST = 2
 DISCOUNT = 0.7
 HEAD = 1 << 20
-BUCKET_PAIRS = 4_000_000
-SHARD_PAIRS = 8_000_000
-ROUND_BYTES = 256 << 20
+BUCKET_PAIRS = 2_000_000
+SHARD_PAIRS = 500_000
+ROUND_BYTES = 128 << 20
+#: Text whose tokens and pairs a task holds at once.
+TEXT_BYTES = 4 << 20
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 # kinds of entries: count of a word, of a pair, count that a word leaves to the unigram
@@ -112,7 +114,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(w, n): training occurrences of each token, by hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, 0):
+            for part in text_slices(batch, 0, TEXT_BYTES):
                 codes, _, h = tokens(part.column(0))
                 n = np.bincount(codes, minlength=len(h))[:-1]
                 at = np.flatnonzero(n)
@@ -175,7 +177,7 @@ def count_pairs(texts: DataFrame, head, buckets: int) -> DataFrame:
         hd = head.value
         width = np.uint64(max(1, int(len(hd.key)).bit_length()))
         for batch in batches:
-            for part in text_slices(batch, 0, 16 << 20):
+            for part in text_slices(batch, 0, TEXT_BYTES):
                 codes, offs, h = tokens(part.column(0))
                 key, n = np.unique(pairs_of(codes, offs, len(h)), return_counts=True)
                 a, b = key // len(h), key % len(h)
@@ -263,13 +265,13 @@ def probe_count(error: float = ERROR) -> int:
     return max(1, round(-math.log2(error)))
 
 
-def _slots(key: np.ndarray, kind: int, level: int, size: int, probes: int) -> Iterator[np.ndarray]:
+def _slots(key: np.ndarray, kind: int, level: int, size: np.ndarray, probes: int) -> Iterator[np.ndarray]:
     """Bit positions of the entry (key, kind, level), by double hashing."""
     with np.errstate(over="ignore"):
         a = mix(key + np.uint64((level * 8 + kind + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
         b = mix(a) | np.uint64(1)
         for i in range(probes):
-            yield ((a + np.uint64(i) * b) >> np.uint64(8)) % np.uint64(size)
+            yield ((a + np.uint64(i) * b) >> np.uint64(8)) % size
 
 
 def fill(groups: list[tuple[int, np.ndarray, np.ndarray]], probes: int) -> np.ndarray:
@@ -280,28 +282,64 @@ def fill(groups: list[tuple[int, np.ndarray, np.ndarray]], probes: int) -> np.nd
     bits = np.zeros(size, bool)
     for (kind, key, _), top in zip(groups, lev):
         for j in range(1, int(top.max(initial=0)) + 1):
-            for s in _slots(key[top >= j], kind, j, size, probes):
+            for s in _slots(key[top >= j], kind, j, np.uint64(size), probes):
                 bits[s] = True
     return np.packbits(bits, bitorder="little")
 
 
-def read_level(shard: np.ndarray, key: np.ndarray, kind: int, probes: int) -> np.ndarray:
-    """Level of each key: membership probes j = 1, 2, ... until a miss."""
-    size, out, live, j = len(shard) * 8, np.zeros(len(key), np.int64), np.arange(len(key)), 0
+def read_level(data: np.ndarray, key: np.ndarray, kind: int, probes: int, size: np.ndarray | None = None,
+               base: np.ndarray | None = None) -> np.ndarray:
+    """Level of each key: membership probes j = 1, 2, ... until a miss.
+
+    ``data`` is one shard, or several behind one another; then each key has the ``size`` (bits)
+    and ``base`` (first bit) of its shard."""
+    size = np.full(len(key), len(data) * 8, np.uint64) if size is None else size
+    base = np.zeros(len(key), np.uint64) if base is None else base
+    out, live, j = np.zeros(len(key), np.int64), np.arange(len(key)), 0
     while len(live):
         j += 1
-        k = key[live]
         hit = np.arange(len(live))
-        for s in _slots(k, kind, j, size, probes):
-            s = s[hit]
-            hit = hit[(shard[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-            if not len(hit):
-                break
+        k, n, at = key[live], size[live], base[live]
+        with np.errstate(over="ignore"):
+            a = mix(k + np.uint64((j * 8 + kind + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+            b = mix(a) | np.uint64(1)
+            for i in range(probes):  # only keys that have passed every probe so far go on
+                s = ((a[hit] + np.uint64(i) * b[hit]) >> np.uint64(8)) % n[hit] + at[hit]
+                hit = hit[(data[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                if not len(hit):
+                    break
         live = live[hit]
         out[live] = j
     return out
 
 
+class Round:
+    """The shards of one broadcast, behind one another."""
+
+    def __init__(self, sizes: dict[int, int], shards: Iterator[tuple[int, bytes]]):
+        """``sizes``: bytes of each shard; ``shards`` are put in place one by one."""
+        ids = sorted(sizes)
+        each = np.array([sizes[i] for i in ids], np.int64)
+        first = np.concatenate([[0], np.cumsum(each)])
+        self.data = np.zeros(first[-1], np.uint8)
+        at = dict(zip(ids, first.tolist()))
+        for i, bits in shards:
+            self.data[at[i]:at[i] + len(bits)] = np.frombuffer(bits, np.uint8)
+        self.size, self.base = (8 * each).astype(np.uint64), (8 * first[:-1]).astype(np.uint64)
+        self.ids = np.array(ids, np.int64)
+
+    def find(self, shard: np.ndarray) -> np.ndarray:
+        """Place of each shard in this round, -1 if it is not here."""
+        if not len(self.ids):
+            return np.full(len(shard), -1)
+        at = np.minimum(np.searchsorted(self.ids, shard), len(self.ids) - 1)
+        return np.where(self.ids[at] == shard, at, -1)
+
+    def count(self, at: np.ndarray, key: np.ndarray, kind: int, probes: int) -> np.ndarray:
+        """Counts of the keys, each in the shard at its place."""
+        return worth(read_level(self.data, key, kind, probes, self.size[at], self.base[at]), kind)
+
+
 @dataclass
 class Dealt:
     """Which shard answers for (h, w): by h, and by w too for words with very many followers."""
@@ -388,30 +426,35 @@ def build_filter(pairs: DataFrame, counts: DataFrame, shard_pairs: int) -> tuple
     return freeze(dealt.mapInArrow(run, "shard int, bits binary"), "lm-filter"), deal
 
 
-def gains(shards: dict[int, np.ndarray], deal: Dealt, head: Head, h: np.ndarray, w: np.ndarray, probes: int) -> np.ndarray:
-    """log10 p(w | h) - log10 p(w) of (h, w), 0 for those that other shards answer for."""
+def gains(bits: Round, deal: Dealt, head: Head, hashes: np.ndarray, h: np.ndarray, w: np.ndarray, probes: int) -> np.ndarray:
+    """log10 p(w | h) - log10 p(w) of the code pairs (h, w), 0 for those that
+    other rounds answer for."""
     out = np.zeros(len(h))
-    which = deal.of(h, w)
-    scale = head.tokens + 0.5 * (head.kinds + 1)
-    for s, bits in shards.items():
-        at = np.flatnonzero(which == s)
-        if not len(at):
-            continue
-        uh, ih = np.unique(h[at], return_inverse=True)
-        uw, iw = np.unique(w[at], return_inverse=True)
-        left = worth(read_level(bits, uh, LEFT, probes), LEFT)
-        ch = np.where(left > 0, worth(read_level(bits, uh, WORD, probes), WORD), 0.0)
-        cw = worth(read_level(bits, uw, WORD, probes), WORD)
-        c, cw, rest = ch[ih], cw[iw], left[ih]
-        live = np.flatnonzero(c > 0)
-        rest = np.minimum(1.0, rest[live] / c[live])
-        pair = np.zeros(len(live))
-        ask = np.flatnonzero(cw[live] > 0)  # a kept pair has both its words in the shard
-        x = at[live[ask]]
-        pair[ask] = worth(read_level(bits, pair_hash(h[x], w[x]), PAIR, probes), PAIR)
-        pair = np.minimum(pair, np.minimum(c[live], cw[live]))
-        uni = (cw[live] + 0.5) / scale
-        out[at[live]] = np.log10(np.maximum(pair - DISCOUNT, 0.0) / c[live] / uni + rest)
+    place = bits.find(deal.of(hashes[h], hashes[w]))
+    at = np.flatnonzero(place >= 0)
+    if not len(at):
+        return out
+    n, place = len(hashes), place[at]
+    # every history and word is probed once per shard
+    uh, ih = np.unique(place * n + h[at], return_inverse=True)
+    uw, iw = np.unique(place * n + w[at], return_inverse=True)
+    left = bits.count(uh // n, hashes[uh % n], LEFT, probes)
+    ch = np.zeros(len(uh))
+    ok = np.flatnonzero(left > 0)
+    ch[ok] = bits.count(uh[ok] // n, hashes[uh[ok] % n], WORD, probes)
+    c = ch[ih]
+    live = np.flatnonzero(c > 0)
+    c, rest, at, place, iw = c[live], np.minimum(1.0, left[ih[live]] / c[live]), at[live], place[live], iw[live]
+    seen = np.unique(iw)
+    cw = np.zeros(len(uw))
+    cw[seen] = bits.count(uw[seen] // n, hashes[uw[seen] % n], WORD, probes)
+    cw = cw[iw]
+    pair = np.zeros(len(at))
+    ask = np.flatnonzero(cw > 0)  # a kept pair has both its words in the shard
+    pair[ask] = bits.count(place[ask], pair_hash(hashes[h[at[ask]]], hashes[w[at[ask]]]), PAIR, probes)
+    pair = np.minimum(pair, np.minimum(c, cw))
+    uni = (cw + 0.5) / (head.tokens + 0.5 * (head.kinds + 1))
+    out[at] = np.log10(np.maximum(pair - DISCOUNT, 0.0) / c / uni + rest)
     return out
 
 
@@ -435,7 +478,7 @@ def _base(docs: DataFrame, head, first, deal: Dealt) -> DataFrame:
         scale = hd.tokens + 0.5 * (hd.kinds + 1)
         nxt = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in text_slices(batch, 3):
+            for part in text_slices(batch, 3, TEXT_BYTES):
                 m = part.num_rows
                 codes, offs, h = tokens(part.column(3))
                 at = hd.find(h)
@@ -463,12 +506,12 @@ def _base(docs: DataFrame, head, first, deal: Dealt) -> DataFrame:
 _NAMES = ["kind", "rid", "rk", "doc_id", "held_out", "n_tokens", "n_known", "base", "gain", "w", "n"]
 
 
-def _gain(bits: dict, deal: Dealt, hd: Head, codes: np.ndarray, offs: np.ndarray, h: np.ndarray, probes: int) -> np.ndarray:
+def _gain(bits: Round, deal: Dealt, hd: Head, codes: np.ndarray, offs: np.ndarray, h: np.ndarray, probes: int) -> np.ndarray:
     """Summed gains of each text."""
-    if not bits:
+    if not len(bits.ids):
         return np.zeros(len(offs) - 1)
     key, at = np.unique(pairs_of(codes, offs, len(h)), return_inverse=True)
-    return _sums(gains(bits, deal, hd, h[key // len(h)], h[key % len(h)], probes)[at], offs)
+    return _sums(gains(bits, deal, hd, h, key // len(h), key % len(h), probes)[at], offs)
 
 
 def _round(docs: DataFrame, head, bc, deal: Dealt) -> DataFrame:
@@ -477,7 +520,7 @@ def _round(docs: DataFrame, head, bc, deal: Dealt) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, 1):
+            for part in text_slices(batch, 1, TEXT_BYTES):
                 codes, offs, h = tokens(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_gain(bc.value, deal, head.value, codes, offs, h, probes))],
                                                  names=["rk", "gain"])
@@ -498,17 +541,18 @@ def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", h
     pairs = freeze(count_pairs(training, bc, max(parts, -(-hd.tokens // bucket_pairs))), "lm-pairs")
     filt, deal = build_filter(pairs, counts, shard_pairs)
     docs = docs.withColumn("rk", F.xxhash64("doc_id", "text"))
-    rounds, size = [[]], 0
+    rounds, size = [{}], 0
     for r in filt.select("shard", F.octet_length("bits").alias("size")).orderBy("shard").collect():  # one row per shard
         if rounds[-1] and size + r.size > round_bytes:
-            rounds.append([])
+            rounds.append({})
             size = 0
-        rounds[-1].append(r.shard)
+        rounds[-1][r.shard] = r.size
         size += r.size
 
-    def sent(ids: list[int]):
-        got = filt.where(F.col("shard").isin(ids)).collect()  # one round's shards: ROUND_BYTES
-        return spark.sparkContext.broadcast({r.shard: np.frombuffer(bytes(r.bits), np.uint8) for r in got})
+    def sent(sizes: dict[int, int]):
+        # one round's shards, ROUND_BYTES together, fetched shard by shard
+        got = filt.where(F.col("shard").isin(list(sizes))).toLocalIterator()
+        return spark.sparkContext.broadcast(Round(sizes, ((r.shard, bytes(r.bits)) for r in got)))
 
     rows = freeze(_base(docs, bc, sent(rounds[0]), deal), "lm-rows")
     scale = hd.tokens + 0.5 * (hd.kinds + 1)
