@@ -428,30 +428,36 @@ def build_filter(pairs: DataFrame, counts: DataFrame, shard_pairs: int) -> tuple
 
 def gains(bits: Round, deal: Dealt, head: Head, hashes: np.ndarray, h: np.ndarray, w: np.ndarray, probes: int) -> np.ndarray:
     """log10 p(w | h) - log10 p(w) of the code pairs (h, w), 0 for those that
-    other rounds answer for."""
+    other rounds answer for. Words of the head have their counts there; the
+    counts of other words are probed."""
     out = np.zeros(len(h))
     place = bits.find(deal.of(hashes[h], hashes[w]))
     at = np.flatnonzero(place >= 0)
     if not len(at):
         return out
-    n, place = len(hashes), place[at]
-    # every history and word is probed once per shard
-    uh, ih = np.unique(place * n + h[at], return_inverse=True)
-    uw, iw = np.unique(place * n + w[at], return_inverse=True)
+    n, place, h, w = len(hashes), place[at], h[at], w[at]
+    in_head = head.find(hashes)
+    count = np.where(in_head >= 0, head.n[in_head], 0).astype(float)
+
+    def words_of(code: np.ndarray, where: np.ndarray) -> np.ndarray:
+        c = count[code]
+        rare = np.flatnonzero(c == 0)
+        u, i = np.unique(where[rare] * n + code[rare], return_inverse=True)
+        c[rare] = bits.count(u // n, hashes[u % n], WORD, probes)[i]
+        return c
+
+    # a history is probed once per shard
+    uh, ih = np.unique(place * n + h, return_inverse=True)
     left = bits.count(uh // n, hashes[uh % n], LEFT, probes)
-    ch = np.zeros(len(uh))
-    ok = np.flatnonzero(left > 0)
-    ch[ok] = bits.count(uh[ok] // n, hashes[uh[ok] % n], WORD, probes)
-    c = ch[ih]
+    ok = np.flatnonzero(left[ih] > 0)
+    at, place, h, w, left = at[ok], place[ok], h[ok], w[ok], left[ih[ok]]
+    c, cw = words_of(h, place), words_of(w, place)
     live = np.flatnonzero(c > 0)
-    c, rest, at, place, iw = c[live], np.minimum(1.0, left[ih[live]] / c[live]), at[live], place[live], iw[live]
-    seen = np.unique(iw)
-    cw = np.zeros(len(uw))
-    cw[seen] = bits.count(uw[seen] // n, hashes[uw[seen] % n], WORD, probes)
-    cw = cw[iw]
+    at, place, h, w, c, cw, rest = at[live], place[live], h[live], w[live], c[live], cw[live], np.minimum(1.0, left[live] / c[live])
     pair = np.zeros(len(at))
-    ask = np.flatnonzero(cw > 0)  # a kept pair has both its words in the shard
-    pair[ask] = bits.count(place[ask], pair_hash(hashes[h[at[ask]]], hashes[w[at[ask]]]), PAIR, probes)
+    ask = np.flatnonzero(cw > 0)
+    ask = ask[np.argsort(place[ask], kind="stable")]  # shard by shard: probes stay in cache
+    pair[ask] = bits.count(place[ask], pair_hash(hashes[h[ask]], hashes[w[ask]]), PAIR, probes)
     pair = np.minimum(pair, np.minimum(c, cw))
     uni = (cw + 0.5) / (head.tokens + 0.5 * (head.kinds + 1))
     out[at] = np.log10(np.maximum(pair - DISCOUNT, 0.0) / c / uni + rest)
