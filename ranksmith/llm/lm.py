@@ -7,17 +7,17 @@ Counting. Words are summed exactly. The ``HEAD`` most frequent words are a
 table of bounded size (hash, count) that tasks hold. Word pairs are counted in
 a second pass: a task sorts the pairs of a slice of text and sends them as packed
 runs by bucket of the pair, so that the shuffle has a few bytes per pair; a
-bucket's task merges the runs and keeps pairs seen at least ``PAIR_LEAST``
-times. Buckets grow in number with the tokens, not in size; a hot word's pairs
-are spread over all of them.
+bucket's task merges the runs. Every pair is kept, also one seen once. Buckets
+grow in number with the tokens, not in size; a hot word's pairs are spread over
+all of them.
 
 Filter (after Talbot and Osborne, 2007). A count c is quantised to the level
 1 + floor(log_BASE(c / least)), and an entry (n-gram, j) is put in for every j
 up to it; a reader probes j = 1, 2, ... until a miss. An n-gram that was
-not put in is taken for one with probability ``ERROR`` per probe. The kept pairs are dealt to
-shards by their first word h (a word with very many kept followers to several, by the second word); a
-shard also has the counts of its h and of the words behind them, and the
-count r(h) = c(h) - (kept pairs of h) + D * (kept followers of h) that is left
+not put in is taken for one with probability ``ERROR`` per probe. The pairs are dealt to
+shards by their first word h (a word with very many followers to several, by the second word); a
+shard also has the counts of its h and of the words behind them, and the number
+of followers of h; as all pairs of h are kept, r(h) = D * followers is left
 to the unigram. So a shard answers for its histories alone. Shards have
 bounded size; as many as fit ``ROUND_BYTES`` are broadcast at once and every
 round adds the terms of its own histories: the broadcast does not grow with
@@ -55,7 +55,7 @@ from .common import freeze, held, text_slices, words
 
 BASE = 1.5
 ERROR = 1 / 256
-PAIR_LEAST = 2
+PAIR_LEAST = 1
 DISCOUNT = 0.7
 HEAD = 1 << 20
 BUCKET_PAIRS = 2_000_000
@@ -65,7 +65,7 @@ ROUND_BYTES = 128 << 20
 TEXT_BYTES = 4 << 20
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-# kinds of entries: count of a word, of a pair, count that a word leaves to the unigram
+# kinds of entries: count of a word, of a pair, number of followers of a word
 WORD, PAIR, LEFT = 0, 1, 2
 #: Smallest count of each kind, where its levels begin.
 LEAST = np.array([1.0, float(PAIR_LEAST), 1.0])
@@ -171,8 +171,8 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def count_pairs(texts: DataFrame, head, buckets: int) -> DataFrame:
-    """(h, w, n, ch, cw) of the pairs seen at least PAIR_LEAST times; the counts
-    of the words are 0 where they are not in the head."""
+    """(h, w, n, ch, cw) of all pairs; the counts of the words are 0 where they
+    are not in the head."""
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hd = head.value
         width = np.uint64(max(1, int(len(hd.key)).bit_length()))
@@ -212,7 +212,6 @@ def count_pairs(texts: DataFrame, head, buckets: int) -> DataFrame:
                 v, n = v[o], np.concatenate([r[3] for r in near])[o]
                 first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
                 n, v = np.add.reduceat(n, first), v[first]
-                v, n = v[n >= PAIR_LEAST], n[n >= PAIR_LEAST]
                 a, b = v >> width, v & ((np.uint64(1) << width) - np.uint64(1))
                 yield rows(hd.key[a], hd.key[b], n, hd.n[a], hd.n[b])
             far = [r for r in got if r[0] == 1]
@@ -222,8 +221,6 @@ def count_pairs(texts: DataFrame, head, buckets: int) -> DataFrame:
                 a, b, n = a[o], b[o], n[o]
                 first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
                 n, a, b = np.add.reduceat(n, first), a[first], b[first]
-                keep = n >= PAIR_LEAST
-                a, b, n = a[keep], b[keep], n[keep]
                 ia, ib = hd.find(a), hd.find(b)
                 yield rows(a, b, n, np.where(ia >= 0, hd.n[ia], 0), np.where(ib >= 0, hd.n[ib], 0))
 
@@ -257,8 +254,10 @@ def levels(count: np.ndarray, least: np.ndarray | float) -> np.ndarray:
 
 
 def worth(level: np.ndarray, kind: int) -> np.ndarray:
-    """The count a level stands for (middle of its range); level 0: 0."""
-    return np.where(level > 0, LEAST[kind] * BASE ** (level - 0.5), 0.0)
+    """The count a level stands for (middle of the whole numbers in it, so counts up to 3 are exact); level 0: 0."""
+    low = np.ceil(LEAST[kind] * BASE ** (level - 1.0) - 1e-9)
+    high = np.ceil(LEAST[kind] * BASE ** (level * 1.0) - 1e-9) - 1
+    return np.where(level > 0, np.sqrt(low * np.maximum(low, high)), 0.0)
 
 
 def probe_count(error: float = ERROR) -> int:
@@ -361,12 +360,12 @@ class Dealt:
 
 
 def build_filter(pairs: DataFrame, counts: DataFrame, shard_pairs: int) -> tuple[DataFrame, Dealt]:
-    """Kept pairs -> (shard, bits) in the shared folder, and the rule that deals histories."""
+    """Pairs -> (shard, bits) in the shared folder, and the rule that deals histories."""
     spark, probes = pairs.sparkSession, probe_count()
-    # counts of the few kept words that are not in the head
+    # counts of the words that are not in the head
     known = pairs.where("cw > 0")
     rare = pairs.where("cw = 0").drop("cw").join(counts.select("w", F.col("n").alias("cw")), "w").select(*pairs.columns)
-    per_h = pairs.groupBy("h").agg(F.sum("n").alias("kept"), F.count(F.lit(1)).alias("followers"), F.max("ch").alias("ch"))
+    per_h = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("followers"), F.max("ch").alias("ch"))
     more = per_h.where("ch = 0").drop("ch").join(counts.select(F.col("w").alias("h"), F.col("n").alias("ch")), "h")
     per_h = freeze(per_h.where("ch > 0").unionByName(more.select(*per_h.columns)), "lm-histories")
     total = per_h.agg(F.sum("followers")).first()[0] or 0
@@ -382,22 +381,21 @@ def build_filter(pairs: DataFrame, counts: DataFrame, shard_pairs: int) -> tuple
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, kept, followers, ch = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            left = np.maximum(1, np.rint(ch - kept + DISCOUNT * followers)).astype(np.int64)
-            rows = [(s, 1, x, 0, r, c) for x, r, c in zip(h.tolist(), left.tolist(), ch.tolist())
+            h, followers, ch = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            rows = [(s, 1, x, 0, r, c) for x, r, c in zip(h.tolist(), followers.tolist(), ch.tolist())
                     for s in deal.all_of(x & (1 << 64) - 1)] if deal.split else None
             if rows is None:
                 u = h.view(np.uint64)
                 z = np.zeros(len(u), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(deal.of(u, u)), pa.array(np.ones(len(u), np.int32)), pa.array(h), pa.array(z),
-                                                  pa.array(left), pa.array(ch)], names=["shard", "kind", "h", "w", "n", "c"])
+                                                  pa.array(followers), pa.array(ch)], names=["shard", "kind", "h", "w", "n", "c"])
             else:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), *[pa.int64()] * 4))],
                                                  names=["shard", "kind", "h", "w", "n", "c"])
 
     schema = "shard int, kind int, h long, w long, n long, c long"
     rows = (known.unionByName(rare).select("h", "w", "n", "ch", "cw").mapInArrow(assign, schema)
-            .unionByName(per_h.select("h", "kept", "followers", "ch").mapInArrow(totals, schema)))
+            .unionByName(per_h.select("h", "followers", "ch").mapInArrow(totals, schema)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, got = None, []
@@ -453,7 +451,7 @@ def gains(bits: Round, deal: Dealt, head: Head, hashes: np.ndarray, h: np.ndarra
     at, place, h, w, left = at[ok], place[ok], h[ok], w[ok], left[ih[ok]]
     c, cw = words_of(h, place), words_of(w, place)
     live = np.flatnonzero(c > 0)
-    at, place, h, w, c, cw, rest = at[live], place[live], h[live], w[live], c[live], cw[live], np.minimum(1.0, left[live] / c[live])
+    at, place, h, w, c, cw, rest = at[live], place[live], h[live], w[live], c[live], cw[live], np.minimum(1.0, DISCOUNT * left[live] / c[live])
     pair = np.zeros(len(at))
     ask = np.flatnonzero(cw > 0)
     ask = ask[np.argsort(place[ask], kind="stable")]  # shard by shard: probes stay in cache

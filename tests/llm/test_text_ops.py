@@ -191,6 +191,25 @@ def test_pairs_are_counted_exactly(spark):
         assert {(r.h & (1 << 64) - 1, r.w & (1 << 64) - 1): r.n for r in got} == want and len(got) == len(want)
 
 
+def test_pairs_seen_once_are_scored(spark):
+    train = [i for i in range(60) if not _in_test_fold(i)]
+    test = next(i for i in range(60, 200) if _in_test_fold(i))
+    rows = [(i, f"a{i} b{i}") for i in train] + [(test, f"a{train[0]} b{train[0]}")]
+    docs, m = spark.createDataFrame(rows, "doc_id long, text string"), len(train)
+    want = [(r[0], p, 1) for r in rows[:m] for p in ((None, "a"), ("a", "b"), ("b", None))]
+    counts = lm.count_words(docs.where(F.col("doc_id") != test).select("text"))
+    head = spark.sparkContext.broadcast(lm.read_head(counts, 1 << 20))
+    got = lm.count_pairs(docs.where(F.col("doc_id") != test).select("text"), head, 3).collect()
+    assert len(got) == len(want) and all(r.n == 1 for r in got)
+    scale = 3 * m + 0.5 * (2 * m + 2)
+    p = lambda c, left, cw: 0.3 / c + left / c * (cw + 0.5) / scale
+    exact = math.log10(p(m, 0.7 * m, 1)) + math.log10(p(1, 0.7, 1)) + math.log10(p(1, 0.7, m))
+    for kw in ({}, {"head": 4, "shard_pairs": 20, "round_bytes": 100}):
+        r = next(r for r in lm.score(docs, **kw).collect() if r.doc_id == test)
+        # counts of 1 are exact, the two large ones (m) within a factor of BASE
+        assert r.score > r.base_score + 1 and abs(r.score - exact) < 3 * math.log10(lm.BASE)
+
+
 def test_filter_reads_back_quantised_counts():
     rng = np.random.default_rng(0)
     key = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
