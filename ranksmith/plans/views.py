@@ -12,16 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.det import u01
 from ..functions.text import strip
-from ..session import table
+from ..session import freeze, table
 
 # Task order used to give each query vector a task.
 TASKS = ["FactCheck", "NLI", "QA", "QAdoc", "STS", "Twitter"]
 # Checkpoints of the sweep view and their noise weight.
 SWEEP_MODELS = [("checkpoint-10", 0.0), ("checkpoint-20", 0.1), ("checkpoint-30", 0.2)]
 
-# Ring positions that a query looks at beyond the negatives it wants.
-SPARE = 12
-
 
 def _task_of(label: Column) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in TASKS]), F.pmod(label, F.lit(6)).cast("int") + 1)
@@ -149,16 +146,31 @@ def sts_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.format_string("%.3f", F.lit(5.0) * u)).alias("label"))
 
 
+def _running(df: DataFrame, order: str, flag: Column, out: str) -> DataFrame:
+    """Add how many rows up to this one, in the order of ``order``, have the flag: running
+    counts inside the range partitions of one sort, and an offset per partition."""
+    rows = freeze(df.withColumn("_flag", flag.cast("long")).orderBy(order).withColumn("_mid", F.monotonically_increasing_id()), "running")
+    rows = rows.withColumn("_part", F.shiftright("_mid", 33))
+    # one row per partition: bounded by the partition count
+    up = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offs = (rows.groupBy("_part").agg(F.sum("_flag").alias("_n"))
+            .select("_part", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_off")))
+    w = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (rows.withColumn("_sum", F.sum("_flag").over(w)).join(F.broadcast(offs), "_part")
+            .withColumn(out, F.col("_sum") + F.col("_off")).select(*df.columns, out))
+
+
 def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9: contrastive training rows from conversations.
 
     Query = a user turn whose next turn is an assistant turn (the positive).
     Negatives: assistant turns of other conversations, ``1 + conv_id % 12`` of
     them. All assistant turns are placed on a ring in md5 order; a query
-    starts at an md5-chosen ring position, looks at the next ``n + SPARE`` turns and takes the first
-    n that are not from its own conversation (fewer, if its conversation holds most
-    of that stretch). This is an equi-join on ring positions (unique keys, no
-    hot key) with a bounded number of probes per query.
+    starts at an md5-chosen ring position and takes the next n turns that are not from
+    its own conversation (fewer only if the ring has fewer). Neighbouring turns of
+    one conversation are a run, so that of 2n + 3 runs from the start at least n are not its
+    own: equi-joins on run and ring positions (unique keys, no hot key) with a bounded
+    number of probes per query, however many turns a conversation has.
     """
     from ..operators.corpus import ordered_index
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -171,19 +183,34 @@ def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("conv_id").alias("c_conv"), F.col("turn").alias("c_turn"), F.col("text").alias("c_text"),
                     u01(F.lit("cand"), F.col("conv_id"), F.col("turn")).alias("h")))
     ring = ordered_index(cand, ["h", "c_conv", "c_turn"], idx="cpos")
-    sizes = cand.agg(F.count(F.lit(1)).alias("N"))
+    # turns without a conversation are on the ring but are nobody's negatives
+    ring = _running(ring, "cpos", F.col("c_conv").isNotNull(), "known")
+    turns = ring.where(F.col("c_conv").isNotNull()).withColumn("at", F.col("known") - 1)
+    before = turns.select((F.col("at") + 1).alias("at"), F.col("c_conv").alias("c_prev"))
+    turns = _running(turns.join(before, "at", "left"), "at", ~F.col("c_conv").eqNullSafe(F.col("c_prev")), "run")
+    runs = turns.groupBy("run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("c_conv").alias("c_conv"))
+    sizes = (ring.agg(F.count(F.lit(1)).alias("N"), F.max("known").alias("K"))
+             .crossJoin(F.broadcast(turns.agg(F.max("run").alias("R")))))
     n_neg = (F.lit(1) + F.col("conv_id") % 12).cast("int")
-    probes = (qs.crossJoin(F.broadcast(sizes))  # one row
+    own = ["conv_id", "turn"]
+    probes = (qs.select(*own).distinct().crossJoin(F.broadcast(sizes))  # one row
               .withColumn("n_neg", n_neg)
-              .withColumn("start", F.floor(u01(F.lit("start"), F.col("conv_id"), F.col("turn")) * F.col("N")).cast("long"))
-              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n_neg") + (SPARE - 1))))
-              .withColumn("cpos", (F.col("start") + F.col("o")) % F.col("N")))
-    hit = (probes.join(ring.select("cpos", "c_conv", "c_turn", "c_text"), "cpos")
-           .where(F.col("c_conv") != F.col("conv_id")))
-    w1 = Window.partitionBy("conv_id", "turn", "cpos").orderBy("o")
-    w2 = Window.partitionBy("conv_id", "turn").orderBy("o")
-    hit = (hit.withColumn("_first", F.row_number().over(w1)).where(F.col("_first") == 1)
-           .withColumn("k", F.row_number().over(w2)).where(F.col("k") <= F.col("n_neg")))
+              .withColumn("cpos", F.floor(u01(F.lit("start"), F.col("conv_id"), F.col("turn")) * F.col("N")).cast("long"))
+              .join(ring.select("cpos", "known", F.col("c_conv").isNotNull().cast("long").alias("is_known")), "cpos")
+              .withColumn("at", (F.col("known") - F.col("is_known")) % F.col("K"))
+              .join(turns.select("at", F.col("run").alias("run0")), "at")
+              .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.least(2 * F.col("n_neg") + 2, F.col("R")))))
+              .withColumn("run", (F.col("run0") - 1 + F.col("o")) % F.col("R") + 1))
+    # the walk begins inside its first run; once round the ring, that run's head comes last
+    seen = (probes.join(runs, "run").where(F.col("c_conv") != F.col("conv_id"))
+            .withColumn("low", F.when(F.col("o") == 0, F.col("at")).otherwise(F.col("first")))
+            .withColumn("high", F.when(F.col("o") == F.col("R"), F.col("at") - 1).otherwise(F.col("last")))
+            .withColumn("size", F.least(F.col("high") - F.col("low") + 1, F.col("n_neg"))).where(F.col("size") > 0))
+    w = Window.partitionBy(*own).orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    seen = seen.withColumn("got", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("got") < F.col("n_neg"))
+    hit = (seen.select(*own, "low", "got", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("size"), F.col("n_neg") - F.col("got")) - 1)).alias("i"))
+           .select(*own, (F.col("got") + F.col("i") + 1).alias("k"), (F.col("low") + F.col("i")).alias("at"))
+           .join(turns.select("at", "c_conv", "c_turn", "c_text"), "at"))
     negs = (hit.groupBy("conv_id", "turn")
             .agg(F.sort_array(F.collect_list(F.struct(
                 "k", F.col("c_text").alias("t"),

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ranksmith.functions.det import u01
 from ranksmith.functions.vectors import l2_normalize, log_sum_exp
 from ranksmith.operators import judge
 from ranksmith.operators import losses as L
@@ -197,3 +198,26 @@ def test_stream_clean_on_a_directory_table(spark, tmp_path):
     one = sorted(map(str, QUERIES["stream_clean"](spark, SF).collect()))
     many = sorted(map(str, QUERIES["stream_clean"](spark, str(tmp_path)).collect()))
     assert one == many and one
+
+
+# ---- training negatives ----------------------------------------------------------
+
+@pytest.mark.parametrize("hot,others,unknown", [(150, 60, 0), (60, 120, 20), (40, 3, 2), (5, 0, 3)])
+def test_every_query_gets_all_its_negatives(spark, tmp_path, hot, others, unknown):
+    """A conversation (11: 12 negatives) with most of all assistant turns."""
+    rows = [(11, 2 * i + j, r) for i in range(hot) for j, r in enumerate(("user", "assistant"))]
+    rows += [(100 + i, j, r) for i in range(others) for j, r in enumerate(("user", "assistant"))]
+    rows += [(None, i, "assistant") for i in range(unknown)]
+    df = spark.createDataFrame([(*r, f"{r[0]}-{r[1]}") for r in rows], "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    u = df.select("conv_id", "turn", "role", "text", u01(F.lit("cand"), F.col("conv_id"), F.col("turn")).alias("h"),
+                  u01(F.lit("start"), F.col("conv_id"), F.col("turn")).alias("s")).collect()
+    ring = sorted((r for r in u if r.role == "assistant"), key=lambda r: (r.h is not None, r.h, r.conv_id or -1, r.turn))
+    want = {}
+    for r in u:
+        if r.role == "user":
+            at, n = int(r.s * len(ring)), 1 + r.conv_id % 12
+            walk = [x.text for x in ring[at:] + ring[:at] if x.conv_id is not None and x.conv_id != r.conv_id]
+            want[r.conv_id * 1000 + r.turn] = walk[:n]
+    got = {r.row_id: r.neg for r in V.train_pairs(spark, str(tmp_path)).collect()}
+    assert got == want
