@@ -59,6 +59,8 @@ CODES = 64
 BLOCK_ROWS = 2048
 #: Probing vectors compared at once inside a task.
 PROBE_ROWS = 256
+#: Entries of the counts and links that a task holds, besides those of one step.
+HELD = 1 << 17
 SLACK = 1e-6
 SEED = 11
 
@@ -306,6 +308,9 @@ def _links(classes: DataFrame, n: int, dim: int, radius: float, cosine: float, s
                     other = row[3][p] != key[0]
                     _count(extra, mem[0][q[other]], row[2][p[other]])
                     _spanning(row[0][p], mem[0][q], root)
+                    # counts are summed and links joined afterwards, so a part of them can go at any time
+                    if len(extra) + len(root) > HELD:
+                        yield flush()
         if root or extra:
             yield flush()
 

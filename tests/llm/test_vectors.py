@@ -105,3 +105,22 @@ def test_probe_rule_is_sufficient():
     assert all(probes[i, at[j]] or probes[j, at[i]] for i, j in zip(a, b))
     codes, rest = ix.encode(x, at)
     assert len(codes) == 600 and (rest >= 0).all()
+
+
+def test_links_of_a_hot_list_leave_the_task_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(pq, "HELD", 50)
+    monkeypatch.setattr(pq, "PROBE_ROWS", 20)
+    rng = np.random.default_rng(3)
+    x = 1 + 0.05 * rng.standard_normal((120, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    classes = df.select(F.col("vec_id").alias("rep"), F.col("embedding").alias("v"), F.lit(1).cast("long").alias("m")).select("v", "rep", "m")
+    near = x / np.linalg.norm(x, axis=1)[:, None]
+    near = near @ near.T >= 0.95
+    got = pq._links(classes, 120, 8, float(np.sqrt(2 - 2 * 0.95)), 0.95, 120, 1000, 4, 4, 16, 40).collect()
+    extra = {}
+    for r in got:
+        if r.kind == 0:
+            extra[r.a] = extra.get(r.a, 0) + r.b
+    assert extra == {i: int(n) - 1 for i, n in enumerate(near.sum(1)) if n > 1}
+    # a forest over the classes has fewer links than classes, in each of three blocks; only parts give more
+    assert sum(r.kind == 1 for r in got) > 3 * len(extra)
