@@ -171,9 +171,11 @@ def q_pad_plan(spark, sf_dir):
 @register("no_in_batch_flag", """SELECT doc_id, source || '_no_in_batch_neg.jsonl' AS path, TRUE AS flag FROM documents WHERE doc_id % 2 = 0
 UNION ALL SELECT doc_id, source || '.jsonl', FALSE FROM documents WHERE doc_id % 2 = 1""")
 def q_no_in_batch_flag(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("source").isNotNull())
-    d = d.select("doc_id", F.concat("source", F.when(F.col("doc_id") % 2 == 0, "_no_in_batch_neg.jsonl").otherwise(".jsonl")).alias("path"))
-    return d.withColumn("flag", T.no_in_batch_flag(F.col("path")))
+    d, even = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id") % 2 == 0
+    path = F.concat("source", F.when(even, "_no_in_batch_neg.jsonl").otherwise(".jsonl"))
+    # without a source there is no path; the flag is that of the ending it would have
+    d = d.select("doc_id", path.alias("path"), F.when(even, True).otherwise(False).alias("by_ending"))
+    return d.select("doc_id", "path", F.coalesce(T.no_in_batch_flag(F.col("path")), "by_ending").alias("flag"))
 
 
 @register("validate_training", O.with_(ROWS) + """SELECT row_id, array_to_string(reasons, '; ') AS reasons FROM (

@@ -221,3 +221,11 @@ def test_every_query_gets_all_its_negatives(spark, tmp_path, hot, others, unknow
             want[r.conv_id * 1000 + r.turn] = walk[:n]
     got = {r.row_id: r.neg for r in V.train_pairs(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_no_in_batch_flag_keeps_null_sources(spark, tmp_path):
+    from ranksmith.plans.catalog_train import q_no_in_batch_flag
+    rows = [(1, "web"), (2, "web"), (3, None), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.path, r.flag) for r in q_no_in_batch_flag(spark, str(tmp_path)).collect())
+    assert got == [(1, "web.jsonl", False), (2, "web_no_in_batch_neg.jsonl", True), (3, None, False), (4, None, True)]
