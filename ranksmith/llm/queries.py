@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mixing, nra, pq, quality, simhash, spm, token_counts, toxicity, warc
+from . import filter_audit, lm, mixing, nra, pq, quality, simhash, spm, token_counts, toxicity, warc
 from .common import held, table
 
 QUERIES: dict = {}
@@ -29,10 +29,10 @@ def tokenizer_path(name: str) -> str:
 
 _TOPK_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
@@ -141,3 +141,42 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels)
     return _scores(quality.score_documents(docs.select("doc_id", "text"), model), quality.KEEP)
+
+
+_AUDIT_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS fails
+  FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+c AS (SELECT part, good, toxic, fails, count(*) AS n, bit_count(fails) AS failed FROM f GROUP BY part, good, toxic, fails),
+i AS (SELECT unnest([1, 2, 4, 8, 16]) AS k, unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS o, [a.k, b.k, c.k, d.k, e.k] AS ks FROM i a, i b, i c, i d, i e
+  WHERE a.k + b.k + c.k + d.k + e.k = 31 AND len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT o, step, ks[step] AS this, CAST(coalesce(list_sum(ks[1:step - 1]), 0) AS INTEGER) AS before
+      FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step))
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step,
+       CAST(sum(CASE WHEN fails & (this + before) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+       CAST(sum(CASE WHEN fails & this > 0 AND fails & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+       CAST(sum(CASE WHEN fails & this > 0 AND fails & before > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+       CAST(sum(CASE WHEN fails = this THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+       CAST(sum(CASE WHEN fails & this > 0 AND fails & before = 0 THEN n * good ELSE 0 END) AS BIGINT) AS good_lost,
+       CAST(sum(CASE WHEN fails & this > 0 AND fails & before = 0 THEN n * toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+       CAST(sum(CASE WHEN fails & this > 0 THEN n * 120 // failed ELSE 0 END) AS BIGINT) AS shapley
+FROM c, s
+GROUP BY part, o, step
+"""
+
+
+@register("op13_filter_audit", _AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
