@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, lm, mixing, nra, pq, quality, simhash, spm, token_counts, toxicity, warc
+from . import filter_audit, license_scan, lm, mixing, nra, pq, quality, simhash, spm, token_counts, toxicity, warc
 from .common import held, table
 
 QUERIES: dict = {}
@@ -143,6 +143,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(quality.score_documents(docs.select("doc_id", "text"), model), quality.KEEP)
 
 
+@register("op11_license_scan")
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
 _AUDIT_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
