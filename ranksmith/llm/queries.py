@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, license_scan, lm, mixing, nra, pq, quality, simhash, spm, token_counts, toxicity, warc
+from . import alignment, filter_audit, license_scan, lm, mixing, nra, pq, quality, simhash, spm, token_counts, toxicity, warc
 from .common import held, table
 
 QUERIES: dict = {}
@@ -148,6 +148,11 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
+@register("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 _AUDIT_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
