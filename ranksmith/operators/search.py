@@ -2,67 +2,77 @@
 
 Plan
 ----
-The corpus is never moved: each corpus partition is scored against the query
-vectors inside a ``mapInPandas`` task (numpy block matmul, DOUBLE), and only
-the k best hits per query and partition leave the task. A final
-``row_number() <= k`` window per query merges those candidates; Spark plans it
-as a ``WindowGroupLimit`` in front of the one shuffle on the query key.
-
-How the query vectors reach the tasks depends on their size, which is checked
-before anything is shipped:
-
-* ``broadcast``: the query matrix (queries x dim x 8 bytes) is at most
-  ``broadcast_bytes``; it is sent once per executor as a broadcast variable.
-* ``grid``: bigger query sets. Queries and corpus are hashed into blocks; the
-  cell (query block, corpus block) is a cogroup whose both sides have a bound
-  size, so no task ever holds more than one query block and one corpus block.
+The corpus stays in place: a task scores its rows against the query vectors
+(numpy block matmul, DOUBLE) and hands out the k best hits per query. A final
+``row_number() <= k`` window per query merges those; Spark plans it as a
+``WindowGroupLimit`` in front of the one shuffle on the query key.
+
+Query vectors are broadcast in rounds of at most ``round_bytes``; a larger query
+set means more rounds over the same corpus, never a larger broadcast and
+never a copy of the corpus.
+
+``build_index`` arranges a corpus that is searched more than once. Rows are
+sorted by their nearest pivot (a bounded sample of the corpus) and the distance to it and
+cut into blocks, each with the largest norm and the largest distance from the pivot. For a
+query q the rows c of a block around pivot p obey
+    q.c <= |q| max|c|            (Cauchy-Schwarz)
+    q.c <= q.p + |q| max|c - p|  (triangle),
+so a block whose bound is below the k-th score that is known for q cannot hold a hit
+and q skips it. The first scores come from a pass in which every query meets only the
+blocks of its own nearest pivot.
 
 Scores are rounded to 6 decimals before ranking and ties go to the smaller
-corpus id, so the answer does not depend on partitioning, block sizes or
+corpus id, so the answer does not depend on partitioning, blocks, rounds or
 floating-point summation order.
+
+Defined cases: rows whose id or vector is null, or whose vector holds a null,
+NaN or infinite component, take no part (on either side); a vector of another
+length than the queries' is an error; a repeated id is one candidate per row and, as a
+query, one query per row; k above the corpus size returns the whole corpus.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_BYTES = 256 << 20
-# Bound of one [query block x corpus batch] score matrix inside a task.
-SCORE_BLOCK_BYTES = 64 << 20
-
-
-def _stack(vectors: pd.Series) -> np.ndarray:
-    if len(vectors) == 0:
-        return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors.to_numpy()])
-
-
-def _select_topk(scores: np.ndarray, dids: np.ndarray, k: int):
-    """Per row of ``scores`` [b, n]: the k best by (score desc, did asc).
-
-    Returns flat arrays (row, did, score) with at most k entries per row.
-    Exact under ties: everything tied with the k-th score is a candidate
-    and the did order decides.
-    """
-    b, n = scores.shape
-    if n == 0 or b == 0:
-        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    if n > k:
-        kth = np.partition(scores, n - k, axis=1)[:, n - k]
-        rows, cols = np.nonzero(scores >= kth[:, None])
-    else:
-        rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-    s = scores[rows, cols]
-    d = dids[cols]
-    return _first_k(rows, d, s, k)
-
-
-def _first_k(rows, d, s, k):
+from ..session import freeze
+
+#: Query vectors that are broadcast at once, and one [queries x rows] score matrix inside a task.
+ROUND_BYTES, SCORE_BLOCK_BYTES = 256 << 20, 64 << 20
+#: Components of an index block, and pivots at most.
+BLOCK_CELLS, PIVOTS = 1 << 15, 1024
+
+#: ``qn``: place of a query in its round, which tells rows of a repeated id apart.
+HITS = "qn long, qid long, did long, score double"
+
+
+def vectors(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, row numbers) of the vectors of a list column that take part."""
+    n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null component reads as NaN
+    good = np.isfinite(flat)
+    ends = np.cumsum(n)
+    bad = np.concatenate([[0], np.cumsum(~good)])
+    rows = np.flatnonzero((bad[ends] == bad[ends - n]) & np.asarray(col.is_valid()) & (n > 0))
+    dims = np.unique(n[rows])
+    if len(dims) > 1:
+        raise ValueError(f"vectors of unequal length: {dims[:5].tolist()}")
+    if not len(rows):
+        return np.zeros((0, 0)), rows
+    keep = np.zeros(len(n), bool)
+    keep[rows] = True
+    return flat[np.repeat(keep, n)].reshape(len(rows), dims[0]), rows
+
+
+def _first_k(rows: np.ndarray, d: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best entries of each row number, by (score falling, id)."""
     order = np.lexsort((d, -s, rows))
     rows, d, s = rows[order], d[order], s[order]
     if len(rows) == 0:
@@ -73,122 +83,230 @@ def _first_k(rows, d, s, k):
     return rows[keep], d[keep], s[keep]
 
 
-def _score_block(qmat: np.ndarray, cmat: np.ndarray, dids: np.ndarray, k: int,
-                 state: dict | None = None):
-    """Top-k of every query of ``qmat`` against ``cmat``; merged with the
-    running ``state`` (row -> best so far) when given."""
-    nq = qmat.shape[0]
-    nc = max(cmat.shape[0], 1)
-    step = max(1, SCORE_BLOCK_BYTES // (8 * nc))
-    out_r, out_d, out_s = [], [], []
-    for start in range(0, nq, step):
-        sc = np.round(qmat[start:start + step] @ cmat.T, 6)
-        r, d, s = _select_topk(sc, dids, k)
-        out_r.append(r + start)
-        out_d.append(d)
-        out_s.append(s)
-    r = np.concatenate(out_r) if out_r else np.zeros(0, np.int64)
-    d = np.concatenate(out_d) if out_d else np.zeros(0, np.int64)
-    s = np.concatenate(out_s) if out_s else np.zeros(0)
-    if state is not None and state.get("r") is not None:
-        r = np.concatenate([state["r"], r])
-        d = np.concatenate([state["d"], d])
-        s = np.concatenate([state["s"], s])
-        r, d, s = _first_k(r, d, s, k)
-    return r, d, s
-
-
-HIT_SCHEMA = "qid long, did long, score double"
-
-
-def _broadcast_fn(bq, k: int, did_col: str, vec_col: str):
-    def run(batches):
-        qids, qmat = bq.value
-        state = {"r": None}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            cmat = _stack(pdf[vec_col])
-            dids = pdf[did_col].to_numpy(dtype=np.int64)
-            r, d, s = _score_block(qmat, cmat, dids, k, state)
-            state.update(r=r, d=d, s=s)
-        if state["r"] is not None and len(state["r"]):
-            yield pd.DataFrame({"qid": qids[state["r"]], "did": state["d"], "score": state["s"]})
-    return run
-
-
-def _grid_fn(k: int):
-    def run(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"qid": [], "did": [], "score": []})
-        qmat = _stack(q["vec"])
-        cmat = _stack(c["vec"])
-        dids = c["did"].to_numpy(dtype=np.int64)
-        r, d, s = _score_block(qmat, cmat, dids, k)
-        return pd.DataFrame({"qid": q["qid"].to_numpy(dtype=np.int64)[r], "did": d, "score": s})
-    return run
+class Best:
+    """The k best hits so far of each query of a round, inside one task."""
+
+    def __init__(self, q: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.q, self.k = q, k
+        self.rows, self.dids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.floor = np.full(len(q), -np.inf) if floor is None else floor.copy()
+
+    def offer(self, mat: np.ndarray, dids: np.ndarray, who: np.ndarray | None = None) -> None:
+        """Score the rows of ``mat`` for the queries ``who`` (all)."""
+        who = np.arange(len(self.q)) if who is None else who
+        if not len(mat) or not len(who):
+            return
+        if mat.shape[1] != self.q.shape[1]:
+            raise ValueError(f"a corpus vector has {mat.shape[1]} components, the queries {self.q.shape[1]}")
+        step = max(1, SCORE_BLOCK_BYTES // (8 * len(mat)))
+        found = [(self.rows, self.dids, self.scores)]
+        for a in range(0, len(who), step):
+            w = who[a:a + step]
+            sc = np.round(self.q[w] @ mat.T, 6)
+            cut = self.floor[w]
+            if len(mat) > self.k:
+                cut = np.maximum(cut, np.partition(sc, len(mat) - self.k, axis=1)[:, len(mat) - self.k])
+            r, c = np.nonzero(sc >= cut[:, None])  # ties with the k-th score stay: the id decides
+            found.append((w[r], dids[c], sc[r, c]))
+        if all(not len(f[0]) for f in found[1:]):
+            return
+        self.rows, self.dids, self.scores = _first_k(*(np.concatenate([f[i] for f in found]) for i in range(3)), self.k)
+        full = np.bincount(self.rows, minlength=len(self.q)) >= self.k
+        low = np.full(len(self.q), np.inf)
+        np.minimum.at(low, self.rows, self.scores)
+        self.floor = np.where(full, np.maximum(self.floor, low), self.floor)
+
+    def hits(self, qids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.rows), pa.array(qids[self.rows]), pa.array(self.dids), pa.array(self.scores)],
+                                         names=["qn", "qid", "did", "score"])
+
+
+@dataclass
+class VectorIndex:
+    """Blocks in the shared folder: (block, pivot, reach, norm, did, vec) by block, and the pivots."""
+
+    rows: DataFrame
+    pivots: np.ndarray
+    block_rows: int
+
+
+def build_index(corpus: DataFrame, *, did: str = "did", vec: str = "embedding", pivots: int = PIVOTS,
+                block_cells: int = BLOCK_CELLS) -> VectorIndex:
+    """Arrange a corpus for repeated search. About sqrt(rows) pivots, ``pivots`` at most,
+    chosen by the hash of the id; every row is in the index."""
+    spark = corpus.sparkSession
+    c = corpus.select(F.col(did).cast("long").alias("did"), F.col(vec).cast("array<double>").alias("vec")).where("did is not null")
+    size = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    n, dim = size["n"], max(size["d"] or 1, 1)
+    most = max(1, min(pivots, int(n ** 0.5)))
+    sample = c.orderBy(F.xxhash64("did"), "did").limit(most).select("vec").toArrow()["vec"]  # ``pivots`` rows at most
+    points = vectors(sample.combine_chunks())[0] if n else np.zeros((0, 0))
+    points = points if len(points) else np.zeros((1, dim))
+    block_rows = max(1, block_cells // dim)
+    sent = spark.sparkContext.broadcast(points)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = sent.value
+        half = (p * p).sum(1) / 2
+        for batch in batches:
+            mat, rows = vectors(batch.column(1))
+            if len(rows) and mat.shape[1] != p.shape[1]:
+                raise ValueError(f"vectors of unequal length: {mat.shape[1]}, {p.shape[1]}")
+            near = np.concatenate([np.argmin(half - mat[a:a + 4096] @ p.T, axis=1) for a in range(0, len(mat), 4096)] or [np.zeros(0, np.int64)])
+            away = np.sqrt(((mat - p[near]) ** 2).sum(1)) if len(rows) else np.zeros(0)
+            kept = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(away), kept.column(0), kept.column(1)],
+                                             names=["pivot", "away", "did", "vec"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        block, held = TaskContext.get().partitionId() << 32, None
+
+        def blocks(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal block, held
+            p = t["pivot"].to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1], [True]])).tolist()
+            ends = [e for a, b in zip(edges, edges[1:]) for e in [*range(a + block_rows, b, block_rows), b]]
+            a = 0
+            for e in ends:
+                if e == len(p) and not last:  # this block may go on
+                    break
+                part = t.slice(a, e - a).combine_chunks()
+                mat = vectors(part["vec"].combine_chunks() if part["vec"].num_chunks != 1 else part["vec"].chunk(0))[0]
+                m = e - a
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, block)), part["pivot"].combine_chunks(), pa.array(np.full(m, part["away"].to_numpy().max())),
+                     pa.array(np.full(m, np.sqrt((mat * mat).sum(1)).max())), part["did"].combine_chunks(), part["vec"].combine_chunks()],
+                    names=["block", "pivot", "reach", "norm", "did", "vec"])
+                block, a = block + 1, e
+            held = t.slice(a) if a < len(p) else None
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            yield from blocks(t if held is None else pa.concat_tables([held, t]), False)
+        if held is not None:
+            yield from blocks(held, True)
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (64 * block_rows)))
+    dealt = (c.mapInArrow(assign, "pivot int, away double, did long, vec array<double>")
+             .repartitionByRange(parts, "pivot", "away", "did").sortWithinPartitions("pivot", "away", "did"))
+    rows = dealt.mapInArrow(cut, "block long, pivot int, reach double, norm double, did long, vec array<double>")
+    return VectorIndex(freeze(rows, "vector-index"), points, block_rows)
+
+
+def _scan(corpus: DataFrame, sent, k: int) -> DataFrame:
+    """Hits of one round against rows (did, vec)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = sent.value
+        best = Best(q, k)
+        for batch in batches:
+            mat, rows = vectors(batch.column(1))
+            best.offer(mat, batch.column(0).to_numpy(zero_copy_only=False)[rows])
+        yield best.hits(qids)
+
+    return corpus.mapInArrow(run, HITS)
+
+
+def _scan_index(index: VectorIndex, sent, k: int, floor=None) -> DataFrame:
+    """Hits of one round against the index, and one row without qn per task: did = (query, block)
+    pairs met, score = pairs skipped. Without ``floor`` a query meets only its nearest pivot's blocks."""
+    spark = index.rows.sparkSession
+    pivots = spark.sparkContext.broadcast(index.pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (qids, q), p = sent.value, pivots.value
+        best = Best(q, k, floor.value if floor is not None else None)
+        norm = np.sqrt((q * q).sum(1))
+        home = np.argmin((p * p).sum(1) / 2 - q @ p.T, axis=1) if floor is None and len(q) else None
+        pairs = skipped = 0
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if a == b:
+                    continue
+                near, reach, most = (batch.column(i)[a].as_py() for i in (1, 2, 3))
+                if home is not None:
+                    who = np.flatnonzero(home == near)
+                else:
+                    bound = np.minimum(norm * most, q @ p[near] + norm * reach)
+                    # scores are compared rounded; the bound is a float sum
+                    who = np.flatnonzero(bound + 1e-6 + 1e-9 * norm * (most + reach) >= best.floor)
+                pairs, skipped = pairs + len(q), skipped + len(q) - len(who)
+                if len(who):
+                    mat, rows = vectors(batch.column(5).slice(a, b - a))
+                    best.offer(mat, batch.column(4).to_numpy()[a:b][rows], who)
+        yield best.hits(qids)
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array([pairs]), pa.array([float(skipped)])], names=["qn", "qid", "did", "score"])
+
+    return index.rows.mapInArrow(run, HITS)
 
 
 def _final_cut(hits: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("did").asc())
-    return (hits.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
+    w = Window.partitionBy("qid", "qn").orderBy(F.col("score").desc(), F.col("did").asc())
+    return (hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("qid", F.col("rank").cast("long").alias("rank"), "did", "score"))
 
 
-def exact_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
-               qid: str = "qid", did: str = "did", vec: str = "embedding",
-               strategy: str = "auto", broadcast_bytes: int | None = None,
-               block_rows: int = 4096) -> DataFrame:
+def _rounds(queries: DataFrame, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of at most ``limit`` bytes of query vectors at a time."""
+    first = queries.select(F.size("vec").alias("d")).where("d > 0").first()
+    cap = max(1, limit // (8 * (first["d"] if first is not None else 1)))
+    t = queries.limit(cap + 1).toArrow()
+    if t.num_rows > cap:
+        kept = freeze(queries.withColumn("u", F.monotonically_increasing_id()), "topk-queries")
+        n = -(-kept.count() // max(1, cap // 2))  # dealt by hash: half full on average, so that none runs over
+        rounds = (kept.where(F.pmod(F.xxhash64("u"), F.lit(n)) == i).drop("u").toArrow() for i in range(n))
+    else:
+        rounds = iter([t])
+    for t in rounds:
+        mat, rows = vectors(t["vec"].combine_chunks())
+        yield t["qid"].to_numpy()[rows], mat
+
+
+def exact_topk(queries: DataFrame, corpus: DataFrame | VectorIndex, k: int = 10, *, qid: str = "qid", did: str = "did",
+               vec: str = "embedding", round_bytes: int | None = None) -> DataFrame:
     """k best corpus rows per query by dot product.
 
-    ``queries(qid LONG, vec ARRAY)``, ``corpus(did LONG, vec ARRAY)`` ->
-    ``(qid, rank LONG 1..k, did, score DOUBLE)``. ``k`` above the corpus size
-    returns the whole corpus for every query.
-    """
+    ``queries(qid LONG, vec ARRAY)``, ``corpus(did LONG, vec ARRAY)`` or an index of it ->
+    ``(qid, rank LONG 1..k, did, score DOUBLE)``."""
+    return _search(queries, corpus, k, qid, did, vec, round_bytes)[0]
+
+
+def pruning_report(queries: DataFrame, index: VectorIndex, k: int = 10, *, qid: str = "qid", vec: str = "embedding",
+                   round_bytes: int | None = None) -> DataFrame:
+    """(pairs, skipped): (query, block) pairs of the searches over the index, and those that the bounds spared."""
+    return _search(queries, index, k, qid, "did", vec, round_bytes)[1]
+
+
+def _search(queries, corpus, k, qid, did, vec, round_bytes) -> tuple[DataFrame, DataFrame | None]:
     spark = queries.sparkSession
-    limit = broadcast_bytes if broadcast_bytes is not None else int(
-        spark.conf.get("ranksmith.topk.broadcastBytes", str(DEFAULT_BROADCAST_BYTES)))
-    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vec).alias("vec"))
-    c = corpus.select(F.col(did).cast("long").alias("did"), F.col(vec).alias("vec"))
-
-    if strategy in ("auto", "broadcast"):
-        # Size check before anything is shipped: the dimension comes from one
-        # row, then at most cap + 1 query rows are fetched; more than cap rows
-        # (over the byte limit) switch to the grid plan.
-        first = q.select(F.size("vec").alias("d")).first()
-        dim = int(first["d"]) if first is not None and first["d"] is not None else 1
-        cap = max(1, limit // (8 * max(dim, 1)))
-        tbl = q.limit(cap + 1).toArrow()
-        if tbl.num_rows <= cap:
-            return _final_cut(_broadcast_hits(spark, tbl, c, k), k)
-        if strategy == "broadcast":
-            raise ValueError(f"query side above the broadcast limit of {limit} bytes")
-        strategy = "grid"
-    if strategy == "grid":
-        return _final_cut(_grid_hits(q, c, k, block_rows), k)
-    raise ValueError(f"unknown strategy {strategy!r}")
-
-
-def _broadcast_hits(spark: SparkSession, tbl, c: DataFrame, k: int) -> DataFrame:
-    # ``tbl`` is the size-checked query side (Arrow table).
-    qids = np.asarray(tbl.column("qid").to_numpy(zero_copy_only=False), dtype=np.int64)
-    vecs = tbl.column("vec").to_pylist()
-    qmat = np.asarray(vecs, dtype=np.float64) if len(vecs) else np.zeros((0, 0))
-    bq = spark.sparkContext.broadcast((qids, qmat))
-    return c.mapInPandas(_broadcast_fn(bq, k, "did", "vec"), HIT_SCHEMA)
-
-
-def _grid_hits(q: DataFrame, c: DataFrame, k: int, block_rows: int) -> DataFrame:
-    counts = q.agg(F.count(F.lit(1))).first()[0], c.agg(F.count(F.lit(1))).first()[0]
-    nqb = max(1, math.ceil(counts[0] / block_rows))
-    ncb = max(1, math.ceil(counts[1] / block_rows))
-    qb = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nqb)))
-          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(ncb - 1)))))
-    cb = (c.withColumn("cb", F.pmod(F.xxhash64("did"), F.lit(ncb)))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))))
-    return (qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb"))
-            .applyInPandas(_grid_fn(k), HIT_SCHEMA))
+    limit = round_bytes or int(spark.conf.get("ranksmith.topk.broadcastBytes", str(ROUND_BYTES)))
+    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vec).alias("vec")).where("qid is not null and vec is not null")
+    indexed = isinstance(corpus, VectorIndex)
+    c = corpus.rows if indexed else corpus.select(F.col(did).cast("long").alias("did"), F.col(vec).alias("vec")).where("did is not null")
+    out = spent = None
+    for ids, mat in _rounds(q, limit):
+        sent = spark.sparkContext.broadcast((ids.astype(np.int64), mat))
+        if not indexed:
+            hits = _scan(c, sent, k)
+        else:
+            first = _scan_index(corpus, sent, k).where("qn is not null")
+            w = Window.partitionBy("qn").orderBy(F.col("score").desc())
+            kth = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).where(F.col("rank") == k)
+            t = kth.select("qn", "score").toArrow()  # one number per query of the round
+            floor = np.full(len(ids), -np.inf)
+            floor[t["qn"].to_numpy()] = t["score"].to_numpy()
+            hits = freeze(_scan_index(corpus, sent, k, spark.sparkContext.broadcast(floor)), "topk-hits")
+            seen = hits.where("qn is null").select(F.col("did").alias("pairs"), F.col("score").cast("long").alias("skipped"))
+            spent = seen if spent is None else spent.unionByName(seen)
+            hits = hits.where("qn is not null")
+        one = _final_cut(hits, k)
+        out = one if out is None else out.unionByName(one)
+    if spent is not None:
+        spent = spent.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"))
+    return out, spent
 
 
 def similarity(left: DataFrame, right: DataFrame, on: list[str], temperature: float = 1.0,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import judge
-from ..operators.search import exact_topk
+from ..operators.search import build_index, exact_topk
 from ..session import freeze, shared_path
 from . import oracle as O
 from . import views as V
@@ -23,6 +23,13 @@ def q_topk_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(q, c, 10, qid="qid", did="did", vec="embedding")
 
 
+@register("topk_vec_index", ORACLE["topk_vec"])
+def q_topk_vec_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through the pruning index."""
+    index = build_index(V.c_vec(spark, sf_dir), did="did", vec="embedding")
+    return exact_topk(V.q_vec(spark, sf_dir), index, 10, qid="qid", vec="embedding")
+
+
 # ---- V3: judgements from label distance -------------------------------------
 
 @register("qrels_vec", O.with_(O.VEC_VIEWS) + "SELECT task, event, qkey, dkey, score FROM qrels_vec")
