@@ -217,14 +217,17 @@ def _scan_index(index: VectorIndex, sent, k: int, floor=None) -> DataFrame:
         (qids, q), p = sent.value, pivots.value
         best = Best(q, k, floor.value if floor is not None else None)
         norm = np.sqrt((q * q).sum(1))
-        home = np.argmin((p * p).sum(1) / 2 - q @ p.T, axis=1) if floor is None and len(q) else None
-        pairs = skipped = 0
+        home, pairs, skipped = None, 0, 0
         for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            if q.shape[1] != p.shape[1]:
+                raise ValueError(f"the index has {p.shape[1]} components, the queries {q.shape[1]}")
+            if floor is None and home is None:
+                home = np.argmin((p * p).sum(1) / 2 - q @ p.T, axis=1)
             block = batch.column(0).to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if a == b:
-                    continue
                 near, reach, most = (batch.column(i)[a].as_py() for i in (1, 2, 3))
                 if home is not None:
                     who = np.flatnonzero(home == near)

@@ -23,10 +23,11 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StructType
 
 from ..functions.text import drop_blank, id_text, strip
 from ..operators.corpus import ordered_index
+from .json_array import array_elements
 
 
 def _hadoop_list(spark: SparkSession, path: str, exts: tuple[str, ...], recursive: bool = False) -> list[str]:
@@ -46,8 +47,8 @@ def _hadoop_list(spark: SparkSession, path: str, exts: tuple[str, ...], recursiv
     return sorted(out)
 
 
-def _is_document(spark: SparkSession, path: str) -> bool:
-    """True for a file that is one JSON document, False for JSON Lines."""
+def _mode(spark: SparkSession, path: str) -> str:
+    """``array``, ``object`` (one JSON object over several lines) or ``lines``."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
@@ -57,22 +58,22 @@ def _is_document(spark: SparkSession, path: str) -> bool:
         while c >= 0 and chr(c) in " \t\r\n\ufeff":  # however many blanks there are
             c = reader.read()
         if c < 0 or chr(c) == "[":
-            return c >= 0
+            return "array" if c >= 0 else "lines"
         try:
             json.loads(chr(c) + (reader.readLine() or ""))  # one record of a lines file
-            return False
+            return "lines"
         except ValueError:
-            return chr(c) == "{"
+            return "object" if chr(c) == "{" else "lines"
     finally:
         stream.close()
 
 
-def split_by_mode(spark: SparkSession, path: str, exts=(".json", ".jsonl")) -> tuple[list[str], list[str]]:
-    """(whole-document files, JSON Lines files) under ``path``."""
-    whole, lines = [], []
+def split_by_mode(spark: SparkSession, path: str, exts=(".json", ".jsonl")) -> dict[str, list[str]]:
+    """Files under ``path`` by mode: array, object, lines."""
+    out: dict[str, list[str]] = {"array": [], "object": [], "lines": []}
     for f in _hadoop_list(spark, path, exts):
-        (whole if _is_document(spark, f) else lines).append(f)
-    return whole, lines
+        out[_mode(spark, f)].append(f)
+    return out
 
 
 def _valid(value: str) -> Column:
@@ -90,9 +91,17 @@ def _raw_lines(spark: SparkSession, files: list[str]) -> DataFrame:
             .where(F.length(strip(F.col("value"))) > 0))
 
 
-def _raw_documents(spark: SparkSession, files: list[str]) -> DataFrame:
+def _raw_objects(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, _pos, _sub, value) of files that are one object each."""
+    zero = F.lit(0).cast("long")
     return (spark.read.text(files, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("file"), F.ltrim(F.col("value"), F.lit("\ufeff")).alias("value")))
+            .select(F.col("_metadata.file_path").alias("file"), zero.alias("_pos"), zero.alias("_sub"), F.ltrim(F.col("value"), F.lit("\ufeff")).alias("value")))
+
+
+def _json_texts(spark: SparkSession, files: dict[str, list[str]]) -> list[DataFrame]:
+    """(file, _pos, _sub, value) of the values of all files, one frame per mode."""
+    read = {"array": array_elements, "object": _raw_objects, "lines": _raw_lines}
+    return [read[mode](spark, names) for mode, names in files.items() if names]
 
 
 def read_json_any(spark: SparkSession, path, schema: StructType | str | None = None) -> DataFrame:
@@ -100,24 +109,17 @@ def read_json_any(spark: SparkSession, path, schema: StructType | str | None = N
     ``file`` (``_file`` if the data have that field) and the order keys
     ``_pos``, ``_sub`` that follow the order inside the file. ``path``: a file,
     a directory, a glob or a list of files."""
-    whole, lines = [], []
+    files: dict[str, list[str]] = {"array": [], "object": [], "lines": []}
     for p in path if isinstance(path, (list, tuple)) else [path]:
-        w, l = split_by_mode(spark, p)
-        whole += w
-        lines += l
-    if not whole and not lines:
+        for mode, names in split_by_mode(spark, p).items():
+            files[mode] += names
+    texts = _json_texts(spark, files)
+    if not texts:
         raise FileNotFoundError(f"no JSON input under {path}")
     parts = []
-    if whole:
-        elem = schema if schema is not None else _infer_elem(spark, whole)
-        raw = _raw_documents(spark, whole).withColumn("value", _valid("value"))
-        # an object instead of an array is one element
-        arr = raw.select("file", F.posexplode(F.from_json("value", ArrayType(_struct(elem)))).alias("_pos", "obj"))
-        parts.append(arr.select("file", F.col("_pos").cast("long"), F.lit(0).cast("long").alias("_sub"), "obj"))
-    if lines:
-        elem = schema if schema is not None else spark.read.json(lines).schema
-        raw = _raw_lines(spark, lines).withColumn("value", _valid("value"))
-        parts.append(raw.select("file", "_pos", "_sub", F.from_json("value", _struct(elem)).alias("obj")))
+    for raw in texts:
+        elem = _struct(schema) if schema is not None else _infer(raw)
+        parts.append(raw.withColumn("value", _valid("value")).select("file", "_pos", "_sub", F.from_json("value", elem).alias("obj")))
     flat = []
     for p in parts:
         fields = [f.name for f in p.schema["obj"].dataType.fields]
@@ -134,30 +136,29 @@ def _struct(schema) -> StructType:
     return StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def _infer_elem(spark: SparkSession, files: list[str]):
-    return spark.read.option("multiLine", True).json(files).schema
+def _infer(raw: DataFrame) -> StructType:
+    """Schema of JSON texts, by Spark's own inference."""
+    spark = raw.sparkSession
+    texts = getattr(raw.select("value")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(spark.read._jreader.json(texts), spark).schema
 
 
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
     """A2: ``*.json`` string-array files (or one value per line) in name order
     -> (file, pos, passage), ``pos`` ascending in file order. Non-string items
     are kept as their JSON text; blank items are dropped."""
-    whole, lines = split_by_mode(spark, path, (".json",))
     parts = []
-    if whole:
-        raw = _raw_documents(spark, whole).withColumn("value", _valid("value"))
-        parts.append(raw.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "passage"))
-                     .select("file", F.col("pos").cast("decimal(30,0)"), "passage"))
-    if lines:
-        raw = _raw_lines(spark, lines)
-        # a line is one value: as the element of an array it may be of any kind
+    for raw in _json_texts(spark, split_by_mode(spark, path, (".json",))):
+        # a value may be of any kind: it is read as the element of an array
         item = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>")
         bad = F.raise_error(F.concat(F.lit("malformed JSON in "), F.col("file")))
         item = F.when(F.get_json_object(F.concat(F.lit("["), F.col("value"), F.lit("]")), "$").isNotNull(), F.get(item, 0)).otherwise(bad)
         parts.append(raw.select("file", (F.col("_pos").cast("decimal(30,0)") * (1 << 33) + F.col("_sub")).cast("decimal(30,0)").alias("pos"), item.alias("passage")))
     if not parts:
         raise FileNotFoundError(f"no passages under {path}")
-    items = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    items = parts[0]
+    for p in parts[1:]:
+        items = items.unionByName(p)
     return items.withColumn("passage", strip(F.col("passage"))).where(drop_blank("passage")).select("file", "pos", "passage")
 
 
