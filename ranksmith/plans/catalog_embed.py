@@ -10,7 +10,7 @@ from ..operators import embed as EM
 from ..operators import judge
 from ..operators.search import hydrate_hits
 from ..session import shared_path, table
-from ..streaming.streams import stream_embed, stream_pack
+from ..streaming.streams import read_table_stream, stream_embed, stream_pack
 from . import oracle as O
 from . import views as V
 from .registry import register
@@ -102,10 +102,11 @@ def q_text_key_join(spark, sf_dir):
 @register("stream_pack", O.with_(O.PACKED) + """SELECT batch_no, block_no, CAST(len(ids) AS INTEGER) AS n_ids,
   md5(array_to_string(ids, ' ')) AS ids_md5 FROM blocks""")
 def q_stream_pack(spark, sf_dir):
-    """S2 on one micro-batch: the function a stream calls for each."""
+    """The documents arrive as a stream, are cut into lines and packed per micro-batch (here one)."""
     path = shared_path(spark, "stream-pack")
-    sink = lambda df, epoch: df.write.mode("append").parquet(path)
-    stream_pack(None, "line", O.PACK_L, sink, order_cols=("doc_id", "line_no"))(V.lines(spark, sf_dir), 0)
+    docs = read_table_stream(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    stream_pack(lines, "line", O.PACK_L, path, order_cols=("doc_id", "line_no"))
     b = spark.read.parquet(path)
     return b.select("batch_no", "block_no", F.size("ids").alias("n_ids"), F.md5(F.array_join("ids", " ")).alias("ids_md5"))
 
@@ -114,11 +115,10 @@ def q_stream_pack(spark, sf_dir):
                                   O.hash_feat_cte("f", "texts", "id", "text")) + """SELECT f.id AS content_md5, f.bucket, round(f.value / n.norm, 6) AS value
 FROM f JOIN (SELECT id, sqrt(sum(value * value)) AS norm FROM f GROUP BY id) n USING (id) WHERE n.norm > 0 AND f.value <> 0""")
 def q_stream_embed(spark, sf_dir):
-    """S3 on two micro-batches; the second one meets the texts of the first."""
-    path = shared_path(spark, "vector-store")
-    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select(F.lit("m").alias("model"), F.lit("s").alias("suite"), "text", "doc_id")
-    step = stream_embed(path)
-    step(d.where(F.col("doc_id") % 2 == 0).drop("doc_id"), 0)
-    step(d.drop("doc_id"), 1)
+    """S3: the documents arrive in several files, two a micro-batch; a text is embedded when it first comes."""
+    path, src = shared_path(spark, "vector-store"), shared_path(spark, "arriving")
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select(F.lit("m").alias("model"), F.lit("s").alias("suite"), "text")
+    d.repartition(6).write.parquet(src)
+    stream_embed(spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 2).parquet(src), path)
     v = spark.read.parquet(path).select("content_md5", F.posexplode("embedding").alias("bucket", "value")).where("value <> 0")
     return v.select("content_md5", F.col("bucket").cast("long"), F.round("value", 6).alias("value"))

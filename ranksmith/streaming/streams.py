@@ -1,6 +1,8 @@
 """Structured Streaming forms of the pre-training and embedding steps.
 
-Streams are stateless (the reference only iterates lazily); each runs with
+S1 is a stateless projection into a file sink; S2 and S3 act per micro-batch
+(``foreachBatch``) and write one folder per epoch, which a repeated epoch
+replaces. Each stream runs with
 ``trigger(availableNow=True)`` so a backlog is processed in bounded
 micro-batches and the query stops. Progress is kept beside the output (or in
 a given folder), on the store that all executors share, so a restarted job resumes where it stopped.
@@ -45,29 +47,60 @@ def run_available(stream_out: DataFrame, name: str, path: str, checkpoint: str |
     return q
 
 
-def stream_pack(stream: DataFrame, text_col: str, block: int, sink, batch_rows: int = 1000,
-                order_cols: tuple[str, ...] = ("file", "line_no")):
-    """Pack each arriving micro-batch (J4); the remainder of every
-    1,000-row batch and of every micro-batch is dropped.
-    ``sink(df, epoch_id)`` receives the packed blocks."""
+def run_batches(stream: DataFrame, per_batch, checkpoint: str):
+    """Feed everything available now to ``per_batch(df, epoch_id)`` in micro-batches and stop.
+
+    An epoch that was interrupted is given again, with the same rows, when the
+    stream is started with the same ``checkpoint``; the steps below replace
+    what such an epoch wrote."""
+    q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def epoch_path(path: str, epoch_id: int) -> str:
+    return f"{path.rstrip('/')}/epoch_id={epoch_id}"
+
+
+def pack_step(text_col: str, block: int, path: str, batch_rows: int = 1000, order_cols: tuple[str, ...] = ("file", "line_no")):
+    """S2 of one micro-batch: pack it (J4) into the folder of its epoch. The remainder of
+    every ``batch_rows`` rows and of the micro-batch is dropped."""
     def per_batch(df: DataFrame, epoch_id: int) -> None:
         ix = PT.with_index(df, list(order_cols)).withColumn("ids", PT.token_ids(PT.tokens(text_col)))
-        sink(PT.pack(ix, block, batch_rows).withColumn("epoch_id", F.lit(epoch_id)), epoch_id)
+        PT.pack(ix, block, batch_rows).write.mode("overwrite").parquet(epoch_path(path, epoch_id))
     return per_batch
 
 
-def stream_embed(store_path: str, dim: int = 64, keys=("model", "suite", "content_md5")):
-    """S3: embed only texts not yet in the store (E7) as files arrive;
-    append new vectors. Returns the ``foreachBatch`` function."""
+def stream_pack(stream: DataFrame, text_col: str, block: int, path: str, *, batch_rows: int = 1000,
+                order_cols: tuple[str, ...] = ("file", "line_no"), checkpoint: str | None = None):
+    """Pack each arriving micro-batch below ``path`` (column epoch_id)."""
+    step = pack_step(text_col, block, path, batch_rows, order_cols)
+    return run_batches(stream, step, checkpoint or f"{path.rstrip('/')}-progress")
+
+
+def embed_step(path: str, dim: int = 64, keys: tuple[str, ...] = ("model", "suite", "content_md5"), encode=None):
+    """S3 of one micro-batch: embed the texts that no earlier epoch has (E7) into the folder of its epoch.
+
+    ``encode(df, id, text, dim)`` -> (id, embedding); by default the hashed encoder."""
+    encode = encode or EM.hash_encode
+
     def per_batch(df: DataFrame, epoch_id: int) -> None:
         spark = df.sparkSession
         todo = df.withColumn("content_md5", F.md5("text"))
-        p = spark._jvm.org.apache.hadoop.fs.Path(store_path)
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):  # the first batch has no store
-            todo = EM.embed_missing(todo, spark.read.parquet(store_path), keys)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        # what an earlier try of this epoch wrote is not done: it is replaced
+        done = [e for e in range(epoch_id) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(epoch_path(path, e)))]
+        if done:
+            todo = EM.embed_missing(todo, spark.read.option("basePath", path).parquet(*[epoch_path(path, e) for e in done]), keys)
         todo = todo.dropDuplicates(list(keys))
-        vec = EM.hash_encode(todo.select(*keys, "text").withColumn("_id", F.col("content_md5")),
-                             "_id", "text", dim)
-        out = todo.select(*keys).join(vec.withColumnRenamed("_id", "content_md5"), "content_md5")
-        out.write.mode("append").parquet(store_path)
+        vec = encode(todo.select("content_md5", "text").dropDuplicates(["content_md5"]), "content_md5", "text", dim)
+        todo.select(*keys).join(vec, "content_md5").write.mode("overwrite").parquet(epoch_path(path, epoch_id))
     return per_batch
+
+
+def stream_embed(stream: DataFrame, path: str, *, dim: int = 64, keys: tuple[str, ...] = ("model", "suite", "content_md5"),
+                 encode=None, checkpoint: str | None = None):
+    """S3: embed only texts not yet in the store at ``path`` as files arrive."""
+    return run_batches(stream, embed_step(path, dim, keys, encode), checkpoint or f"{path.rstrip('/')}-progress")
