@@ -19,19 +19,33 @@ from ..functions.text import combine_title_text, drop_blank, id_text, strip
 from ..session import freeze
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def ordered_index(df: DataFrame, order_cols: list[str], idx: str = "idx") -> DataFrame:
     """Add a dense 0-based ``idx`` following ``order_cols``; rows with equal
-    keys get neighbouring numbers. The sort runs when this is called."""
+    keys get neighbouring numbers. The sort runs when this is called. All columns keep
+    their values but one that is called ``idx`` already, which is replaced."""
     bits = 33  # monotonically_increasing_id: partition << 33 | position
-    mid = F.monotonically_increasing_id()
-    rows = freeze(df.orderBy(*order_cols).withColumn("_mid", mid), "ordered")
-    rows = rows.withColumn("_part", F.shiftright("_mid", bits))
-    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    mid, part, off = free_names(df, "_mid", "_part", "_off")
+    rows = freeze(df.orderBy(*order_cols).withColumn(mid, F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn(part, F.shiftright(mid, bits))
+    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: bounded by the partition count
-    offs = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    at = F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << bits) - 1))
-    return rows.join(F.broadcast(offs), "_part").withColumn(idx, at.cast("long")).select(*df.columns, idx)
+    offs = counts.select(part, F.coalesce(F.sum("n").over(w), F.lit(0)).alias(off))
+    at = F.col(off) + F.col(mid).bitwiseAND(F.lit((1 << bits) - 1))
+    rows = rows.join(F.broadcast(offs), part)
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c != idx], at.cast("long").alias(idx))
 
 
 def ordered_corpus(passages: DataFrame, order_cols: list[str], text: str = "passage",

@@ -223,7 +223,7 @@ sz AS (SELECT count(*) AS n FROM cand),
 probes AS (
   SELECT q.*, 1 + q.conv_id % 12 AS n_neg, o,
          (CAST(floor({_u("'start'", 'q.conv_id', 'q.turn')} * sz.n) AS BIGINT) + o) % sz.n AS cpos
-  FROM qs q CROSS JOIN sz, unnest(range(0, 1 + q.conv_id % 12 + 12)) t(o)),
+  FROM qs q CROSS JOIN sz, unnest(range(0, sz.n)) t(o)),
 hit AS (SELECT p.*, r.c_conv, r.c_turn, r.c_text FROM probes p JOIN ring r ON r.cpos = p.cpos
         WHERE r.c_conv <> p.conv_id),
 hit1 AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY conv_id, turn, cpos ORDER BY o) = 1),

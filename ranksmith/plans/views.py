@@ -149,15 +149,17 @@ def sts_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _running(df: DataFrame, order: str, flag: Column, out: str) -> DataFrame:
     """Add how many rows up to this one, in the order of ``order``, have the flag: running
     counts inside the range partitions of one sort, and an offset per partition."""
-    rows = freeze(df.withColumn("_flag", flag.cast("long")).orderBy(order).withColumn("_mid", F.monotonically_increasing_id()), "running")
-    rows = rows.withColumn("_part", F.shiftright("_mid", 33))
+    from ..operators.corpus import free_names
+    is_on, mid, part, off, so_far = free_names(df, "_flag", "_mid", "_part", "_off", "_sum")
+    rows = freeze(df.withColumn(is_on, flag.cast("long")).orderBy(order).withColumn(mid, F.monotonically_increasing_id()), "running")
+    rows = rows.withColumn(part, F.shiftright(mid, 33))
     # one row per partition: bounded by the partition count
-    up = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offs = (rows.groupBy("_part").agg(F.sum("_flag").alias("_n"))
-            .select("_part", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_off")))
-    w = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (rows.withColumn("_sum", F.sum("_flag").over(w)).join(F.broadcast(offs), "_part")
-            .withColumn(out, F.col("_sum") + F.col("_off")).select(*df.columns, out))
+    up = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offs = (rows.groupBy(part).agg(F.sum(is_on).alias("n"))
+            .select(part, F.coalesce(F.sum("n").over(up), F.lit(0)).alias(off)))
+    w = Window.partitionBy(part).orderBy(mid).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (rows.withColumn(so_far, F.sum(is_on).over(w)).join(F.broadcast(offs), part)
+            .withColumn(out, F.col(so_far) + F.col(off)).select(*df.columns, out))
 
 
 def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,9 +181,11 @@ def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     qs = (u_.join(a_, (F.col("u.conv_id") == a_.conv_id) & (F.col("aturn") == F.col("u.turn") + 1))
           .select(F.col("u.conv_id").alias("conv_id"), F.col("u.turn").alias("turn"),
                   F.col("u.text").alias("query"), "pos_text"))
-    cand = (c.where(F.col("role") == "assistant")
-            .select(F.col("conv_id").alias("c_conv"), F.col("turn").alias("c_turn"), F.col("text").alias("c_text"),
-                    u01(F.lit("cand"), F.col("conv_id"), F.col("turn")).alias("h")))
+    # the ring is sorted and counted without the texts; ``rid`` finds a chosen turn's text again
+    said = freeze(c.where(F.col("role") == "assistant")
+                  .select(F.monotonically_increasing_id().alias("rid"), F.col("conv_id").alias("c_conv"), F.col("turn").alias("c_turn"),
+                          F.col("text").alias("c_text")), "assistant-turns")
+    cand = said.drop("c_text").withColumn("h", u01(F.lit("cand"), F.col("c_conv"), F.col("c_turn")))
     ring = ordered_index(cand, ["h", "c_conv", "c_turn"], idx="cpos")
     # turns without a conversation are on the ring but are nobody's negatives
     ring = _running(ring, "cpos", F.col("c_conv").isNotNull(), "known")
@@ -210,7 +214,7 @@ def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = seen.withColumn("got", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("got") < F.col("n_neg"))
     hit = (seen.select(*own, "low", "got", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("size"), F.col("n_neg") - F.col("got")) - 1)).alias("i"))
            .select(*own, (F.col("got") + F.col("i") + 1).alias("k"), (F.col("low") + F.col("i")).alias("at"))
-           .join(turns.select("at", "c_conv", "c_turn", "c_text"), "at"))
+           .join(turns.select("at", "c_conv", "c_turn", "rid"), "at").join(said.select("rid", "c_text"), "rid"))
     negs = (hit.groupBy("conv_id", "turn")
             .agg(F.sort_array(F.collect_list(F.struct(
                 "k", F.col("c_text").alias("t"),

@@ -229,3 +229,15 @@ def test_no_in_batch_flag_keeps_null_sources(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r.doc_id, r.path, r.flag) for r in q_no_in_batch_flag(spark, str(tmp_path)).collect())
     assert got == [(1, "web.jsonl", False), (2, "web_no_in_batch_neg.jsonl", True), (3, None, False), (4, None, True)]
+
+
+def test_working_names_do_not_clash(spark):
+    from ranksmith.operators.corpus import ordered_index
+    from ranksmith.plans.views import _running
+    names = ["_part", "_mid", "_off", "_n", "_flag", "_sum", "n"]
+    df = spark.createDataFrame([(i, *[i * 10 + j for j in range(7)]) for i in range(50)], ["k", *names]).repartition(4)
+    for out in (ordered_index(df, ["k"]), _running(df, "k", F.col("k") % 2 == 0, "up")):
+        assert out.columns[:8] == ["k", *names]
+        for r in out.collect():
+            assert all(r[n] == r.k * 10 + j for j, n in enumerate(names))
+            assert r[8] == (r.k if out.columns[8] == "idx" else r.k // 2 + 1)
