@@ -18,20 +18,21 @@ from pyspark.sql import functions as F
 from ranksmith.llm import mixing, quality, simhash, spm, toxicity
 from ranksmith.llm.common import freeze, table
 from ranksmith.llm.queries import tokenizer_path
+from ranksmith.operators.corpus import free_names
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score_documents(docs, model, out="__quality")
-    return scored.where(F.col("__quality") >= quality.KEEP).select(*docs.columns)
+    score, = free_names(docs, "__quality")
+    return quality.score_documents(docs, model, out=score).where(F.col(score) >= quality.KEEP).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not scored toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs, model, out="__toxic")
-    return scored.where(F.col("__toxic") < toxicity.SPAN).select(*docs.columns)
+    score, = free_names(docs, "__toxic")
+    return toxicity.score_documents(docs, model, out=score).where(F.col(score) < toxicity.SPAN).select(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.det import u01
+from ..operators.corpus import free_names
 from .common import BROADCAST_ROWS, freeze
 
 #: Fixed values of the mix: weights by source order, share of all words, most repeats.
@@ -116,9 +117,10 @@ def mix_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     source table is joined to them and the copies are exploded in place.
     """
     slim = docs.select(F.col(source).alias("source"), word_count(text).alias("size"))
-    t = _targets(slim, **kw).select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
+    name, rate, copy = free_names(docs, "__mix_source", "__mix_rate", "__mix_copy")
+    t = _targets(slim, **kw).select(F.col("source").alias(name), F.col("rate").alias(rate))
     small = t.count() <= BROADCAST_ROWS
-    j = docs.join(F.broadcast(t) if small else t, docs[source].eqNullSafe(t["__mix_source"]))
-    n = copies(F.col("__mix_rate"), docs[doc_id], seed)
-    j = j.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), n)))
+    j = docs.join(F.broadcast(t) if small else t, docs[source].eqNullSafe(t[name]))
+    n = copies(F.col(rate), docs[doc_id], seed)
+    j = j.withColumn(copy, F.explode(F.array_repeat(F.lit(1), n)))
     return j.select(*[docs[c] for c in docs.columns])

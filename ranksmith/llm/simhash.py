@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.corpus import free_names
 from .common import connected_components, freeze, text_slices
 
 WIDTH = 3
@@ -214,13 +215,14 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wid
              limit: int = SHARD_ROWS) -> DataFrame:
     """``docs`` with one row of each component: the smallest id (of several rows
     of that id, one). Rows without an id stay."""
+    key, rk, copy = free_names(docs, "__id", "__rk", "__copy")
     c = _components(docs, doc_id, text, width, radius, limit).where(F.col("component_id").isNotNull())
     best = freeze(c.groupBy("component_id").agg(F.min(F.struct("doc_id", "rk")).alias("b"))
-                  .select(F.col("b.doc_id").alias("__id"), F.col("b.rk").alias("__rk")), "simhash-kept")
-    d = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__rk", row_key(F.col("__id"), F.col(text)))
+                  .select(F.col("b.doc_id").alias(key), F.col("b.rk").alias(rk)), "simhash-kept")
+    d = docs.withColumn(key, F.col(doc_id).cast("long")).withColumn(rk, row_key(F.col(key), F.col(text)))
     # the join's partitioning and order also serve the window: one shuffle of the texts
-    w = Window.partitionBy("__id", "__rk").orderBy("__rk")
-    kept = d.join(best, ["__id", "__rk"]).withColumn("__copy", F.row_number().over(w)).where(F.col("__copy") == 1)
+    w = Window.partitionBy(key, rk).orderBy(rk)
+    kept = d.join(best, [key, rk]).withColumn(copy, F.row_number().over(w)).where(F.col(copy) == 1)
     return kept.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
 
 

@@ -70,3 +70,14 @@ def test_run_on_empty_and_odd_tables(spark, tmp_path):
         out = P.run(spark, str(tmp_path / name))
         assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         assert (out.count() > 0) == (name == "odd")
+
+
+def test_columns_with_working_names_are_kept(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["__quality", "__toxic", "__id", "__rk", "__copy", "__mix_source", "__mix_rate", "__mix_copy", "component_id", "rate"]
+    odd = docs.withColumns({n: F.col("doc_id") * 10 + i for i, n in enumerate(names)})
+    for _, stage in P.STAGES[:-1]:
+        odd = stage(spark, odd, SF)
+        assert odd.columns == [*docs.columns, *names]
+    rows = odd.collect()
+    assert rows and all(r[n] == r.doc_id * 10 + i for r in rows for i, n in enumerate(names))
