@@ -22,7 +22,8 @@ query and group leave the task. Nothing passes the driver but counts.
 Defined cases
 * vectors that are null or hold null or non-finite components take no part;
 * vectors of unequal length: missing components count as 0;
-* quantised components are held to +-2^23, so that sums are exact;
+* scores are exact whole numbers, however large the components; a component or a
+  score that a long cannot hold is an error that names its row;
 * null ids take no part; rows of one id never score against each other; a repeated id is one
   query (its smallest vector) and one candidate per row;
 * ties go to the smaller id; fewer than k candidates: all of them;
@@ -43,7 +44,8 @@ from .common import freeze
 K = 5
 EVERY = 50
 SCALE = 256
-LIMIT = 1 << 23
+#: Largest quantised component, and sums that doubles hold exactly.
+LIMIT, EXACT = 1 << 62, 1 << 53
 QUERY_ROWS = 64
 #: Components of a shard and of a corpus group: rows times dimensions, whatever the dimension.
 SHARD_CELLS = 1 << 18
@@ -54,15 +56,30 @@ FIRST_READ = 1 / 16
 SETTLE = 64
 
 
-def quantise(vec: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) per component, x as double; null if the vector is null
-    or holds a null or non-finite component."""
+def quantise(vec: Column, scale: int = SCALE, name: Column | None = None) -> Column:
+    """floor(scale * x) per component, x as double, as longs; null if the vector is null
+    or holds a null or non-finite component. A component beyond ``LIMIT`` raises, with the row's ``name``."""
     x = F.transform(vec, lambda v: v.cast("double"))
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    q = F.transform(x, lambda v: F.least(F.greatest(F.floor(v * scale), F.lit(-LIMIT)), F.lit(LIMIT)).cast("int"))
+    who = F.coalesce((F.lit("") if name is None else name).cast("string"), F.lit("null"))
+    over = F.raise_error(F.concat(F.lit("a component is too large for a long: row "), who)).cast("long")
+    q = F.transform(x, lambda v: F.when(F.abs(v * scale) > float(LIMIT), over).otherwise(F.floor(v * scale)))
     return F.when(vec.isNotNull() & ~F.coalesce(bad, F.lit(False)), q)
 
 
+def exact_scores(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, vecs: np.ndarray) -> np.ndarray:
+    """Inner products of paired rows as longs."""
+    q, vecs = q.astype(np.int64), vecs.astype(np.int64)
+    size = np.einsum("ij,ij->i", np.abs(q).astype(float), np.abs(vecs).astype(float))
+    out = np.einsum("ij,ij->i", q, vecs)  # wraps around where ``size`` is too large
+    for i in np.flatnonzero(size >= LIMIT).tolist():
+        s = sum(a * b for a, b in zip(q[i].tolist(), vecs[i].tolist()))
+        if not -(1 << 63) < s < 1 << 63:
+            raise OverflowError(f"the score of rows {qid[i]} and {ids[i]} is too large for a long")
+        out[i] = s
+    return out
+
+
 def _dense(col: pa.Array, dim: int | None = None) -> np.ndarray:
     """List column -> matrix, shorter rows filled with 0."""
     offs = np.asarray(col.offsets).astype(np.int64)
@@ -94,6 +111,7 @@ class Shard:
         # 32-bit floats are exact for integers as long as no sum reaches 2^24
         most = np.abs(q).max(initial=0) * 2.0 * np.abs(self.sorted).max(initial=0) * dim
         kind = np.float32 if most < 1 << 24 else np.float64
+        slack = 0.5 if most < EXACT else 0.5 + most * dim * 2.0 ** -50  # of the bounds; scores are whole numbers
         up, down = np.maximum(q, 0).T.astype(kind), np.maximum(-q, 0).T.astype(kind)  # component, query
         lists = self.sorted.astype(kind)
         head, tail = lists[0], lists[-1]
@@ -120,13 +138,13 @@ class Shard:
                          + (~low).astype(kind) @ ((head - lists[n - depth - 1])[:, None] * down))
             lower = np.where(own, kind(-np.inf), lower)
             kth = np.partition(lower.T, n - k, axis=1)[:, n - k] if n > k else np.full(len(alive), -np.inf)
-            left = (upper >= np.maximum(kth, floor) - 0.5) & ~own  # integer scores
+            left = (upper >= np.maximum(kth, floor) - slack) & ~own
             done = (left.sum(0) <= SETTLE) | (depth >= n)
             rows, cols = np.nonzero(left[:, done])
             pos = alive[done][cols]
             for a in range(0, len(pos), 1 << 16):  # resolve the final scores
                 p, c = pos[a:a + (1 << 16)], rows[a:a + (1 << 16)]
-                out.append((p, self.ids[c], np.einsum("ij,ij->i", q[p].astype(np.int64), self.vecs[c].astype(np.int64))))
+                out.append((p, self.ids[c], exact_scores(qid[p], q[p], self.ids[c], self.vecs[c])))
             if done.any():
                 keep = ~done
                 alive, floor, worst = alive[keep], floor[keep], worst[keep]
@@ -165,7 +183,7 @@ def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", vec: str = "embedding",
           query_rows: int = QUERY_ROWS, group_cells: int = GROUP_CELLS, shard_cells: int = SHARD_CELLS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` best rows of all others
     for each row whose id is divisible by ``every``."""
-    v = (vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantise(F.col(vec)).alias("v"))
+    v = (vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantise(F.col(vec), name=F.col(vec_id)).alias("v"))
          .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()))
     v = freeze(v, "nra-vectors")
     c = v.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max(F.size("v")).alias("d")).first()
@@ -184,7 +202,7 @@ def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", vec: str = "embedding",
          .select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.lit(1).alias("kind"),
                  F.col("m.vec_id").alias("ids"),
                  # rows of equal length, so that a block is one flat array
-                 F.flatten(F.transform("m.v", lambda x: F.concat(x, F.array_repeat(F.lit(0), F.lit(dim) - F.size(x))))).alias("v")))
+                 F.flatten(F.transform("m.v", lambda x: F.concat(x, F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size(x))))).alias("v")))
     # by range: a group a task, without hash collisions
     both = rows.unionByName(q).repartitionByRange(groups, "g").sortWithinPartitions("g", "kind")
 
@@ -194,7 +212,9 @@ def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", vec: str = "embedding",
         def built() -> list[Shard]:
             if state["shards"] is None:
                 ids = np.concatenate(state["ids"]) if state["ids"] else np.zeros(0, np.int64)
-                vecs = np.concatenate(state["vecs"]) if state["vecs"] else np.zeros((0, dim), np.int32)
+                vecs = np.concatenate(state["vecs"]) if state["vecs"] else np.zeros((0, dim), np.int64)
+                if np.abs(vecs).max(initial=0) < 1 << 31:
+                    vecs = vecs.astype(np.int32)
                 state["shards"] = [Shard(ids[a:a + shard_rows], vecs[a:a + shard_rows]) for a in range(0, len(ids), shard_rows)]
                 state["ids"], state["vecs"] = [], []
             return state["shards"]
@@ -208,7 +228,7 @@ def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", vec: str = "embedding",
                     state = {"g": g[a], "ids": [], "vecs": [], "shards": None}
                 if kind[a] == 0:
                     state["ids"].append(np.asarray(part.column(2).flatten()))
-                    state["vecs"].append(_dense(part.column(3), dim).astype(np.int32))
+                    state["vecs"].append(_dense(part.column(3), dim))
                     continue
                 for i in range(part.num_rows):
                     qid = np.asarray(part.column(2)[i].values)

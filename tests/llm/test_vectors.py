@@ -1,7 +1,10 @@
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ranksmith.llm import nra, pq
+from ranksmith.llm import queries as Q
 
 
 def brute_topk(rows, k=5):
@@ -34,6 +37,33 @@ def test_topk_with_ties_and_bad_vectors(spark):
     assert nra.top_k(few).count() == 2
 
 
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.integers(-9, 10, 4) / 4).tolist()) for i in range(120)]
+    rows += [(200, [40000.0, 1.0, 0.0, 0.0]), (203, [50000.0, 0.0, 0.0, 0.0]), (204, [45000.0, 2.0, 0.0, 0.0]), (250, [-1e5, 1e5, 3.0, 0.5]), (251, [1e5, -1e5, 0.25, 7.0]),
+             (300, [1e9, 0.0, 0.0, 1.0]), (301, [0.0, 1e9, 0.5, 0.0]), (350, [0.0, 0.0, 1e9, 1e5])]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    vec = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for i in vec:
+        if i % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(vec[i], vec[j])), j) for j in vec if j != i)[:5]
+            want += [(i, r + 1, j, -c) for r, (c, j) in enumerate(s)]
+    for cells in (1 << 22, 200):
+        got = nra.top_k(df, group_cells=cells, shard_cells=cells // 4, query_rows=3).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    sql = duckdb.connect()
+    sql.register("embeddings", df.toPandas())
+    assert sorted(sql.execute(Q.ORACLE["op1_exact_topk"]).fetchall()) == sorted((q, r, i, c) for q, r, i, c in want)
+
+
+def test_topk_scores_beyond_a_long_raise(spark):
+    schema = "vec_id long, embedding array<double>"
+    for rows, words in (([(0, [1e9, 1e9]), (1, [1e9, 1e9])], "rows 0 and 1"), ([(0, [1.0]), (77, [1e30])], "row 77")):
+        with pytest.raises(Exception, match=words):
+            nra.top_k(spark.createDataFrame(rows, schema)).collect()
+
+
 def test_topk_reads_only_part_of_the_lists():
     """The bounds stop the reading before the lists' end on graded data."""
     rng = np.random.default_rng(1)
