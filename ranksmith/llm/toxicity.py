@@ -44,8 +44,8 @@ from .common import freeze, held, text_slices, words
 
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE = 4096
-#: Words that may be labelled toxic, at most (the strongest).
-LEXICON = 2000
+#: Windows around labelled words that train the chain, of each sampled document at most, chosen by hash.
+WINDOWS = 4
 BUCKETS = 1 << 18
 AROUND = 8
 STEPS = 80
@@ -177,8 +177,8 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "y").mapInArrow(run, "word string, ctx long, y int").distinct()
 
 
-def toxic_words(rows: DataFrame, most: int = LEXICON) -> list[str]:
-    """Words whose contexts stand in toxic documents beyond chance."""
+def toxic_words(rows: DataFrame) -> list[str]:
+    """Words whose contexts stand in toxic documents beyond chance (of the sample, whose size bounds them)."""
     c = _contexts(rows).groupBy("word").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
     c = freeze(c, "toxic-words")
     t = c.agg(F.sum("a").alias("A"), F.sum("b").alias("B"), F.count(F.lit(1)).alias("V")).first()
@@ -190,13 +190,13 @@ def toxic_words(rows: DataFrame, most: int = LEXICON) -> list[str]:
     g = 2 * (xlogx(F.col("a"), n * share) + xlogx(F.col("b"), n * (1 - share)))
     odds = ((F.col("a") + 0.5) / t["A"]) / ((F.col("b") + 0.5) / t["B"])
     got = (c.withColumn("g", g).where((F.col("g") > 2 * (np.log(t["V"]) + 7)) & (odds > 8))
-           .orderBy(F.desc("g"), "word").limit(most).select("word").collect())
+           .orderBy(F.desc("g"), "word").select("word").collect())
     return [r.word for r in got]
 
 
-def _windows(rows: DataFrame, lexicon: list[str]) -> DataFrame:
+def _windows(rows: DataFrame, lexicon: list[str], windows: int = WINDOWS) -> DataFrame:
     """Training sequences (words, y of each word): windows around labelled words
-    (toxic documents, the first 4 of each), one other window of every document."""
+    (toxic documents, ``windows`` of each, by the hash of their places), one other window of every document."""
     lex = {w.encode() for w in lexicon}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,8 @@ def _windows(rows: DataFrame, lexicon: list[str]) -> DataFrame:
                     continue
                 hit = [i for i, x in enumerate(w) if y and core(x) in lex]
                 at = xxhash.xxh32_intdigest(str(doc)) % len(w)
-                for m in [*hit[:4], at]:
+                hit = sorted(hit, key=lambda i: (xxhash.xxh32_intdigest(f"{doc}:{i}"), i))[:windows]
+                for m in [*hit, at]:
                     a, b = max(0, m - AROUND), min(len(w), m + AROUND + 1)
                     seqs.append([x.decode(errors="replace") for x in w[a:b]])
                     tags.append([int(bool(y) and core(x) in lex) for x in w[a:b]])
@@ -273,15 +274,16 @@ def _messages(odds: np.ndarray, offs: np.ndarray, trans: np.ndarray, start: floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-        sample: int = SAMPLE, lexicon: int = LEXICON) -> Model:
-    """Fit on at most ``sample`` labelled training documents of each class."""
+        sample: int = SAMPLE, windows: int = WINDOWS) -> Model:
+    """Fit on at most ``sample`` labelled training documents of each class and on at most
+    ``windows`` windows around the labelled words of a document."""
     rows = _train_rows(docs, labels, doc_id, text, label, sample)
     seen = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     none = Model(np.zeros(1), np.zeros((2, 2)), 0.0, constant=1.0 if seen.get(1) and not seen.get(0) else 0.0)
-    lex = toxic_words(rows.select("text", "y"), lexicon) if len(seen) == 2 else []
+    lex = toxic_words(rows.select("text", "y")) if len(seen) == 2 else []
     if not lex:
         return none
-    got = _windows(rows, lex).toArrow()  # at most 5 windows of 17 words per sampled document
+    got = _windows(rows, lex, windows).toArrow()  # at most windows + 1 of 17 words per sampled document
     return train(got["w"].to_pylist(), got["y"].to_pylist())
 
 

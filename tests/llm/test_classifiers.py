@@ -132,3 +132,13 @@ def test_spans_are_character_offsets(spark, data):
     assert len(seen) < 200
     row = toxicity._spans(pa.scalar("é x  bad"), np.array([0.1, 0.2, 0.9]))
     assert [(r["start"], r["end"]) for r in row] == [(5, 8)]
+
+
+def test_training_windows_come_from_the_whole_document(spark):
+    text = " ".join(f"bad{i} " + "word " * 40 for i in range(12))
+    rows = spark.createDataFrame([(i, text, 1) for i in range(30)], "id long, text string, y int")
+    lexicon = [f"bad{i}" for i in range(12)]
+    for n in (2, 12):
+        got = toxicity._windows(rows, lexicon, n).collect()
+        hits = [w for r in got for w, y in zip(r.w, r.y) if y]
+        assert len(got) == 30 * (n + 1) and {w for w in hits} == set(lexicon)  # also the fifth and later ones
