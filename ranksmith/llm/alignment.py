@@ -4,14 +4,18 @@ Both tokenizers encode a text; their tokens' byte ends are two rising arrays
 over the same bytes. Groups end where both have an end.
 
 Method (``align``): at the current index shift the two arrays are compared in
-blocks of 1, 2, 4, ... entries as long as they agree, then the last block is
-halved down, so a stretch of one-to-one tokens is jumped over in a few
+blocks of 16, 64, 256, ... entries as long as they agree, and the first entry that differs is
+found inside the last block, so a stretch of one-to-one tokens is jumped over in a few
 comparisons. Where the arrays disagree, the irregular group is resolved
-locally: the side that ends first moves on until both end at one place; each
-step is one overlap of a token of A with a token of B. The shift is updated
+locally: the side that ends first moves on until both end at one place. The shift is updated
 and skipping goes on. The texts of a slice are aligned as one, since both
 sides end where a text ends.
 
+Encoding: neither tokenizer joins a space to the character before it, so in front of a
+single space both have an end. A task keeps the ids of the distinct chunks between
+such cuts and puts a text's ids together from them; a text where this is not certain
+(runs of spaces, a space between white space, literal U+2581) is encoded as one piece.
+
 Links are the overlapping pairs of token occurrences. Their counts over the
 corpus need one shuffle of pre-summed (A id, B id) pairs. Documents are
 written once with their distinct pairs, packed, and read twice: to sum the counts and
@@ -30,10 +34,11 @@ Defined cases
 from __future__ import annotations
 
 import hashlib
-import json
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,7 @@ from pyspark.sql import types as T
 
 from .common import freeze, text_slices
 from .lm import pack, unpack
+from .spm import chunkable
 
 #: Text aligned at once, pairs that a task sums before it sends them, pairs that tasks hold as a table.
 TEXT_BYTES, SUM_PAIRS, HEAD = 2 << 20, 4_000_000, 2_000_000
@@ -90,6 +96,81 @@ class Pieces:
         return self.sp.encode(texts, num_threads=1)
 
 
+class Encoder:
+    """Ids of texts on both sides, from a table of the distinct chunks that a task has met."""
+
+    #: Ids that the table holds before it is emptied, and the longest chunk that is kept.
+    LIMIT, LONG = 4_000_000, 4096
+    #: Whatever may be white space to either library, and more.
+    BLANK = r"[\x00-\x20\x7F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{FEFF}]"
+    ODD = f"^ |  |\u2581|{BLANK} ({BLANK}|$)"
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.a, self.b = a, b
+        self.mark = b.sp.piece_to_id("\u2581")
+        self.chunks = chunkable(b.sp)
+        self.clear()
+
+    def clear(self) -> None:
+        """An empty table; entry 0 is a text without tokens."""
+        self.known, self.tables, self.ok = {}, ((array("i"), [0, 0]), (array("i"), [0, 0])), [True]
+
+    def add(self, texts: list[str]) -> list[int]:
+        """Entries of new chunks (texts without the space in front)."""
+        first, raw = len(self.ok), [b" " + t.encode() for t in texts]
+        end = np.cumsum([len(x) for x in raw])
+        ok = np.ones(len(texts), bool)
+        for side, flat, ends, ids in ((self.a, *self.tables[0], self.a.encode(texts)),
+                                      (self.b, *self.tables[1], [v or [self.mark] for v in self.b.encode(texts)])):
+            one = list(chain.from_iterable(ids))
+            last = np.cumsum([len(v) for v in ids])
+            joined = list(map(side.bytes.__getitem__, one))
+            size = np.cumsum([0, *map(len, joined)])[last]
+            if not np.array_equal(size, end) or b"".join(joined) != b"".join(raw):
+                ok &= [b"".join([side.bytes[i] for i in v]) == x for v, x in zip(ids, raw)]
+            ends.extend((last + len(flat)).tolist())
+            flat.extend(one)
+        self.ok.extend(ok.tolist())
+        return list(range(first, len(self.ok)))
+
+    def lookup(self, chunks: list[str]) -> np.ndarray:
+        got = list(map(self.known.get, chunks))
+        at = [i for i, e in enumerate(got) if e is None]
+        if at:
+            new = [chunks[i] for i in at]
+            entries = self.add(new)
+            for i, e in zip(at, entries):
+                got[i] = e
+            self.known.update((c, e) for c, e in zip(new, entries) if len(c) <= self.LONG)
+        return np.array(got, np.int64)
+
+    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, offsets by text) of side A and of side B; no ids where a side's bytes are not the text."""
+        if max(len(flat) for flat, _ in self.tables) > self.LIMIT:
+            self.clear()
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.ODD) if self.chunks else pa.array(np.ones(len(texts), bool))
+        lists = pc.split_pattern(pc.if_else(odd, pa.scalar(""), texts), " ")
+        enc = lists.flatten().dictionary_encode()
+        entries = self.lookup(enc.dictionary.to_pylist()) if len(enc) else np.zeros(0, np.int64)
+        code = entries[np.asarray(enc.indices).astype(np.int64)]
+        offs = np.asarray(lists.offsets).astype(np.int64)
+        offs = offs - offs[0]
+        empty = np.asarray(pc.equal(pc.binary_length(texts), 0))
+        code[offs[:-1][empty]] = 0
+        whole = np.flatnonzero(np.asarray(odd) & ~empty)
+        if len(whole):
+            code[offs[whole]] = self.add(texts.take(pa.array(whole)).to_pylist())
+        good = np.logical_and.reduceat(np.array(self.ok)[code], offs[:-1]) if len(code) else np.zeros(0, bool)
+        out = []
+        for flat, ends in self.tables:
+            flat, ends = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32), np.array(ends)
+            size = (ends[1:] - ends[:-1])[code] * np.repeat(good, np.diff(offs))
+            before = np.concatenate([[0], np.cumsum(size)])
+            out.append((flat[ranges(ends[code], size)].astype(np.int64), before[offs]))
+        return out
+
+
 # ---- alignment ------------------------------------------------------------------
 
 @dataclass
@@ -102,66 +183,105 @@ class Alignment:
     link_b: np.ndarray
 
 
-def run_length(a: bytes, b: bytes, i: int, j: int, most: int) -> int:
-    """Number of equal entries of the packed int32 arrays from (i, j) on, at most ``most``."""
-    n, k = 0, 1
-    while k <= most - n:
-        if a[4 * (i + n):4 * (i + n + k)] != b[4 * (j + n):4 * (j + n + k)]:
-            break
-        n += k
-        k *= 2
-    while k > 1:  # halve down inside the block that differs (or runs over the end)
-        k //= 2
-        if k <= most - n and a[4 * (i + n):4 * (i + n + k)] == b[4 * (j + n):4 * (j + n + k)]:
-            n += k
-    return n
+def run_length(a: bytes, b: bytes, i: int, j: int) -> int:
+    """Number of equal entries of the packed int32 arrays from (i, j) on; no entry is 0.
+
+    Blocks grow fourfold while they agree; in the first that does not, the lowest
+    bit in which both differ, read as whole numbers, gives the entry."""
+    x, y, k, whole = 4 * i, 4 * j, 64, int.from_bytes
+    while True:
+        differ = whole(a[x:x + k], "little") ^ whole(b[y:y + k], "little")  # behind its end an array reads as 0
+        if differ:
+            return (x >> 2) - i + ((differ & -differ).bit_length() - 1 >> 5)
+        x, y, k = x + k, y + k, 4 * k
+        if x >= len(a):
+            return (len(a) >> 2) - i
 
 
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> Alignment:
     """Align two rising arrays of ends with the same last value."""
     a, b = ends_a.astype(np.int32).tobytes(), ends_b.astype(np.int32).tobytes()
     va, vb = ends_a.tolist(), ends_b.tolist()
-    na, nb, i, j = len(va), len(vb), 0, 0
-    runs, odd_a, odd_b, cut_a, cut_b = [], [], [], [], []
+    na, i, j = len(va), 0, 0
+    runs, odd = [], []
     while i < na:
-        n = run_length(a, b, i, j, min(na - i, nb - j))
+        n = run_length(a, b, i, j)
         if n:
-            runs.append((i, j, n))
+            runs += i, j, n
             i, j = i + n, j + n
             if i == na:
                 break
-        x, y = va[i], vb[j]  # they differ: resolve the group
+        x, y, first_a, first_b = va[i], vb[j], i, j  # they differ: resolve the group
         while x != y:
-            odd_a.append(i)
-            odd_b.append(j)
             if x < y:
                 i += 1
                 x = va[i]
             else:
                 j += 1
                 y = vb[j]
-        odd_a.append(i)
-        odd_b.append(j)
         i, j = i + 1, j + 1
-        cut_a.append(i)
-        cut_b.append(j)
-    r = np.array(runs, np.int64).reshape(-1, 3)
-    step = np.arange(r[:, 2].sum()) - np.repeat(np.cumsum(r[:, 2]) - r[:, 2], r[:, 2])
-    run_a, run_b = np.repeat(r[:, 0], r[:, 2]) + step, np.repeat(r[:, 1], r[:, 2]) + step
-    a_end = np.concatenate([run_a + 1, np.array(cut_a, np.int64)])
-    b_end = np.concatenate([run_b + 1, np.array(cut_b, np.int64)])
+        odd += first_a, first_b, i, j
+    r, o = np.array(runs, np.int64).reshape(-1, 3), np.array(odd, np.int64).reshape(-1, 4)
+    run_a, run_b = ranges(r[:, 0], r[:, 2]), ranges(r[:, 1], r[:, 2])
+    a_end, b_end = np.concatenate([run_a + 1, o[:, 2]]), np.concatenate([run_b + 1, o[:, 3]])
     order = np.argsort(a_end, kind="stable")
-    return Alignment(a_end[order], b_end[order], np.concatenate([run_a, np.array(odd_a, np.int64)]),
-                     np.concatenate([run_b, np.array(odd_b, np.int64)]))
-
-
-def group_texts(al: Alignment, a: list[str], b: list[str]) -> list[str]:
-    """``a1,a2|b1`` of each group."""
-    out, i, j = [], 0, 0
-    for x, y in zip(al.a_end.tolist(), al.b_end.tolist()):
-        out.append(f"{a[i]}|{b[j]}" if x - i == 1 and y - j == 1 else ",".join(a[i:x]) + "|" + ",".join(b[j:y]))
-        i, j = x, y
-    return out
+    # inside an irregular group every end, of A or of B, closes one overlap
+    ends = np.sort(np.concatenate([ends_a[ranges(o[:, 0], o[:, 2] - o[:, 0])], ends_b[ranges(o[:, 1], o[:, 3] - o[:, 1])]]))
+    ends = ends[np.diff(ends, prepend=-1) > 0]
+    return Alignment(a_end[order], b_end[order], np.concatenate([run_a, np.searchsorted(ends_a, ends)]),
+                     np.concatenate([run_b, np.searchsorted(ends_b, ends)]))
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one behind the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class GroupTexts:
+    """Writes groups as ``a1,a2|b1;a3|b2,b3``: each token is its number and the sign behind it."""
+
+    def __init__(self, ids: int):
+        self.ids = ids
+        self.names = np.array([f"{i}{sign}" for sign in ",|;" for i in range(ids)], object)
+
+    def tokens(self, al: Alignment, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces of the whole slice in order, number of pieces up to the end of each group)."""
+        out = np.empty(len(a) + len(b), object)
+        size_a, size_b = np.diff(al.a_end, prepend=0), np.diff(al.b_end, prepend=0)
+        sign_a, sign_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        sign_a[al.a_end - 1], sign_b[al.b_end - 1] = 1, 2
+        out[np.arange(len(a)) + np.repeat(al.b_end - size_b, size_a)] = self.names[a + sign_a * self.ids]
+        out[np.arange(len(b)) + np.repeat(al.a_end, size_b)] = self.names[b + sign_b * self.ids]
+        return out, al.a_end + al.b_end
+
+
+class Aligner:
+    """Both sides of a task."""
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.size_a, self.size_b = (np.array([len(x) for x in s.bytes], np.int64) for s in (a, b))
+        self.encoder, self.writer = Encoder(a, b), GroupTexts(max(len(a.bytes), len(b.bytes)))
+
+    def columns(self, texts: pa.Array, with_groups: bool) -> list[pa.Array]:
+        """What ``align_documents`` returns of each text."""
+        m, (fa, oa), (fb, ob) = len(texts), *self.encoder.encode(texts)
+        al = align(np.cumsum(self.size_a[fa]), np.cumsum(self.size_b[fb]))
+        pieces, ends = self.writer.tokens(al, fa, fb)
+        cut = np.searchsorted(al.a_end, oa, side="right")
+        cut[0] = 0
+        at = np.concatenate([[0], ends])[cut].tolist()
+        joined = ["".join(pieces[x:y].tolist())[:-1] for x, y in zip(at[:-1], at[1:])]
+        # distinct pairs of each document, by pair
+        doc = np.repeat(np.arange(m), np.diff(oa))[al.link_a]
+        kinds = len(self.size_a) * len(self.size_b)
+        key, links = np.unique(doc * kinds + fa[al.link_a] * len(self.size_b) + fb[al.link_b], return_counts=True)
+        owner, pair = key // kinds, key % kinds
+        at = np.searchsorted(owner, np.arange(m + 1))
+        spans = list(zip(at[:-1].tolist(), at[1:].tolist()))
+        return [*[pa.array(x.astype(np.int64)) for x in (np.diff(oa), np.diff(ob), np.diff(cut), np.bincount(doc, minlength=m))],
+                pa.array([hashlib.sha256(s.encode()).hexdigest() if s else "" for s in joined], pa.string()),
+                pa.array(np.diff(at).astype(np.int64)), pa.array([pack(np.diff(pair[x:y], prepend=0)) for x, y in spans], pa.binary()),
+                pa.array([pack(links[x:y]) for x, y in spans], pa.binary())] + [pa.array(joined, pa.string())] * with_groups
 
 
 # ---- Spark ------------------------------------------------------------------------
@@ -180,41 +300,10 @@ def align_documents(docs: DataFrame, side_a: str, side_b: str, *, doc_id: str =
                           + [T.StructField("groups", T.StringType())] * with_groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = ByteLevel(side_a), Pieces(side_b)
-        size_a, size_b = (np.array([len(x) for x in s.bytes], np.int64) for s in (a, b))
-        names = [str(i) for i in range(max(len(size_a), len(size_b)))]
+        aligner = Aligner(ByteLevel(side_a), Pieces(side_b))
         for batch in batches:
             for part in text_slices(batch, 1, TEXT_BYTES):
-                texts = pc.fill_null(part.column(1), "").to_pylist()
-                ia, ib = a.encode(texts), b.encode(texts)
-                for k, t in enumerate(texts):
-                    raw = b" " + t.encode()
-                    if not t or b"".join([a.bytes[x] for x in ia[k]]) != raw or b"".join([b.bytes[x] for x in ib[k]]) != raw:
-                        ia[k] = ib[k] = []
-                oa, ob = (np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64) for ids in (ia, ib))
-                fa, fb = (np.array([x for ids in s for x in ids], np.int64) for s in (ia, ib))
-                al = align(np.cumsum(size_a[fa]), np.cumsum(size_b[fb]))
-                lines = group_texts(al, [names[x] for x in fa.tolist()], [names[x] for x in fb.tolist()])
-                cut = np.searchsorted(al.a_end, oa, side="right")
-                cut[0] = 0
-                joined = [";".join(lines[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                doc = np.searchsorted(oa, al.link_a, side="right") - 1
-                # distinct pairs of each document, by pair
-                pair = fa[al.link_a] * len(size_b) + fb[al.link_b]
-                order = np.lexsort((pair, doc))
-                doc, pair = doc[order], pair[order]
-                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])])) if len(doc) else np.zeros(0, np.int64)
-                links = np.diff(np.append(first, len(doc)))
-                at = np.searchsorted(doc[first], np.arange(len(texts) + 1))
-                keys, counts = [], []
-                for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
-                    keys.append(pack(np.diff(pair[first[x:y]], prepend=0)))
-                    counts.append(pack(links[x:y]))
-                cols = [part.column(0), pa.array(np.diff(oa)), pa.array(np.diff(ob)), pa.array(np.diff(cut).astype(np.int64)),
-                        pa.array(np.bincount(doc, minlength=len(texts)).astype(np.int64)),
-                        pa.array([hashlib.sha256(s.encode()).hexdigest() if s else "" for s in joined], pa.string()),
-                        pa.array(np.diff(at).astype(np.int64)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(joined, pa.string())] * with_groups, names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0), *aligner.columns(part.column(1), with_groups)], names=schema.fieldNames())
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
