@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeze, text_slices, words
+from .common import freeze, text_slices
 
 FILTERS = "ABCDE"
 #: A: least words. B: least distinct words, C: most capitals, both in hundredths.
@@ -53,8 +53,7 @@ FINE, PIECES = 1 << 20, 64
 _DOC = [("doc_id", "array<long>", pa.list_(pa.int64())), ("part", "array<string>", pa.list_(pa.string())),
         ("digest", "array<binary>", pa.list_(pa.binary())), ("capitals", "array<long>", pa.list_(pa.int64())),
         ("points", "array<long>", pa.list_(pa.int64())), ("marked", "array<boolean>", pa.list_(pa.bool_()))]
-_CSR = [("indptr", "array<int>", pa.list_(pa.int32())), ("indices", "array<int>", pa.list_(pa.int32())),
-        ("data", "array<int>", pa.list_(pa.int32()))]
+_CSR = [("indptr", "binary", pa.binary()), ("indices", "binary", pa.binary()), ("data", "binary", pa.binary())]
 _WORDS = [("piece", "int", pa.int32()), ("size", "long", pa.int64()), ("codes", "binary", pa.binary()), ("words", "binary", pa.binary())]
 _LOCAL = [("grp", "long", pa.int64()), ("shard", "int", pa.int32()), *_DOC, *_CSR, *_WORDS]
 
@@ -63,8 +62,11 @@ def _schema(fields: list) -> str:
     return ", ".join(f"{n} {t}" for n, t, _ in fields)
 
 
-def _batch(fields: list, rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, _, t in fields], names=[n for n, _, _ in fields])
+def _batch(fields: list, row: dict) -> pa.RecordBatch:
+    """One row; Arrow arrays are its lists."""
+    one = lambda v, t: (pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v.cast(t.value_type)) if isinstance(v, pa.Array)
+                        else pa.array([v], t))
+    return pa.RecordBatch.from_arrays([one(row.get(n), t) for n, _, t in fields], names=[n for n, _, _ in fields])
 
 
 def _bytes(values: np.ndarray) -> bytes:
@@ -88,59 +90,65 @@ def csr(codes: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np
 
 def _text_columns(texts: pa.Array) -> dict:
     """What C, D and E need of each text."""
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8) if len(texts) else np.zeros(0, np.uint8)
-    at = np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
-    raw = raw[at[0]:at[-1]]
-    up = np.concatenate([[0], np.cumsum((raw >= 65) & (raw <= 90))])
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
     at = at - at[0]
+    capitals = np.searchsorted(np.flatnonzero((raw - 65) < 26), at)  # unsigned: below 65 wraps around
     view = memoryview(raw)
-    return {"capitals": up[at[1:]] - up[at[:-1]], "points": pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64),
-            "marked": pc.match_substring_regex(texts, MARKS),
-            "digest": [hashlib.sha256(view[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]}
+    return {"capitals": pa.array(np.diff(capitals)), "points": pc.utf8_length(texts), "marked": pc.match_substring_regex(texts, MARKS),
+            "digest": pa.array([hashlib.sha256(view[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())}
 
 
 def _encode(docs: DataFrame, shard_bytes: int, group_bytes: int) -> DataFrame:
     """Rows of local CSR shards (piece null) and of local dictionaries (shard null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         from pyspark import TaskContext
-        grp, shard, known, size = TaskContext.get().partitionId() << 32, 0, {}, 0
-
-        def dictionary() -> Iterator[pa.RecordBatch]:
-            names = list(known)
-            bucket = np.array([xxhash.xxh64_intdigest(w) % FINE for w in names], np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order] * PIECES // FINE, np.arange(PIECES + 1))
-            for k in range(PIECES):
-                x = order[edges[k]:edges[k + 1]]
-                if len(x):
-                    yield _batch(_LOCAL, [{"grp": grp, "piece": k, "size": len(x), "codes": _bytes(x.astype(np.int32)),
-                                           "words": _packed([names[i] for i in x.tolist()])}])
-
+        grp, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for part in text_slices(batch, 2, shard_bytes):
                 texts = pc.fill_null(part.column(2), "")
-                codes, offs, distinct = words(texts, lower=False)
-                local = np.array([known.setdefault(w, len(known)) for w in distinct], np.int64)
-                ptr, idx, cnt = csr(codes, offs, len(distinct))
-                row = {"grp": grp, "shard": shard, "doc_id": part.column(0).to_pylist(), "part": part.column(1).to_pylist(),
-                       "indptr": ptr, "indices": local[idx] if len(idx) else idx, "data": cnt}
-                row |= {k: v.to_pylist() if isinstance(v, pa.Array) else v for k, v in _text_columns(texts).items()}
-                yield _batch(_LOCAL, [row])
-                shard, size = shard + 1, size + texts.nbytes
+                lists = pc.ascii_split_whitespace(texts)
+                enc = lists.flatten().dictionary_encode()
+                held.append(({"doc_id": part.column(0), "part": part.column(1), **_text_columns(texts)}, np.asarray(enc.indices),
+                             enc.dictionary, np.diff(np.asarray(lists.offsets).astype(np.int64))))
+                size += texts.nbytes
                 if size >= group_bytes:
-                    yield from dictionary()
-                    grp, shard, known, size = grp + 1, 0, {}, 0
-        if shard:
-            yield from dictionary()
+                    yield from group(grp, held)
+                    grp, held, size = grp + 1, [], 0
+        if held:
+            yield from group(grp, held)
+
+    def group(grp: int, held: list) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        enc = pa.concat_arrays([words for _, _, words, _ in held]).dictionary_encode()  # of the slices' dictionaries
+        codes, names = np.asarray(enc.indices).astype(np.int64), enc.dictionary
+        blank, at = pc.index(names, "").as_py(), 0  # white space at an end of a text splits off an empty string
+        for shard, (columns, local, words, sizes) in enumerate(held):
+            mine = codes[at:at + len(words)][local]
+            at += len(words)
+            word = mine != blank
+            offs = np.concatenate([[0], np.cumsum(word)])[np.concatenate([[0], np.cumsum(sizes)])]
+            ptr, idx, cnt = csr(mine[word], offs, len(names))
+            yield _batch(_LOCAL, {"grp": grp, "shard": shard, **columns, "indptr": _bytes(ptr.astype(np.int32)),
+                                  "indices": _bytes(idx.astype(np.int32)), "data": _bytes(cnt.astype(np.int32))})
+        bucket = np.array([xxhash.xxh64_intdigest(w) % FINE for w in names.to_pylist()], np.int64)
+        order = np.argsort(bucket, kind="stable")
+        order = order[order != blank]
+        edges = np.searchsorted(bucket[order] * PIECES // FINE, np.arange(PIECES + 1))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), names.take(pa.array(order))), " ")
+        for k in range(PIECES):
+            x = order[edges[k]:edges[k + 1]]
+            if len(x):
+                yield _batch(_LOCAL, {"grp": grp, "piece": k, "size": len(x), "codes": _bytes(x.astype(np.int32)),
+                                      "words": _packed(joined[k].as_buffer())})
 
     return docs.mapInArrow(run, _schema(_LOCAL))
 
 
-def _packed(names: list[bytes]) -> bytes:
+def _packed(joined) -> bytes:
     """Words hold no white space, so a space parts them."""
     import zstandard
-    return zstandard.ZstdCompressor(level=1).compress(b" ".join(names))
+    return zstandard.ZstdCompressor(level=1).compress(joined)
 
 
 def _number_words(local: DataFrame, buckets: int) -> DataFrame:
@@ -156,7 +164,7 @@ def _number_words(local: DataFrame, buckets: int) -> DataFrame:
                 at = np.array([xxhash.xxh64_intdigest(w) % FINE for w in names], np.int64) * buckets // FINE
                 order = np.argsort(at, kind="stable")
                 cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
-                rows = [(grp, int(at[x[0]]), _bytes(codes[x]), _packed([names[i] for i in x.tolist()])) for x in np.split(order, cuts[1:])]
+                rows = [(grp, int(at[x[0]]), _bytes(codes[x]), _packed(b" ".join([names[i] for i in x.tolist()]))) for x in np.split(order, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in
                                                   enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["grp", "bucket", "codes", "words"])
 
@@ -204,23 +212,18 @@ def term_shards(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     def recode(left: pa.Table, right: pa.Table) -> pa.Table:
         got = [(_numbers(c, np.int32), _numbers(i, np.int64) + start.value[b])
                for b, c, i in zip(right["bucket"].to_pylist(), right["codes"].to_pylist(), right["ids"].to_pylist())]
-        table = np.zeros(sum(len(c) for c, _ in got), np.int64)
+        table = np.zeros(max((int(c.max()) + 1 for c, _ in got), default=0), np.int64)
         for c, i in got:
             table[c] = i
-        left = left.sort_by("shard").combine_chunks()
-        flat = left["indices"].combine_chunks() if left["indices"].num_chunks != 1 else left["indices"].chunk(0)
-        offs, out = np.asarray(flat.offsets).astype(np.int64), table[np.asarray(flat.flatten())]
-        offs = offs - offs[0]
-        data = left["data"].combine_chunks() if left["data"].num_chunks != 1 else left["data"].chunk(0)
-        counts = np.asarray(data.flatten()).copy()
-        for k, ptr in enumerate(left["indptr"].to_pylist()):
-            a, b = offs[k], offs[k + 1]
-            row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-            order = np.lexsort((out[a:b], row))
-            out[a:b], counts[a:b] = out[a:b][order], counts[a:b][order]
-        lists = [pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(v, t)) for v, t in ((out, pa.int64()), (counts, pa.int32()))]
-        cols = {n: left[n] for n, _, _ in _SHARD} | {"indices": lists[0], "data": lists[1]}
-        return pa.table({n: pa.chunked_array([cols[n]]).cast(t) if isinstance(cols[n], pa.Array) else cols[n].cast(t) for n, _, t in _SHARD})
+        out: dict[str, list] = {"indptr": [], "indices": [], "data": []}
+        for row in zip(*(left[n].to_pylist() for n in out)):
+            ptr, idx, cnt = (_numbers(x, np.int32) for x in row)
+            idx = table[idx]
+            order = np.argsort(np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)) * int(start.value[-1]) + idx)  # rows keep their places
+            for n, v in zip(out, (ptr, idx[order], cnt[order])):
+                out[n].append(v)
+        cols = {n: pa.chunked_array([pa.array(out[n], t)]) if n in out else left[n] for n, _, t in _SHARD}
+        return pa.table({n: cols[n].cast(t) for n, _, t in _SHARD})
 
     shards = local.where("shard is not null").select(*[n for n, _, _ in _SHARD])
     return (shards.groupBy("grp").cogroup(numbered.select("grp", "bucket", "codes", "ids").groupBy("grp"))
@@ -248,7 +251,7 @@ def text_flags(shards: DataFrame) -> DataFrame:
 
 def fail_counts(flags: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, good, toxic, n): documents by their set of failed filters (16: copy) and labels."""
-    rows = flags.groupBy("doc_id", "part", "digest", "mask").agg(F.count(F.lit(1)).alias("n"))
+    rows = freeze(flags.groupBy("doc_id", "part", "digest", "mask").agg(F.count(F.lit(1)).alias("n")), "audit-texts")
     is_one = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)).cast("int")).alias(c)
     lab = (labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
            .agg(is_one("quality"), is_one("toxic")))

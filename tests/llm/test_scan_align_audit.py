@@ -115,7 +115,7 @@ def test_run_length_equals_a_scan():
         i, n = int(rng.integers(0, 200)), 0
         while i + n < 200 and x[i + n] == y[i + n]:
             n += 1
-        assert alignment.run_length(x.tobytes(), y.tobytes(), i, i, 200 - i) == n
+        assert alignment.run_length(x.tobytes(), y.tobytes(), i, i) == n
 
 
 ALIGN_TEXTS = [None, "", " ", "  two  spaces ", "Hello wörld, this is a tëst.", "a▁b", "<|endoftext|> <s> </s> <unk>", "日本語 テキスト 🙂 x", "tab\tand\nline\r\n\n  end",
@@ -155,6 +155,25 @@ def test_alignment_matches_brute_force(spark, head):
     assert got == sorted(map(repr, want))
 
 
+SIDES = []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list(" \n\t\r\x0b\x85\xa0\u2003\u3000\u200b\ufeff▁ab,'s1é日<>\x00"))), min_size=1, max_size=8))
+def test_chunks_encode_as_whole_texts(texts):
+    if not SIDES:
+        SIDES.append(alignment.Encoder(alignment.ByteLevel(Q.tokenizer_path("byte_bpe_50k.json")), alignment.Pieces(Q.tokenizer_path("piece_bpe_32k.model"))))
+    e = SIDES[0]
+    got = e.encode(alignment.pa.array([*texts, None]))
+    for (ids, offs), whole in zip(got, (e.a.encode(texts), e.b.encode(texts))):
+        for k, (t, w) in enumerate(zip(texts, whole)):
+            mine = ids[offs[k]:offs[k + 1]].tolist()
+            raw = b" " + t.encode()
+            fits = all(b"".join(s.bytes[i] for i in s.encode([t])[0]) == raw for s in (e.a, e.b))
+            assert mine == (w if t and fits else [])
+        assert offs[-1] == offs[-2]
+
+
 def test_alignment_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.alignment(df, Q.tokenizer_path("byte_bpe_50k.json"), Q.tokenizer_path("piece_bpe_32k.model")).count() == 0
