@@ -16,8 +16,8 @@ Filter (after Talbot and Osborne, 2007). A count c is quantised to the level
 up to it; a reader probes j = 1, 2, ... until a miss. An n-gram that was
 not put in is taken for one with probability ``ERROR`` per probe. The pairs are dealt to
 shards by their first word h (a word with very many followers to several, by the second word); a
-shard also has the counts of its h and of the words behind them, and the number
-of followers of h; as all pairs of h are kept, r(h) = D * followers is left
+shard also has the counts of its h and of the words behind them as far as they are not in the head, and
+the number of followers of h; as all pairs of h are kept, r(h) = D * followers is left
 to the unigram. So a shard answers for its histories alone. Shards have
 bounded size; as many as fit ``ROUND_BYTES`` are broadcast at once and every
 round adds the terms of its own histories: the broadcast does not grow with
@@ -264,13 +264,18 @@ def probe_count(error: float = ERROR) -> int:
     return max(1, round(-math.log2(error)))
 
 
-def _slots(key: np.ndarray, kind: int, level: int, size: np.ndarray, probes: int) -> Iterator[np.ndarray]:
-    """Bit positions of the entry (key, kind, level), by double hashing."""
+def _slots(key: np.ndarray, kind: int, level: int, size: int, probes: int) -> Iterator[np.ndarray]:
+    """Bit positions of the entry (key, kind, level) among ``size`` (below 2^32), by double hashing."""
     with np.errstate(over="ignore"):
         a = mix(key + np.uint64((level * 8 + kind + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
         b = mix(a) | np.uint64(1)
         for i in range(probes):
-            yield ((a + np.uint64(i) * b) >> np.uint64(8)) % size
+            yield _place(a + np.uint64(i) * b, size)
+
+
+def _place(h: np.ndarray, size: int) -> np.ndarray:
+    """The upper half of each hash, scaled to 0 .. size - 1."""
+    return (h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
 
 
 def fill(groups: list[tuple[int, np.ndarray, np.ndarray]], probes: int) -> np.ndarray:
@@ -281,29 +286,22 @@ def fill(groups: list[tuple[int, np.ndarray, np.ndarray]], probes: int) -> np.nd
     bits = np.zeros(size, bool)
     for (kind, key, _), top in zip(groups, lev):
         for j in range(1, int(top.max(initial=0)) + 1):
-            for s in _slots(key[top >= j], kind, j, np.uint64(size), probes):
+            for s in _slots(key[top >= j], kind, j, size, probes):
                 bits[s] = True
     return np.packbits(bits, bitorder="little")
 
 
-def read_level(data: np.ndarray, key: np.ndarray, kind: int, probes: int, size: np.ndarray | None = None,
-               base: np.ndarray | None = None) -> np.ndarray:
-    """Level of each key: membership probes j = 1, 2, ... until a miss.
-
-    ``data`` is one shard, or several behind one another; then each key has the ``size`` (bits)
-    and ``base`` (first bit) of its shard."""
-    size = np.full(len(key), len(data) * 8, np.uint64) if size is None else size
-    base = np.zeros(len(key), np.uint64) if base is None else base
-    out, live, j = np.zeros(len(key), np.int64), np.arange(len(key)), 0
+def read_level(data: np.ndarray, key: np.ndarray, kind: int, probes: int) -> np.ndarray:
+    """Level of each key in one shard: membership probes j = 1, 2, ... until a miss."""
+    out, live, j, size = np.zeros(len(key), np.int64), np.arange(len(key)), 0, len(data) * 8
     while len(live):
         j += 1
         hit = np.arange(len(live))
-        k, n, at = key[live], size[live], base[live]
         with np.errstate(over="ignore"):
-            a = mix(k + np.uint64((j * 8 + kind + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+            a = mix(key[live] + np.uint64((j * 8 + kind + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
             b = mix(a) | np.uint64(1)
             for i in range(probes):  # only keys that have passed every probe so far go on
-                s = ((a[hit] + np.uint64(i) * b[hit]) >> np.uint64(8)) % n[hit] + at[hit]
+                s = _place(a[hit] + np.uint64(i) * b[hit], size)
                 hit = hit[(data[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
                 if not len(hit):
                     break
@@ -313,19 +311,11 @@ def read_level(data: np.ndarray, key: np.ndarray, kind: int, probes: int, size:
 
 
 class Round:
-    """The shards of one broadcast, behind one another."""
-
-    def __init__(self, sizes: dict[int, int], shards: Iterator[tuple[int, bytes]]):
-        """``sizes``: bytes of each shard; ``shards`` are put in place one by one."""
-        ids = sorted(sizes)
-        each = np.array([sizes[i] for i in ids], np.int64)
-        first = np.concatenate([[0], np.cumsum(each)])
-        self.data = np.zeros(first[-1], np.uint8)
-        at = dict(zip(ids, first.tolist()))
-        for i, bits in shards:
-            self.data[at[i]:at[i] + len(bits)] = np.frombuffer(bits, np.uint8)
-        self.size, self.base = (8 * each).astype(np.uint64), (8 * first[:-1]).astype(np.uint64)
-        self.ids = np.array(ids, np.int64)
+    """The shards of one broadcast."""
+
+    def __init__(self, shards: Iterator[tuple[int, bytes]]):
+        got = sorted(((i, np.frombuffer(bits, np.uint8)) for i, bits in shards), key=lambda x: x[0])
+        self.ids, self.data = np.array([i for i, _ in got], np.int64), [bits for _, bits in got]
 
     def find(self, shard: np.ndarray) -> np.ndarray:
         """Place of each shard in this round, -1 if it is not here."""
@@ -335,8 +325,14 @@ class Round:
         return np.where(self.ids[at] == shard, at, -1)
 
     def count(self, at: np.ndarray, key: np.ndarray, kind: int, probes: int) -> np.ndarray:
-        """Counts of the keys, each in the shard at its place."""
-        return worth(read_level(self.data, key, kind, probes, self.size[at], self.base[at]), kind)
+        """Counts of the keys, each in the shard at its place; shard by shard, so that the bits stay in cache."""
+        order = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at[order], np.arange(len(self.data) + 1)).tolist()
+        level = np.zeros(len(key), np.int64)
+        for bits, a, b in zip(self.data, edges[:-1], edges[1:]):
+            if a < b:
+                level[order[a:b]] = read_level(bits, key[order[a:b]], kind, probes)
+        return worth(level, kind)
 
 
 @dataclass
@@ -362,12 +358,12 @@ class Dealt:
 def build_filter(pairs: DataFrame, counts: DataFrame, shard_pairs: int) -> tuple[DataFrame, Dealt]:
     """Pairs -> (shard, bits) in the shared folder, and the rule that deals histories."""
     spark, probes = pairs.sparkSession, probe_count()
-    # counts of the words that are not in the head
-    known = pairs.where("cw > 0")
+    # counts of the words that are not in the head; those of the head are in the tasks' table, so no entry is made for them (c = 0)
+    known = pairs.where("cw > 0").withColumn("cw", F.lit(0).cast("long"))
     rare = pairs.where("cw = 0").drop("cw").join(counts.select("w", F.col("n").alias("cw")), "w").select(*pairs.columns)
     per_h = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("followers"), F.max("ch").alias("ch"))
     more = per_h.where("ch = 0").drop("ch").join(counts.select(F.col("w").alias("h"), F.col("n").alias("ch")), "h")
-    per_h = freeze(per_h.where("ch > 0").unionByName(more.select(*per_h.columns)), "lm-histories")
+    per_h = freeze(per_h.where("ch > 0").withColumn("ch", F.lit(0).cast("long")).unionByName(more.select(*per_h.columns)), "lm-histories")
     total = per_h.agg(F.sum("followers")).first()[0] or 0
     shards = max(1, -(-total // shard_pairs))
     hot = per_h.where(F.col("followers") > shard_pairs // 4).select("h", "followers").collect()  # 4 per shard at most
@@ -403,8 +399,9 @@ def build_filter(pairs: DataFrame, counts: DataFrame, shard_pairs: int) -> tuple
         def done() -> pa.RecordBatch:
             kind, h, w, n, c = (np.concatenate([x[i] for x in got]) for i in range(5))
             p, t = kind == 0, kind == 1
-            u, first = np.unique(np.concatenate([w[p], h[t]]), return_index=True)
-            bits = fill([(PAIR, pair_hash(h[p], w[p]), n[p]), (LEFT, h[t], n[t]), (WORD, u, np.concatenate([c[p], c[t]])[first])], probes)
+            rare_w, rare_h = p & (c > 0), t & (c > 0)
+            u, first = np.unique(np.concatenate([w[rare_w], h[rare_h]]), return_index=True)
+            bits = fill([(PAIR, pair_hash(h[p], w[p]), n[p]), (LEFT, h[t], n[t]), (WORD, u, np.concatenate([c[rare_w], c[rare_h]])[first])], probes)
             return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["shard", "bits"])
 
         for batch in batches:
@@ -454,7 +451,6 @@ def gains(bits: Round, deal: Dealt, head: Head, hashes: np.ndarray, h: np.ndarra
     at, place, h, w, c, cw, rest = at[live], place[live], h[live], w[live], c[live], cw[live], np.minimum(1.0, DISCOUNT * left[live] / c[live])
     pair = np.zeros(len(at))
     ask = np.flatnonzero(cw > 0)
-    ask = ask[np.argsort(place[ask], kind="stable")]  # shard by shard: probes stay in cache
     pair[ask] = bits.count(place[ask], pair_hash(hashes[h[ask]], hashes[w[ask]]), PAIR, probes)
     pair = np.minimum(pair, np.minimum(c, cw))
     uni = (cw + 0.5) / (head.tokens + 0.5 * (head.kinds + 1))
@@ -556,7 +552,7 @@ def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", h
     def sent(sizes: dict[int, int]):
         # one round's shards, ROUND_BYTES together, fetched shard by shard
         got = filt.where(F.col("shard").isin(list(sizes))).toLocalIterator()
-        return spark.sparkContext.broadcast(Round(sizes, ((r.shard, bytes(r.bits)) for r in got)))
+        return spark.sparkContext.broadcast(Round((r.shard, bytes(r.bits)) for r in got))
 
     rows = freeze(_base(docs, bc, sent(rounds[0]), deal), "lm-rows")
     scale = hd.tokens + 0.5 * (hd.kinds + 1)
