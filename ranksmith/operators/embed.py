@@ -159,18 +159,6 @@ def pool_mean(states: DataFrame) -> DataFrame:
     return e.groupBy("text_id", "dim").agg(F.avg(F.col("v").cast("double")).alias("value"))
 
 
-def pool_mean_dense(states: DataFrame) -> DataFrame:
-    """E6, wide vectors: element-wise sum of the masked states as one array
-    aggregate per text (no explode by dimension)."""
-    m = states.where(F.col("mask") == 1)
-    summed = m.groupBy("text_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.aggregate(F.collect_list("state"), F.lit(None).cast("array<double>"),
-                    lambda acc, v: F.when(acc.isNull(), F.transform(v, lambda x: x.cast("double")))
-                    .otherwise(F.zip_with(acc, v, lambda a, b: a + b.cast("double")))).alias("s"))
-    return summed.select("text_id", F.transform("s", lambda x: x / F.col("n")).alias("pooled"))
-
-
 def embed_missing(todo: DataFrame, store: DataFrame, keys=("model", "suite", "content_md5"),
                   rebuild: bool = False) -> DataFrame:
     """Rows of ``todo`` not yet in the vector store (anti-join on keys)."""

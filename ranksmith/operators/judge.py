@@ -200,31 +200,7 @@ def retrieval_stats(pq: DataFrame) -> DataFrame:
         .alias("unannotated_ratio"))
 
 
-# ---- join helpers named in the inventory (G1-G4, G6, G8) -------------------
-
-def grade_zero_fill(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """G1: every hit with its grade; unjudged = 0."""
-    return (run.join(qrels, on=[*QKEYS, "dkey"], how="left")
-            .withColumn("grade", F.coalesce(F.col("score"), F.lit(0.0))))
-
-
-def grade_ignore(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """Judged hits only, ranks closed up."""
-    w = Window.partitionBy(*RUN_Q).orderBy("rank")
-    return (run.join(qrels, on=[*QKEYS, "dkey"], how="inner")
-            .withColumn("rank", F.row_number().over(w).cast("long")))
-
-
-def judged_queries(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """Run rows of queries with at least one judgement."""
-    return run.join(qrels.select(*QKEYS).distinct(), on=QKEYS, how="left_semi")
-
-
-def unjudged_pairs(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """Hits of judged queries without a judgement."""
-    return (judged_queries(run, qrels)
-            .join(qrels.select(*QKEYS, "dkey"), on=[*QKEYS, "dkey"], how="left_anti"))
-
+# ---- join helpers named in the inventory (G6, G7) ------------------------------
 
 def text_key(df: DataFrame, query: str = "query", passage: str = "passage") -> DataFrame:
     """Keys of a text-keyed run or judgement: ``qkey``, ``dkey`` are the
@@ -247,12 +223,6 @@ def skip_done(candidates: DataFrame, done: DataFrame, key: str = "model") -> Dat
     return candidates.join(done.select(key).distinct(), on=key, how="left_anti")
 
 
-def shift_join(pred: DataFrame, labels: DataFrame, keys=("seq",), pos: str = "pos") -> DataFrame:
-    """Prediction at position i against label at i + 1."""
-    l = labels.withColumn(pos, F.col(pos) - 1)
-    return pred.join(l, on=[*keys, pos], how="inner")
-
-
 # ---- suite presets (H8-H11) and task selection (C13) ----------------------------
 
 SUITES = {

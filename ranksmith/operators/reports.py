@@ -1,15 +1,41 @@
 """Checkpoint sweeps and leaderboard reports (K1-K6).
 
-K1 is not an operator of its own: the metric plan already groups by
-``model``, so a run table holding many checkpoints is evaluated in one job.
+K1: the metric plan groups by ``model``, so a run table holding many checkpoints
+is evaluated in one job; ``run_sweep`` keeps the results in a store with a folder per
+checkpoint and evaluates only those that have none (G6).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .corpus import ordered_index
+from .judge import skip_done
+
+
+def finished(spark: SparkSession, store: str) -> DataFrame:
+    """(model) of the checkpoints with results in the store; from its folders, no data are read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(store)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    rows = [(n[len("model="):],) for n in names if n.startswith("model=")]  # one per checkpoint
+    return spark.createDataFrame(rows, "folder string").select(F.url_decode("folder").alias("model"))
+
+
+def run_sweep(queries: DataFrame, evaluate: Callable[[DataFrame], DataFrame], store: str) -> DataFrame:
+    """K1: results of all checkpoints of ``queries`` (column model). Those finished are
+    skipped before ``evaluate`` (queries of the others -> rows with a column model) searches;
+    a checkpoint's folder appears when its rows are complete, so that a lost run is repeated."""
+    spark = queries.sparkSession
+    todo = skip_done(queries, finished(spark, store))
+    if not todo.isEmpty():
+        (evaluate(todo).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("model").parquet(store))
+    wanted = queries.select("model").distinct()
+    return spark.read.option("inferSchema", False).parquet(store).withColumn("model", F.col("model").cast("string")).join(wanted, "model", "left_semi")
 
 
 def sweep_report(selection: DataFrame, overall: DataFrame) -> DataFrame:

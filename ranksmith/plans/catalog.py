@@ -441,4 +441,4 @@ def q_stream_clean(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(path)
 
 
-from . import catalog_embed, catalog_suites, catalog_train  # noqa: E402, F401  (they register their queries)
+from . import catalog_embed, catalog_files, catalog_suites, catalog_train  # noqa: E402, F401  (they register their queries)

@@ -84,10 +84,10 @@ def checkpoint_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def models_run(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """V5: every checkpoint searches the whole corpus with its own query vectors."""
+def models_run(spark: SparkSession, sf_dir: str, k: int = 10, queries: DataFrame | None = None) -> DataFrame:
+    """V5: every checkpoint (of ``queries``, by default all) searches the whole corpus with its own query vectors."""
     from ..operators.search import exact_topk
-    q = checkpoint_queries(spark, sf_dir)
+    q = checkpoint_queries(spark, sf_dir) if queries is None else queries
     hits = exact_topk(q.select("mq", "embedding"), c_vec(spark, sf_dir).select("did", "embedding"), k,
                       qid="mq", did="did", vec="embedding")
     return (hits.join(q.select(F.col("mq").alias("qid"), F.col("qid").alias("own"), "model", "task", "event"), "qid")

@@ -234,7 +234,8 @@ def read_text(spark: SparkSession, path: str, fmt: str | None = None, column: st
     if fmt == "txt":
         df = spark.read.text(path).withColumnRenamed("value", column)
     elif fmt == "csv":
-        df = spark.read.option("header", True).csv(path).select(column)
+        # a quoted field may hold newlines and doubled quotes, so a CSV file is one task
+        df = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path).select(column)
     elif fmt in ("json", "jsonl"):
         df = read_json_any(spark, path).select(column)
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,39 @@ def write_corpus(corpus: DataFrame, path: str, mode: str = "overwrite") -> None:
     corpus.repartitionByRange("idx").sortWithinPartitions("idx").write.mode(mode).parquet(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The rows as JSON array files, one array per partition: objects, or the bare
+    values of a frame with one string column."""
+    one = len(df.columns) == 1 and df.schema[0].dataType.simpleString() == "string"
+    # a string as JSON: the only element of an array, without the brackets
+    item = F.expr(f"substring(to_json(array(`{df.columns[0]}`)), 2, length(to_json(array(`{df.columns[0]}`))) - 2)") if one else F.to_json(F.struct("*"))
+
+    def lines(batches):
+        first = True
+        for b in batches:
+            out = []
+            for v in b.column(0).to_pylist():
+                out.append(("[" if first else ",") + v)
+                first = False
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
+
+    df.select(item.alias("value")).mapInArrow(lines, "value string").write.mode(mode).text(path)
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    for st in fs.listStatus(p):  # the ending that readers look for
+        name = st.getPath().getName()
+        if name.startswith("part-"):
+            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(p, name.rsplit(".", 1)[0] + ".json"))
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV with a header; texts may hold quotes, newlines and white space at their ends."""
+    (df.write.mode(mode).options(header=True, quoteAll=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                                 ignoreTrailingWhiteSpace=False).csv(path))
+
+
 def write_embeddings(vectors: DataFrame, path: str, mode: str = "overwrite",
                      by: tuple[str, ...] = ("model", "suite")) -> None:
     """B2: vectors partitioned by model and suite."""
