@@ -10,12 +10,17 @@ so the shuffle moves one segment per (row, block), not one row per token.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.det import u01
 from ..functions.text import STRIP_PATTERN, strip
-from .corpus import ordered_index
+from .corpus import free_names, ordered_index
 
 WS_SPLIT = r"[\s\p{Z}\x0B\x1C-\x1F\x85]+"
 PAD_ID, MASK_ID, N_SPECIAL, VOCAB = 0, 1, 10, 30000
@@ -51,16 +56,73 @@ def token_ids(toks: Column) -> Column:
                                                F.lit(VOCAB)) + N_SPECIAL).cast("int"))
 
 
-def line_mode(df: DataFrame, max_len: int, col: str = "line") -> DataFrame:
-    """Non-blank lines, tokenised, truncated to ``max_len``."""
+def tokenize(df: DataFrame, make_tokenizer: Callable[[], Callable], col: str = "line", max_len: int | None = None,
+             batch_rows: int = 1024) -> DataFrame:
+    """J3 with a user tokenizer: adds ``ids`` ARRAY<INT> and ``special`` ARRAY<BOOLEAN>.
+
+    ``make_tokenizer()`` runs once per Python worker task and returns
+    ``encode(texts, max_len) -> (ids, special, lengths)`` for an Arrow array of
+    texts: the ids of all texts in a row, a flag for each (true: never masked), and
+    the number of ids of each text. The tokenizer truncates, since only it knows
+    which special ids stay. A null text is an empty one. Columns called ids or
+    special before are replaced; a wrong length of the result raises."""
+    kept = [c for c in df.columns if c not in ("ids", "special")]
+    schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields,
+                           T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("special", T.ArrayType(T.BooleanType()))])
+
+    def run(batches):
+        encode = make_tokenizer()
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(at, batch_rows)
+                ids, special, lengths = encode(part.column(len(kept)), max_len)
+                if len(lengths) != part.num_rows or len(ids) != len(special) or len(ids) != int(np.sum(lengths)):
+                    raise RuntimeError(f"tokenizer returned {len(lengths)} texts, {len(ids)} ids and {len(special)} flags for {part.num_rows} texts")
+                ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.asarray(ids, np.int32))),
+                         pa.ListArray.from_arrays(ends, pa.array(np.asarray(special, bool)))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], *lists], names=[*kept, "ids", "special"])
+
+    texts = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{col}`"), F.lit("")).alias(free_names(df, "_text")[0]))
+    return texts.mapInArrow(run, schema)
+
+
+def byte_tokenizer(begin: int = 256, end: int = 257):
+    """A byte-level tokenizer for :func:`tokenize`: the UTF-8 bytes of a text between two special ids."""
+    def make():
+        def encode(texts, max_len):
+            texts = texts.cast(pa.large_string())
+            at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            size = np.diff(at)
+            if max_len is not None:
+                size = np.minimum(size, max(max_len - 2, 0))
+            lengths = size + 2
+            first = np.cumsum(lengths) - lengths
+            special = np.zeros(int(lengths.sum()), bool)
+            special[first] = special[first + lengths - 1] = True
+            ids = np.empty(len(special), np.int32)
+            ids[first], ids[first + lengths - 1] = begin, end
+            ids[~special] = data[np.repeat(at[:-1] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            return ids, special, lengths
+        return encode
+    return make
+
+
+def line_mode(df: DataFrame, max_len: int, col: str = "line", make_tokenizer: Callable[[], Callable] | None = None) -> DataFrame:
+    """Non-blank lines, tokenised, truncated to ``max_len``; by a user tokenizer if one is given."""
+    if make_tokenizer is not None:
+        return tokenize(drop_blank_lines(df, col), make_tokenizer, col, max_len)
     return drop_blank_lines(df, col).withColumn("ids", F.slice(token_ids(tokens(col)), 1, max_len))
 
 
 def pack(df: DataFrame, block: int, batch_rows: int = 1000) -> DataFrame:
     """Concatenate the ids of each ``batch_rows`` consecutive rows (by
     idx), cut into blocks of ``block`` ids, drop each batch's remainder.
-    Output: batch_no, block_no, ids ARRAY<INT> (length ``block``)."""
-    d = df.select("idx", "ids").withColumn("batch_no", F.floor(F.col("idx") / batch_rows).cast("long")) \
+    Output: batch_no, block_no, ids ARRAY<INT> (length ``block``), and ``special``
+    cut the same way if the rows have it."""
+    lists = ["ids", *[c for c in ("special",) if c in df.columns]]
+    d = df.select("idx", *lists).withColumn("batch_no", F.floor(F.col("idx") / batch_rows).cast("long")) \
         .withColumn("n", F.size("ids"))
     # batch of <= batch_rows rows: a bounded window partition
     w = Window.partitionBy("batch_no").orderBy("idx")
@@ -75,9 +137,9 @@ def pack(df: DataFrame, block: int, batch_rows: int = 1000) -> DataFrame:
     hi = F.least((F.col("block_no") + 1) * L, F.col("off") + F.col("n"))
     seg = (seg.where(F.col("block_no") < F.floor(F.col("total") / L))
            .select("batch_no", "block_no", F.col("off"),
-                   F.slice("ids", (lo - F.col("off") + 1).cast("int"), (hi - lo).cast("int")).alias("seg")))
-    out = seg.groupBy("batch_no", "block_no").agg(F.sort_array(F.collect_list(F.struct("off", "seg"))).alias("parts"))
-    return out.select("batch_no", "block_no", F.flatten(F.transform("parts", lambda p: p["seg"])).alias("ids"))
+                   *[F.slice(c, (lo - F.col("off") + 1).cast("int"), (hi - lo).cast("int")).alias(c) for c in lists]))
+    out = seg.groupBy("batch_no", "block_no").agg(F.sort_array(F.collect_list(F.struct("off", *lists))).alias("parts"))
+    return out.select("batch_no", "block_no", *[F.flatten(F.col(f"parts.{c}")).alias(c) for c in lists])
 
 
 def head(df: DataFrame, n: int | None, order_col: str = "idx") -> DataFrame:
@@ -85,26 +147,35 @@ def head(df: DataFrame, n: int | None, order_col: str = "idx") -> DataFrame:
     return df if n is None else df.where(F.col(order_col) < n)
 
 
-def mask_full(blocks: DataFrame, p: float, seed: int, key_cols=("batch_no", "block_no")) -> DataFrame:
-    """Every non-special id masked with chance p; input = MASK_ID where
+def _hit(blocks: DataFrame, p: float, seed: int, key_cols) -> Callable[[Column, Column], Column]:
+    """(id, position) -> masked? By the ``special`` flags if the blocks have them, else ids below N_SPECIAL are special."""
+    drawn = lambda i: u01(F.lit(seed), *[F.col(c) for c in key_cols], F.lit("m"), i) < F.lit(p)
+    if "special" in blocks.columns:
+        return lambda x, i: ~F.col("special")[i] & drawn(i)
+    return lambda x, i: (x >= N_SPECIAL) & drawn(i)
+
+
+def mask_full(blocks: DataFrame, p: float, seed: int, key_cols=("batch_no", "block_no"), mask_id: int = MASK_ID) -> DataFrame:
+    """Every non-special id masked with chance p; input = ``mask_id`` where
     masked; label = id where masked else -100."""
-    keys = [F.col(c) for c in key_cols]
-    hit = lambda x, i: (x >= N_SPECIAL) & (u01(F.lit(seed), *keys, F.lit("m"), i) < F.lit(p))
+    hit = _hit(blocks, p, seed, key_cols)
     # one draw per position serves labels and inputs
-    both = F.transform("ids", lambda x, i: F.when(hit(x, i), F.struct(x.alias("label"), F.lit(MASK_ID).alias("input")))
+    both = F.transform("ids", lambda x, i: F.when(hit(x, i), F.struct(x.alias("label"), F.lit(mask_id).alias("input")))
                        .otherwise(F.struct(F.lit(-100).alias("label"), x.alias("input"))))
     return (blocks.withColumn("_both", both).withColumn("labels", F.col("_both.label"))
             .withColumn("inputs", F.col("_both.input")).drop("_both"))
 
 
-def mask_default(blocks: DataFrame, p: float, seed: int, key_cols=("batch_no", "block_no")) -> DataFrame:
-    """Masked positions become MASK_ID 80%, a random id 10%, unchanged 10%."""
+def mask_default(blocks: DataFrame, p: float, seed: int, key_cols=("batch_no", "block_no"), mask_id: int = MASK_ID,
+                 vocab: tuple[int, int] = (N_SPECIAL, VOCAB)) -> DataFrame:
+    """Masked positions become ``mask_id`` 80%, a random id 10%, unchanged 10%.
+    ``vocab``: first and number of the ids to draw from."""
     keys = [F.col(c) for c in key_cols]
-    hit = lambda x, i: (x >= N_SPECIAL) & (u01(F.lit(seed), *keys, F.lit("m"), i) < F.lit(p))
+    hit = _hit(blocks, p, seed, key_cols)
     r = lambda i: u01(F.lit(seed), *keys, F.lit("r"), i)
-    rnd = lambda i: (F.floor(u01(F.lit(seed), *keys, F.lit("v"), i) * VOCAB) + N_SPECIAL).cast("int")
+    rnd = lambda i: (F.floor(u01(F.lit(seed), *keys, F.lit("v"), i) * vocab[1]) + vocab[0]).cast("int")
     return blocks.withColumn("labels", F.transform("ids", lambda x, i: F.when(hit(x, i), x).otherwise(F.lit(-100)))) \
-        .withColumn("inputs", F.transform("ids", lambda x, i: F.when(hit(x, i) & (r(i) < 0.8), F.lit(MASK_ID))
+        .withColumn("inputs", F.transform("ids", lambda x, i: F.when(hit(x, i) & (r(i) < 0.8), F.lit(mask_id))
                                           .when(hit(x, i) & (r(i) < 0.9), rnd(i)).otherwise(x)))
 
 
@@ -122,6 +193,21 @@ def masked_accuracy(pred: DataFrame, labels: DataFrame, keys=("seq",)) -> DataFr
                  F.count(F.lit(1)).alias("n"))
 
 
+def masked_loss(logits: DataFrame, labels: DataFrame, keys=("seq",)) -> DataFrame:
+    """Cross-entropy of every masked position (keys, pos, loss): log-sum-exp of the scores at
+    position i minus the score of the label at i + 1 (G8), shifted by the largest score.
+
+    Only positions with a label are scored. A label without a score at its position has an
+    infinite loss. A position's scores are summed by partial aggregates, not gathered."""
+    l = labels.where(F.col("label") != -100).select(*keys, (F.col("pos") - 1).alias("pos"), "label")
+    j = logits.join(l, [*keys, "pos"])
+    top = j.groupBy(*keys, "pos", "label").agg(F.max("score").alias("top"))
+    s = j.join(top, [*keys, "pos", "label"]).groupBy(*keys, "pos", "label").agg(
+        F.first("top").alias("top"), F.sum(F.exp(F.col("score") - F.col("top"))).alias("z"),
+        F.max(F.when(F.col("token") == F.col("label"), F.col("score"))).alias("own"))
+    return s.select(*keys, "pos", F.coalesce(F.col("top") + F.log("z") - F.col("own"), F.lit(float("inf"))).alias("loss"))
+
+
 def perplexity(losses: DataFrame, col: str = "loss") -> DataFrame:
     """exp(mean loss); infinity on overflow."""
     return losses.agg(F.exp(F.avg(col)).alias("perplexity"))
