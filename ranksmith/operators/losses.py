@@ -14,10 +14,18 @@ order of j, the other passages of its rank, those of the other ranks); a batch
 bounds their size. All losses are array expressions over that one row, with
 every log-sum-exp shifted by its largest element, so nothing is joined back
 and nothing is collected.
+
+``batch_arrays`` makes the same one row per query straight from the vectors:
+the queries and passages of a batch meet in one cogrouped Arrow task, are
+multiplied in blocks, and the passages that are not a query's own enter as
+their log-sum-exp, so no row per pair exists. Every loss takes such a frame
+in place of ``scores``.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +40,81 @@ def own(scores: DataFrame) -> DataFrame:
     return scores.where((F.col("p_rank") == F.col("q_rank")) & (F.col("p_slot") == F.col("q_slot")))
 
 
+def _matrix(t: pa.Table, col: str) -> np.ndarray:
+    """The vectors of a column as a matrix; vectors of different lengths raise."""
+    a = t.column(col).combine_chunks()
+    size = set(np.unique(a.value_lengths().to_numpy(zero_copy_only=False)).tolist())
+    if len(size) > 1:
+        raise ValueError(f"vectors of different lengths in a batch: {sorted(size)}")
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, max(size, default=0))
+
+
+def _add_lse(top: np.ndarray, total: np.ndarray, s: np.ndarray, mask: np.ndarray) -> None:
+    """Add the masked scores of a block to running log-sum-exps (largest score, sum of exp(score - largest)), in place."""
+    s = np.where(mask, s, -np.inf)
+    new = np.maximum(top, s.max(axis=1, initial=-np.inf))
+    shift = np.where(np.isfinite(new), new, 0.0)
+    total *= np.exp(np.where(np.isfinite(top), top - shift, 0.0))
+    total += np.exp(s - shift[:, None]).sum(axis=1)
+    top[:] = new
+
+
+def batch_arrays(queries: DataFrame, passages: DataFrame, temperature: float = 1.0, block: int = 1024) -> DataFrame:
+    """One row per query from the vectors of whole batches (F2 inside L1-L8).
+
+    ``queries`` (batch, q_rank, q_slot, q_vec), ``passages`` (batch, p_rank, p_slot, j, p_vec). A task holds the
+    vectors of one batch, which the trainer's step bounds (ranks x slots x passages), and ``block`` x ``block`` scores.
+    Output: own ARRAY<DOUBLE> by j, and rank_rest, step_rest with the log-sum-exp of the others as only element (empty:
+    there are none). Rows with a null vector take no part; a query without own passages has no row."""
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
+    schema = (f"batch {kinds['batch']}, q_rank {kinds['q_rank']}, q_slot {kinds['q_slot']}, "
+              "own array<double>, rank_rest array<double>, step_rest array<double>")
+
+    def ints(t, *cols):
+        return [t.column(c).to_numpy().astype(np.int64) for c in cols]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, (q_rank, q_slot) = _matrix(left, "q_vec"), ints(left, "q_rank", "q_slot")
+        p, (p_rank, p_slot, j) = _matrix(right, "p_vec"), ints(right, "p_rank", "p_slot", "j")
+        n = len(q)
+        tops, totals, owns = np.full((2, n), -np.inf), np.zeros((2, n)), []
+        if n and len(p):
+            if q.shape[1] != p.shape[1]:
+                raise ValueError(f"vectors of different lengths in a batch: {q.shape[1]}, {p.shape[1]}")
+            for a in range(0, n, block):
+                for b in range(0, len(p), block):
+                    s = q[a:a + block] @ p[b:b + block].T / temperature
+                    same = q_rank[a:a + block, None] == p_rank[None, b:b + block]
+                    own = same & (q_slot[a:a + block, None] == p_slot[None, b:b + block])
+                    for k, mask in enumerate((same & ~own, ~same)):
+                        _add_lse(tops[k, a:a + block], totals[k, a:a + block], s, mask)
+                    r, c = np.nonzero(own)
+                    owns.append((r + a, j[c + b], s[r, c]))
+        row, pos, score = (np.concatenate(x) for x in zip(*owns)) if owns else (np.empty(0, np.int64),) * 3
+        order = np.lexsort((score, pos, row))
+        count = np.bincount(row, minlength=n)
+        keep = count > 0
+
+        def lists(values, sizes):
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, pa.float64()))
+
+        cols = [left.column(c).filter(pa.array(keep)) for c in Q] + [lists(score[order].astype(float), count[keep])]
+        for k in range(2):
+            some = np.isfinite(tops[k]) & keep
+            cols.append(lists(tops[k][some] + np.log(totals[k][some]), some[keep].astype(int)))
+        return pa.table(cols, names=[*Q, "own", "rank_rest", "step_rest"])
+
+    left = queries.where(F.col("q_vec").isNotNull()).select(*Q, "q_vec")
+    right = passages.where(F.col("p_vec").isNotNull()).select(
+        F.col("batch").alias("p_batch"), "p_rank", "p_slot", "j", "p_vec")  # a name of its own: both sides may come from one frame
+    return left.groupBy("batch").cogroup(right.groupBy("p_batch")).applyInArrow(run, schema)
+
+
 def query_arrays(scores: DataFrame) -> DataFrame:
-    """One row per query: own scores by j, other scores of the rank, scores of other ranks."""
+    """One row per query: own scores by j, other scores of the rank, scores of other ranks.
+    A frame that has such rows already (``batch_arrays``) is returned as it is."""
+    if "own" in scores.columns:
+        return scores
     is_rank = F.col("p_rank") == F.col("q_rank")
     is_own = is_rank & (F.col("p_slot") == F.col("q_slot"))
     a = scores.groupBy(*Q).agg(

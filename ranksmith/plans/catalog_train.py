@@ -208,18 +208,17 @@ TEMP = 0.01
 
 
 def batch_scores(spark, sf_dir):
-    """(scores, teacher, flags) of the planned batches: hashed vectors, dot / T."""
+    """(arrays, teacher, flags) of the planned batches: hashed vectors, dot / T, one row per query."""
     flat = freeze(flat_batches(spark, sf_dir), "flat")
     key = F.concat_ws("-", "dataset_id", "batch_no")
     vec = EM.hash_encode(flat.select(F.concat_ws("-", "row_id", "j").alias("tid"), "text"), "tid", "text")
     v = flat.withColumn("tid", F.concat_ws("-", "row_id", "j")).join(vec, "tid").withColumn("batch", key)
     q = v.where("j < 0").select("batch", F.col("rank").alias("q_rank"), F.col("slot").alias("q_slot"), F.col("embedding").alias("q_vec"))
     p = v.where("j >= 0").select("batch", F.col("rank").alias("p_rank"), F.col("slot").alias("p_slot"), "j", F.col("embedding").alias("p_vec"), "teacher")
-    from ..operators.search import similarity
-    scores = similarity(q, p, ["batch"], TEMP).select("batch", "q_rank", "q_slot", "p_rank", "p_slot", "j", "score")
+    arrays = LS.batch_arrays(q, p, TEMP)
     teacher = p.select("batch", F.col("p_rank").alias("rank"), F.col("p_slot").alias("slot"), "j", F.col("teacher").alias("t"))
     flags = flat.select(key.alias("batch"), (F.col("dataset_id") == 1).alias("no_in_batch")).distinct()
-    return freeze(scores, "scores"), teacher, flags
+    return freeze(arrays, "scores"), teacher, flags
 
 
 _SCORES = _FLAT + ",\n" + """ft AS (SELECT *, row_id * 100 + j + 1 AS tid FROM flat),
@@ -342,3 +341,54 @@ def q_masked_accuracy(spark, sf_dir):
 def q_perplexity(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("label") / 4).alias("loss"))
     return PT.perplexity(e).select(F.round("perplexity", 9).alias("perplexity"))
+
+
+_BYTES = O.LINES + """,
+btoks AS (SELECT idx, line, [256] || list_transform(regexp_extract_all(hex(encode(line)), '..'), lambda h: CAST(('0x' || h) AS INTEGER)) || [257] AS ids FROM lines_ix)"""
+_BYTE_BLOCKS = _BYTES + O.PACKED[O.PACKED.index(",\nrows_ AS"):].replace("FROM toks)", "FROM btoks)").replace(f"// {O.PACK_L}", "// 512").replace(f"total // {O.PACK_L}", "total // 512")
+
+
+def _byte_lines(spark, sf_dir):
+    from .catalog import indexed_lines
+    return indexed_lines(spark, sf_dir)
+
+
+@register("tokenize_lines", O.with_(_BYTES) + f"""SELECT idx, CAST(len(ids) AS INTEGER) AS n_ids, md5(array_to_string(ids, ' ')) AS ids_md5, CAST(2 AS BIGINT) AS n_special
+FROM (SELECT idx, CASE WHEN len(ids) > 64 THEN ids[1:63] || [257] ELSE ids END AS ids FROM btoks WHERE length({O.strip_sql('line')}) > 0)""")
+def q_tokenize_lines(spark, sf_dir):
+    """J2 with a tokenizer hook (J3): bytes between two special ids, at most 64 ids a line."""
+    t = PT.line_mode(_byte_lines(spark, sf_dir), 64, make_tokenizer=PT.byte_tokenizer())
+    return t.select("idx", F.size("ids").alias("n_ids"), F.md5(F.array_join("ids", " ")).alias("ids_md5"),
+                    F.size(F.filter("special", lambda x: x)).cast("long").alias("n_special"))
+
+
+_BPOS = f"""pos AS (SELECT batch_no, block_no, generate_subscripts(ids, 1) - 1 AS p, unnest(ids) AS id FROM blocks),
+draw AS (SELECT *, id < 256 AND {U('11', 'batch_no', 'block_no', "'m'", 'p')} < 0.2 AS hit, {U('11', 'batch_no', 'block_no', "'r'", 'p')} AS r,
+                {U('11', 'batch_no', 'block_no', "'v'", 'p')} AS v FROM pos)"""
+
+
+@register("mask_special", O.with_(_BYTE_BLOCKS, _BPOS) + """SELECT batch_no, block_no, CAST(count(*) FILTER (WHERE id >= 256) AS BIGINT) AS n_special,
+  md5(string_agg(CAST(CASE WHEN hit THEN 258 ELSE id END AS INTEGER), ' ' ORDER BY p)) AS full_md5,
+  md5(string_agg(CAST(CASE WHEN hit AND r < 0.8 THEN 258 WHEN hit AND r < 0.9 THEN floor(v * 256) ELSE id END AS INTEGER), ' ' ORDER BY p)) AS default_md5,
+  md5(string_agg(CAST(CASE WHEN hit THEN id ELSE -100 END AS INTEGER), ' ' ORDER BY p)) AS labels_md5
+FROM draw GROUP BY batch_no, block_no""")
+def q_mask_special(spark, sf_dir):
+    """J3, J4, J6 and J7 with special ids that no range of ids tells: only their flags keep them from the mask."""
+    b = PT.pack(PT.tokenize(_byte_lines(spark, sf_dir), PT.byte_tokenizer()), 512)
+    full = PT.mask_full(b, 0.2, 11, mask_id=258).withColumnRenamed("inputs", "full").drop("labels")
+    both = PT.mask_default(full, 0.2, 11, mask_id=258, vocab=(0, 256))
+    text = lambda c: F.md5(F.array_join(c, " "))
+    return both.select("batch_no", "block_no", F.size(F.filter("special", lambda x: x)).cast("long").alias("n_special"),
+                       text("full").alias("full_md5"), text("inputs").alias("default_md5"), text("labels").alias("labels_md5"))
+
+
+@register("masked_perplexity", O.with_(O.PACKED, _POS) + f""",
+lab AS (SELECT batch_no || '-' || block_no AS seq, p, CASE WHEN hit THEN id ELSE -100 END AS label FROM draw),
+sc AS (SELECT label, {U("'logit'", 'seq', 'p - 1', '0')} AS a, {U("'logit'", 'seq', 'p - 1', '1')} AS b, {U("'logit'", 'seq', 'p - 1', '2')} AS c
+       FROM lab WHERE p > 0 AND label <> -100)
+SELECT round(exp(avg(ln(exp(a) + exp(b) + exp(c)) - CASE label WHEN 11 THEN greatest(a, b) WHEN 12 THEN greatest(a, c) ELSE a END)), 9) AS perplexity,
+       CAST(count(*) AS BIGINT) AS n FROM sc""")
+def q_masked_perplexity(spark, sf_dir):
+    """J10 over the cross-entropy of the masked positions."""
+    loss = PT.masked_loss(*_logits(spark, sf_dir))
+    return PT.perplexity(loss).crossJoin(loss.agg(F.count(F.lit(1)).alias("n"))).select(F.round("perplexity", 9).alias("perplexity"), "n")
