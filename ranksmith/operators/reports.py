@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .corpus import ordered_index
@@ -87,6 +89,18 @@ def _norm_sf(z):
     return F.when(z >= 0, erfc / 2).otherwise(F.lit(1.0) - erfc / 2)
 
 
+def _norm_sf_series(z: Column) -> Column:
+    """1 - Phi(z) by the series erf(x) = 2 / sqrt(pi) * exp(-x^2) * sum_n 2^n x^(2n+1) / (1 * 3 * .. * (2n+1)), whose
+    terms are all positive (absolute error near 1e-15); beyond |z| = 9 the tail is 0 or 1."""
+    x = F.least(F.abs(z), F.lit(9.0)) / F.lit(2 ** 0.5)
+    start = F.struct(x.alias("term"), x.alias("total"))
+    grow = lambda acc, n: F.struct((acc["term"] * 2 * x * x / (2 * n + 1)).alias("term"),
+                                   (acc["total"] + acc["term"] * 2 * x * x / (2 * n + 1)).alias("total"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, grow, lambda acc: acc["total"])
+    erf = F.lit(2 / np.pi ** 0.5) * F.exp(-x * x) * total
+    return F.when(z >= 0, (F.lit(1.0) - erf) / 2).otherwise((F.lit(1.0) + erf) / 2)
+
+
 def wilcoxon_one_tailed(paired: DataFrame, a: str = "a", b: str = "b", key: str = "qrow") -> DataFrame:
     """K6: Wilcoxon signed-rank test that ``a`` > ``b`` on paired rows.
 
@@ -108,3 +122,119 @@ def wilcoxon_one_tailed(paired: DataFrame, a: str = "a", b: str = "b", key: str
     z = F.when(sd > 0, (F.col("w_plus") - mean) / sd).otherwise(F.lit(0.0))
     return s.select("n", F.round("w_plus", 6).alias("w_plus"), F.round(z, 6).alias("z"),
                     F.round(_norm_sf(z), 6).alias("p_value"))
+
+
+def _local_inversions(a: np.ndarray) -> int:
+    """Pairs i < j with a[i] > a[j], by merge sort: what each half holds, and what the sorted halves hold between them."""
+    n, width, total = len(a), 1, 0
+    a = a.copy()
+    while width < n:
+        for at in range(0, n - width, 2 * width):
+            left, right = a[at:at + width], a[at + width:at + 2 * width]
+            total += len(left) * len(right) - int(np.searchsorted(left, right, side="right").sum())
+            a[at:at + 2 * width] = np.sort(a[at:at + 2 * width], kind="stable")
+        width *= 2
+    return total
+
+
+def inversions(ranked: DataFrame, key: str, block: int = 4096) -> DataFrame:
+    """(key, inversions): pairs of rows of a key with pos smaller and rank larger.
+
+    ``ranked`` (key, pos, rank): two dense numberings from 0 of the rows of each key. The square of
+    positions and ranks is cut into blocks and bands of ``block`` rows. Pairs inside a block, and pairs of a
+    band from different blocks, are counted by merge sort in tasks of at most ``block`` rows; pairs that
+    differ in both by running sums over the (block, band) counts. A key may hold any number of rows."""
+    def count(of: str, other: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("pos")
+            total = _local_inversions(pdf["rank"].to_numpy())
+            if of == "band":  # pairs of one block belong to that block
+                total -= sum(_local_inversions(g["rank"].to_numpy()) for _, g in pdf.groupby(other))
+            return pd.DataFrame({"key": pdf["key"].iloc[:1], "n": [total]})
+        return run
+
+    d = ranked.select(F.col(key).alias("key"), "pos", "rank", F.floor(F.col("pos") / block).alias("block"), F.floor(F.col("rank") / block).alias("band"))
+    schema = f"key {ranked.schema[key].dataType.simpleString()}, n long"
+    near = (d.groupBy("key", "block").applyInPandas(count("block", "band"), schema)
+            .unionByName(d.groupBy("key", "band").applyInPandas(count("band", "block"), schema)))
+    cells = d.groupBy("key", "block", "band").agg(F.count(F.lit(1)).alias("c"))
+    # every cell of the square, also empty ones, so that the running sums below meet each (block, band)
+    grid = (cells.groupBy("key").agg(F.max("block").alias("last"))
+            .select("key", "last", F.explode(F.expr("sequence(0L, last)")).alias("block"))
+            .select("key", "block", F.explode(F.expr("sequence(0L, last)")).alias("band")))
+    grid = (cells.unionByName(grid.withColumn("c", F.lit(0).cast("long")))
+            .groupBy("key", "block", "band").agg(F.sum("c").alias("c")))
+    before = Window.partitionBy("key", "band").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy("key", "block").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("earlier", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    far = grid.withColumn("both", F.coalesce(F.sum("earlier").over(above), F.lit(0))).select("key", (F.col("c") * F.col("both")).alias("n"))
+    return near.unionByName(far).groupBy("key").agg(F.sum("n").cast("long").alias("inversions")).withColumnRenamed("key", key)
+
+
+def _numbered(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Add a dense 0-based number per key, in the given order, without a window over a key's rows."""
+    at, first = "_at", "_first"
+    ix = ordered_index(df, [key, *order], idx=at)
+    starts = ix.groupBy(F.col(key).alias("_k")).agg(F.min(at).alias(first))
+    return ix.join(starts, F.col(key).eqNullSafe(F.col("_k"))).withColumn(name, F.col(at) - F.col(first)).drop("_k", at, first)
+
+
+def kendall_tau_b(paired: DataFrame, key: str, va: str, vb: str, block: int = 4096) -> DataFrame:
+    """K5 with ties: Kendall tau-b of two numbers ``va``, ``vb`` per key, by inversion counting.
+
+    (concordant - discordant) / sqrt((pairs - pairs tied in va) * (pairs - pairs tied in vb)), from one
+    range sort by each number and the counts of equal values; no pair of rows is ever made, so a key may hold
+    millions of items. Rows with a null or NaN value take no part. Output (key, n, discordant, ties_a, ties_b, tau_b);
+    tau_b is null where all values of one side are equal."""
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    d = paired.where(ok(va) & ok(vb)).select(F.col(key), F.col(va).alias("va"), F.col(vb).alias("vb"))
+    # equal va stand in the order of vb, equal vb in the order of pos: a tie is no inversion
+    ranked = _numbered(_numbered(d, key, ["va", "vb"], "pos"), key, ["vb", "pos"], "rank")
+    pairs = F.col("c") * (F.col("c") - 1) / 2
+
+    def tied(cols: list[str], name: str) -> DataFrame:
+        return d.groupBy(key, *cols).agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy(F.col(key).alias("_k")).agg(F.sum(pairs).alias(name))
+
+    out = inversions(ranked.select(key, "pos", "rank"), key, block)
+    for cols, name in (([], "pairs"), (["va"], "ties_a"), (["vb"], "ties_b"), (["va", "vb"], "ties_ab")):
+        out = out.join(tied(cols, name), F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+    n = d.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+    out = out.join(n, F.col(key).eqNullSafe(F.col("_k")))
+    up = F.col("pairs") - F.col("ties_a") - F.col("ties_b") + F.col("ties_ab") - 2 * F.col("inversions")
+    below = F.sqrt(F.col("pairs") - F.col("ties_a")) * F.sqrt(F.col("pairs") - F.col("ties_b"))
+    return out.select(key, "n", F.col("inversions").alias("discordant"), F.col("ties_a").cast("long"), F.col("ties_b").cast("long"),
+                      F.when(below > 0, F.round(up / below, 6)).alias("tau_b"))
+
+
+def wilcoxon_exact(paired: DataFrame, group: str, a: str = "a", b: str = "b", exact_up_to: int = 50) -> DataFrame:
+    """K6 per group, that ``a`` > ``b``: (group, n, w_plus, p_value), by the usual two ways of the signed-rank test.
+
+    Groups of at most ``exact_up_to`` non-zero differences get the exact null distribution: doubled ranks are whole
+    numbers also for ties, and one pass over them (dynamic programming) counts the sign patterns of each sum. Larger
+    groups get the normal approximation with the variance corrected for ties. Ranks come from counts per |difference|,
+    so a group's size is not limited; zero, null and NaN differences take no part, and a group without others has n = 0
+    and p = 1."""
+    d = paired.select(F.col(group).alias("g"), (F.col(a) - F.col(b)).cast("double").alias("d")).withColumn("ad", F.abs("d"))
+    at = _numbered(d.where((F.col("d") != 0) & ~F.isnan("d")), "g", ["ad"], "pos")
+    # the rank of a tie is the number below it + (t + 1) / 2
+    tie = at.groupBy("g", "ad").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("up"), F.min("pos").alias("below")) \
+        .withColumn("r2", 2 * F.col("below") + F.col("t") + 1)
+    s = tie.groupBy("g").agg(
+        F.sum("t").alias("n"), (F.sum(F.col("r2") * F.col("up")) / 2).alias("w_plus"), F.sum(F.col("r2") * F.col("r2") * F.col("t")).alias("sq"))
+    s = d.select("g").distinct().withColumnRenamed("g", "gg").join(s, F.col("gg").eqNullSafe(F.col("g")), "left").select(
+        F.col("gg").alias("g"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), F.coalesce("sq", F.lit(0)).alias("sq"))
+    few = s.where((F.col("n") <= exact_up_to) & (F.col("n") > 0)).select(F.col("g").alias("fg"))
+    # at most exact_up_to ranks a group are gathered
+    ranks = (tie.join(few, F.col("g").eqNullSafe(F.col("fg")), "left_semi").select("g", F.explode(F.array_repeat("r2", F.col("t").cast("int"))).alias("r2"))
+             .groupBy(F.col("g").alias("rg")).agg(F.collect_list("r2").alias("r2s")))
+    out = s.join(ranks, F.col("g").eqNullSafe(F.col("rg")), "left")
+    none = F.array_repeat(F.lit(0.0), F.aggregate("r2s", F.lit(0).cast("long"), lambda x, r: x + r).cast("int"))
+    # share of the sign patterns with each sum: a rank is added (shifted) or not
+    step = lambda acc, r: F.transform(acc, lambda x, i: (x + F.when(i >= r, F.get(acc, (i - r).cast("int"))).otherwise(F.lit(0.0))) / 2)
+    dist = F.aggregate("r2s", F.concat(F.array(F.lit(1.0)), none), step)
+    at = (2 * F.col("w_plus")).cast("int")
+    exact = F.aggregate(F.slice(dist, at + 1, F.size("r2s") * (F.size("r2s") + 1) + 1), F.lit(0.0), lambda x, y: x + y)
+    n = F.col("n").cast("double")
+    z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(F.col("sq") / 16)  # sum of squared ranks / 4 = variance, ties and all
+    p = F.when(F.col("n") == 0, F.lit(1.0)).when(F.col("n") <= exact_up_to, exact).otherwise(_norm_sf_series(z))
+    return out.select(F.col("g").alias(group), F.col("n").cast("long"), F.round("w_plus", 6).alias("w_plus"), F.round(p, 6).alias("p_value"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import judge
 from ..operators.search import build_index, exact_topk
-from ..session import freeze, shared_path
+from ..session import freeze, shared_path, table
 from . import oracle as O
 from . import views as V
 from .registry import ORACLE, QUERIES, register  # noqa: F401
@@ -422,6 +422,47 @@ def q_wilcoxon(spark, sf_dir):
     return R.wilcoxon_one_tailed(a.join(b, "qrow"), "a", "b")
 
 
+@register("kendall_tau_b", """WITH d AS (SELECT doc_id, source, n_chars AS va, len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: length(w) > 0)) AS vb
+           FROM documents WHERE n_chars IS NOT NULL),
+p AS (SELECT x.source, sign(x.va - y.va) AS a, sign(x.vb - y.vb) AS b
+      FROM d x LEFT JOIN d y ON x.source IS NOT DISTINCT FROM y.source AND x.doc_id < y.doc_id),
+n AS (SELECT source, count(*) AS n FROM d GROUP BY source)
+SELECT p.source, any_value(n.n) AS n, CAST(count(*) FILTER (WHERE a * b < 0) AS BIGINT) AS discordant, CAST(count(*) FILTER (WHERE a = 0) AS BIGINT) AS ties_a,
+       CAST(count(*) FILTER (WHERE b = 0) AS BIGINT) AS ties_b,
+       round(sum(a * b) / nullif(sqrt(count(*) FILTER (WHERE a <> 0)) * sqrt(count(*) FILTER (WHERE b <> 0)), 0), 6) AS tau_b
+FROM p JOIN n ON p.source IS NOT DISTINCT FROM n.source GROUP BY p.source""")
+def q_kendall_tau_b(spark, sf_dir):
+    """K5 over items in the thousands: agreement, per source, of the orders by characters and by words."""
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: F.length(w) > 0))
+    d = table(spark, sf_dir, "documents").select("source", "n_chars", words.alias("words"))
+    return R.kendall_tau_b(d, "source", "n_chars", "words")
+
+
+@register("wilcoxon_exact", _SWEEP.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+pr AS (SELECT g, a.ndcg_z - b.ndcg_z AS d FROM perq a JOIN perq b ON a.qrow = b.qrow, (VALUES (0), (1)) x(k), LATERAL (SELECT CASE k WHEN 0 THEN 'all' ELSE a.task END AS g)
+       WHERE a.model = 'checkpoint-10' AND b.model = 'checkpoint-30' AND a.judged AND b.judged),
+rk AS (SELECT g, d, row_number() OVER (PARTITION BY g ORDER BY abs(d)) AS pos FROM pr WHERE d <> 0),
+r2 AS (SELECT g, d, pos, min(pos) OVER w + max(pos) OVER w AS r2 FROM rk WINDOW w AS (PARTITION BY g, abs(d))),
+s AS (SELECT g, count(*) AS n, sum(CASE WHEN d > 0 THEN r2 ELSE 0 END) / 2 AS w FROM r2 GROUP BY g),
+-- number of sign patterns per sum, one rank after the other
+dist AS (SELECT g, 0 AS k, 0::BIGINT AS t, 1.0::DOUBLE AS c FROM s WHERE n <= 12
+         UNION ALL SELECT d.g, any_value(d.k) + 1, d.t + x.on_ * r.r2, sum(d.c) FROM dist d JOIN r2 r ON r.g = d.g AND r.pos = d.k + 1, (VALUES (0), (1)) x(on_) GROUP BY d.g, d.t + x.on_ * r.r2),
+ex AS (SELECT s.g, sum(CASE WHEN dist.t >= 2 * s.w THEN dist.c ELSE 0 END) / sum(dist.c) AS p FROM s JOIN dist ON dist.g = s.g AND dist.k = s.n GROUP BY s.g),
+vr AS (SELECT g, n, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - (SELECT coalesce(sum(t * t * t - t), 0) FROM (SELECT count(*) AS t FROM r2 WHERE r2.g = s.g GROUP BY abs(d))) / 48.0) AS z FROM s),
+-- Simpson's rule over the density from 0 to z
+ap AS (SELECT g, 0.5 - any_value(z) / 6000 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * (z * i / 2000) * (z * i / 2000))) / sqrt(2 * pi()) AS p
+       FROM vr, range(0, 2001) q(i) WHERE n > 12 GROUP BY g)
+SELECT t.g AS task, CAST(coalesce(s.n, 0) AS BIGINT) AS n, round(coalesce(s.w, 0), 6) AS w_plus, round(coalesce(ex.p, ap.p, 1), 6) AS p_value
+FROM (SELECT DISTINCT g FROM pr) t LEFT JOIN s ON s.g = t.g LEFT JOIN ex ON ex.g = t.g LEFT JOIN ap ON ap.g = t.g""")
+def q_wilcoxon_exact(spark, sf_dir):
+    """K6 per task and over all queries: exact up to 12 differences, else with the variance corrected for ties."""
+    pq = _sweep_perq(spark, sf_dir).where(F.col("judged"))
+    a = pq.where(F.col("model") == "checkpoint-10").select("qrow", "task", F.col("ndcg_z").alias("a"))
+    b = pq.where(F.col("model") == "checkpoint-30").select("qrow", F.col("ndcg_z").alias("b"))
+    j = a.join(b, "qrow").select(F.explode(F.array(F.lit("all"), "task")).alias("task"), "a", "b")
+    return R.wilcoxon_exact(j, "task", exact_up_to=12)
+
+
 # ---- S1: streaming clean over the documents table -------------------------------------
 
 @register("stream_clean", O.with_("""lines AS (
