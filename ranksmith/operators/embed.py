@@ -13,9 +13,11 @@ from typing import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import freeze
+
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -153,10 +155,26 @@ def pool_last(states: DataFrame) -> DataFrame:
             .agg(F.max_by("state", "pos").alias("pooled")))
 
 
+def pool_mean_vector(states: DataFrame) -> DataFrame:
+    """Masked mean, one vector per text (text_id, pooled ARRAY<DOUBLE>).
+
+    States are summed as vectors with a partial sum in every task before the shuffle, so one row per text and task
+    moves, not one per token and dimension. A null component is left out of its mean (all null: null); the
+    states of one text have one length, else Spark raises."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    value = F.transform("state", lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    known = F.transform("state", lambda x: x.isNotNull().cast("double"))
+    s = (states.where((F.col("mask") == 1) & F.col("state").isNotNull()).groupBy("text_id")
+         .agg(vector_to_array(Summarizer.sum(array_to_vector(F.concat(value, known)))).alias("s")))
+    half = (F.size("s") / 2).cast("int")
+    return s.select("text_id", F.zip_with(F.slice("s", F.lit(1), half), F.slice("s", half + 1, half),
+                                          lambda v, n: F.when(n > 0, v / n)).alias("pooled"))
+
+
 def pool_mean(states: DataFrame) -> DataFrame:
-    """Masked mean per dimension, long form (text_id, dim, value)."""
-    e = states.where(F.col("mask") == 1).select("text_id", F.posexplode("state").alias("dim", "v"))
-    return e.groupBy("text_id", "dim").agg(F.avg(F.col("v").cast("double")).alias("value"))
+    """E6 in long form (text_id, dim, value); exploded after the means are made."""
+    return pool_mean_vector(states).select("text_id", F.posexplode("pooled").alias("dim", "value"))
 
 
 def embed_missing(todo: DataFrame, store: DataFrame, keys=("model", "suite", "content_md5"),
@@ -174,3 +192,81 @@ def check_embedding_count(texts: DataFrame, vectors: DataFrame, keys=("model", "
     b = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_vectors"))
     return (a.join(b, list(keys), "full_outer").fillna(0, subset=["n_texts", "n_vectors"])
             .where(F.col("n_texts") != F.col("n_vectors")))
+
+
+# ---- a vector store by hash prefix ---------------------------------------------
+
+STORE_KEYS = ("model", "suite", "content_md5")
+
+
+def _in_store(df: DataFrame, digits: int) -> DataFrame:
+    return df.withColumn("prefix", F.substring("content_md5", 1, digits))
+
+
+def write_store(vectors: DataFrame, path: str, digits: int = 2, mode: str = "append") -> None:
+    """B2 by hash prefix: (model, suite, content_md5, embedding) in folders model / suite / first ``digits`` hex digits of
+    content_md5. Rows are brought together by folder, and a large folder is spread over several tasks again."""
+    v = _in_store(vectors.select(*STORE_KEYS, F.col("embedding").cast("array<double>")), digits)
+    v.hint("rebalance", "model", "suite", "prefix").write.mode(mode).partitionBy("model", "suite", "prefix").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a store; empty where there is none yet. Folder names are read as strings, never as numbers."""
+    schema = "content_md5 string, embedding array<double>, model string, suite string, prefix string"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def touched(store: DataFrame, todo: DataFrame, digits: int = 2) -> DataFrame:
+    """The store's rows in folders that ``todo`` can hit: a filter on the folder columns, so other folders are not listed
+    or read. The folders' names pass the driver, 16 ** ``digits`` prefixes at most; models and suites are those of ``todo``,
+    compared by their prefix only when there are over 1,000 pairs of them."""
+    prefixes = [r.prefix for r in _in_store(todo, digits).select("prefix").distinct().collect()]
+    pairs = todo.select("model", "suite").distinct().limit(1001).collect()
+    out = store.where(F.col("prefix").isin([p for p in prefixes if p is not None]))
+    if len(pairs) > 1000:
+        return out
+    for c in ("model", "suite"):
+        names = {r[c] for r in pairs}
+        some = F.col(c).isin(sorted(n for n in names if n is not None))
+        out = out.where(some | F.col(c).isNull() if None in names else some)
+    return out
+
+
+def missing_in_store(todo: DataFrame, path: str, digits: int = 2, rebuild: bool = False) -> DataFrame:
+    """E7 against a store: rows of ``todo`` (model, suite, content_md5, ..) whose vector it does not have."""
+    if rebuild:
+        return todo
+    done = touched(read_store(todo.sparkSession, path), todo, digits).select(*[F.col(k).alias(f"__{k}") for k in STORE_KEYS])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in STORE_KEYS]
+    return todo.join(done, same[0] & same[1] & same[2], "left_anti")
+
+
+def embed_into_store(texts: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame], digits: int = 2) -> DataFrame:
+    """Encode the texts (model, suite, text) that the store does not have, add them, and return the
+    store's rows for ``texts``, one per (model, suite, text).
+
+    ``encode(df with content_md5, text) -> (content_md5, embedding)`` gets each text once. A null text has no vector.
+    The rows are added when all are written, so a run that was lost is repeated and finds only what others added."""
+    todo = texts.where(F.col("text").isNotNull()).select("model", "suite", F.md5("text").alias("content_md5"), "text").dropDuplicates(list(STORE_KEYS))
+    new = missing_in_store(todo, path, digits)
+    vec = encode(new.select("content_md5", "text").dropDuplicates(["content_md5"])).select(F.col("content_md5").alias("_md5"), "embedding")
+    # the store changes under the plan that reads it: end the plan before it is written
+    rows = freeze(new.select(*STORE_KEYS).join(vec, F.col("content_md5") == F.col("_md5")).drop("_md5"), "vectors")
+    if not rows.isEmpty():
+        write_store(rows, path, digits)
+    wanted = todo.select(*[F.col(k).alias(f"__{k}") for k in STORE_KEYS])
+    store = touched(read_store(texts.sparkSession, path), todo, digits)
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in STORE_KEYS]
+    return store.join(wanted, same[0] & same[1] & same[2], "left_semi").select(*STORE_KEYS, "embedding")
+
+
+def check_store(texts: DataFrame, path: str, digits: int = 2) -> DataFrame:
+    """E8 against a store: per (model, suite) of ``texts`` the number of different texts and of their vectors, where these differ."""
+    want = texts.where(F.col("text").isNotNull()).select("model", "suite", F.md5("text").alias("content_md5")).distinct()
+    lost = missing_in_store(want, path, digits).groupBy("model", "suite").agg(F.count(F.lit(1)).alias("n_lost"))
+    n = want.groupBy(F.col("model").alias("__model"), F.col("suite").alias("__suite")).agg(F.count(F.lit(1)).alias("n_texts"))
+    j = lost.join(n, F.col("model").eqNullSafe(F.col("__model")) & F.col("suite").eqNullSafe(F.col("__suite")))
+    return j.select("model", "suite", "n_texts", (F.col("n_texts") - F.col("n_lost")).alias("n_vectors"))

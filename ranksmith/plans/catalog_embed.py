@@ -57,6 +57,39 @@ def q_embed_missing(spark, sf_dir):
     return EM.embed_missing(d, d.where(F.col("doc_id") % 3 == 0)).select("doc_id")
 
 
+def _store_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit("m").alias("model"), F.col("source").alias("suite"), "text")
+
+
+def _store_encode(df):
+    return EM.hash_encode(df, "content_md5", "text", normalize=False)
+
+
+@register("store_embed", O.with_("""texts AS (SELECT DISTINCT source, text, md5(text) AS content_md5 FROM documents WHERE text IS NOT NULL),
+once AS (SELECT content_md5, any_value(text) AS text FROM texts GROUP BY content_md5)""", O.hash_feat_cte("f", "once", "content_md5", "text")) + """SELECT t.source AS suite, t.content_md5, CAST(1 AS BIGINT) AS n,
+  coalesce(v.total, 0) AS total FROM texts t LEFT JOIN (SELECT id, sum(value * (bucket + 1)) AS total FROM f GROUP BY id) v ON v.id = t.content_md5""")
+def q_store_embed(spark, sf_dir):
+    """E7 with a store by hash prefix (B2): the first run gets a third of the documents, the second all of them and
+    encodes only what is missing; one vector per suite and text."""
+    path = shared_path(spark, "vectors-by-prefix")
+    texts = _store_texts(spark, sf_dir)
+    EM.embed_into_store(texts.where(F.col("doc_id") % 3 == 0), path, _store_encode, digits=1)
+    EM.embed_into_store(texts, path, _store_encode, digits=1)
+    total = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return (EM.read_store(spark, path).groupBy("suite", "content_md5", total.alias("total")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("store_check", """SELECT source AS suite, CAST(count(DISTINCT md5(text)) AS BIGINT) AS n_texts, CAST(count(DISTINCT CASE WHEN seen THEN md5(text) END) AS BIGINT) AS n_vectors
+FROM (SELECT source, text, bool_or(doc_id % 50 <> 7) OVER (PARTITION BY source, text) AS seen FROM documents WHERE text IS NOT NULL)
+GROUP BY source HAVING count(DISTINCT md5(text)) <> count(DISTINCT CASE WHEN seen THEN md5(text) END)""")
+def q_store_check(spark, sf_dir):
+    """E8 against a store that got no texts of every fiftieth document."""
+    path = shared_path(spark, "vectors-by-prefix")
+    texts = _store_texts(spark, sf_dir)
+    EM.embed_into_store(texts.where(F.col("doc_id") % 50 != 7), path, _store_encode, digits=1)
+    return EM.check_store(texts, path, digits=1).select("suite", "n_texts", "n_vectors")
+
+
 @register("check_embedding_count", """SELECT source AS suite, CAST(count(*) AS BIGINT) AS n_texts, CAST(count(*) FILTER (WHERE doc_id % 50 <> 7) AS BIGINT) AS n_vectors
 FROM documents GROUP BY source HAVING count(*) <> count(*) FILTER (WHERE doc_id % 50 <> 7)""")
 def q_check_embedding_count(spark, sf_dir):
