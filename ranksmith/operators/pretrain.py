@@ -155,15 +155,21 @@ def _hit(blocks: DataFrame, p: float, seed: int, key_cols) -> Callable[[Column,
     return lambda x, i: (x >= N_SPECIAL) & drawn(i)
 
 
+def _masked(blocks: DataFrame, hit, changed) -> DataFrame:
+    """Columns labels and inputs: where ``hit``, the id and what it is changed to; else -100 and the id.
+    One draw per position serves both."""
+    both, = free_names(blocks, "_both")
+    b = F.transform("ids", lambda x, i: F.when(hit(x, i), F.struct(x.alias("label"), changed(x, i).alias("input")))
+                    .otherwise(F.struct(F.lit(-100).alias("label"), x.alias("input"))))
+    return (blocks.withColumn(both, b).withColumn("labels", F.col(f"{both}.label"))
+            .withColumn("inputs", F.col(f"{both}.input")).drop(both))
+
+
 def mask_full(blocks: DataFrame, p: float, seed: int, key_cols=("batch_no", "block_no"), mask_id: int = MASK_ID) -> DataFrame:
     """Every non-special id masked with chance p; input = ``mask_id`` where
     masked; label = id where masked else -100."""
     hit = _hit(blocks, p, seed, key_cols)
-    # one draw per position serves labels and inputs
-    both = F.transform("ids", lambda x, i: F.when(hit(x, i), F.struct(x.alias("label"), F.lit(mask_id).alias("input")))
-                       .otherwise(F.struct(F.lit(-100).alias("label"), x.alias("input"))))
-    return (blocks.withColumn("_both", both).withColumn("labels", F.col("_both.label"))
-            .withColumn("inputs", F.col("_both.input")).drop("_both"))
+    return _masked(blocks, hit, lambda x, i: F.lit(mask_id))
 
 
 def mask_default(blocks: DataFrame, p: float, seed: int, key_cols=("batch_no", "block_no"), mask_id: int = MASK_ID,
@@ -174,9 +180,8 @@ def mask_default(blocks: DataFrame, p: float, seed: int, key_cols=("batch_no", "
     hit = _hit(blocks, p, seed, key_cols)
     r = lambda i: u01(F.lit(seed), *keys, F.lit("r"), i)
     rnd = lambda i: (F.floor(u01(F.lit(seed), *keys, F.lit("v"), i) * vocab[1]) + vocab[0]).cast("int")
-    return blocks.withColumn("labels", F.transform("ids", lambda x, i: F.when(hit(x, i), x).otherwise(F.lit(-100)))) \
-        .withColumn("inputs", F.transform("ids", lambda x, i: F.when(hit(x, i) & (r(i) < 0.8), F.lit(mask_id))
-                                          .when(hit(x, i) & (r(i) < 0.9), rnd(i)).otherwise(x)))
+    changed = lambda x, i: F.when(r(i) < 0.8, F.lit(mask_id)).when(r(i) < 0.9, rnd(i)).otherwise(x)
+    return _masked(blocks, hit, changed)
 
 
 def argmax_token(logits: DataFrame, keys=("seq", "pos")) -> DataFrame:
