@@ -291,6 +291,7 @@ def group_scores(spark, sf_dir, temperature: float = O.TEMP):
     q = qv.select((F.col("tid") / 100).cast("long").alias("row_id"), F.col("embedding").alias("q_vec"))
     from ..operators.search import similarity
     s = similarity(q, t.withColumnRenamed("embedding", "p_vec"), on=["row_id"], temperature=temperature)
+    s = freeze(s.select("row_id", "j", "score", "teacher"), "scores")  # both frames and every loss read it
     scores = s.select(F.col("row_id").alias("batch"), F.lit(0).alias("q_rank"), F.lit(0).alias("q_slot"),
                       F.lit(0).alias("p_rank"), F.lit(0).alias("p_slot"), "j", "score")
     teacher = s.select(F.col("row_id").alias("batch"), F.lit(0).alias("rank"), F.lit(0).alias("slot"),
