@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import freeze
 from .corpus import ordered_index
 from .judge import skip_done
 
@@ -187,7 +188,8 @@ def kendall_tau_b(paired: DataFrame, key: str, va: str, vb: str, block: int = 40
     millions of items. Rows with a null or NaN value take no part. Output (key, n, discordant, ties_a, ties_b, tau_b);
     tau_b is null where all values of one side are equal."""
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    d = paired.where(ok(va) & ok(vb)).select(F.col(key), F.col(va).alias("va"), F.col(vb).alias("vb"))
+    # read by the sorts and by every tie count: made once
+    d = freeze(paired.where(ok(va) & ok(vb)).select(F.col(key), F.col(va).alias("va"), F.col(vb).alias("vb")), "paired")
     # equal va stand in the order of vb, equal vb in the order of pos: a tie is no inversion
     ranked = _numbered(_numbered(d, key, ["va", "vb"], "pos"), key, ["vb", "pos"], "rank")
     pairs = F.col("c") * (F.col("c") - 1) / 2
