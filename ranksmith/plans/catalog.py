@@ -324,7 +324,7 @@ def q_lines_split(spark, sf_dir):
 
 
 def packed(spark, sf_dir):
-    ix = indexed_lines(spark, sf_dir).withColumn("ids", PT.token_ids(PT.tokens("line")))
+    ix = PT.with_token_ids(indexed_lines(spark, sf_dir), "line")
     return PT.pack(ix, O.PACK_L, 1000)
 
 
