@@ -44,8 +44,9 @@ from pyspark.sql import functions as F
 
 from ..session import freeze
 
-#: Query vectors that are broadcast at once, and one [queries x rows] score matrix inside a task.
-ROUND_BYTES, SCORE_BLOCK_BYTES = 256 << 20, 64 << 20
+#: Query vectors that are broadcast at once, and one [queries x rows] score matrix inside a task. A Python worker holds
+#: some three of each, and the hits of the round's queries, however many queries there are.
+ROUND_BYTES, SCORE_BLOCK_BYTES = 16 << 20, 8 << 20
 #: Components of an index block, and pivots at most.
 BLOCK_CELLS, PIVOTS = 1 << 15, 1024
 
@@ -102,7 +103,8 @@ class Best:
         found = [(self.rows, self.dids, self.scores)]
         for a in range(0, len(who), step):
             w = who[a:a + step]
-            sc = np.round(self.q[w] @ mat.T, 6)
+            sc = self.q[w] @ mat.T
+            np.round(sc, 6, out=sc)
             cut = self.floor[w]
             if len(mat) > self.k:
                 cut = np.maximum(cut, np.partition(sc, len(mat) - self.k, axis=1)[:, len(mat) - self.k])
