@@ -129,7 +129,8 @@ def q_hash_features(spark, sf_dir):
 
 def text_topk(spark, sf_dir, k: int = 10, corpus=None):
     corpus = corpus if corpus is not None else corpus_txt(spark, sf_dir)
-    dv = EM.hash_encode(corpus, "idx", "passage", 64)
+    # written first: a task runs the encoder or the search, so that no core feeds two Python workers
+    dv = freeze(EM.hash_encode(corpus, "idx", "passage", 64), "text-vectors")
     qv = EM.hash_encode(q_txt_prefixed(spark, sf_dir), "qid", "query", 64)
     hits = exact_topk(qv, dv, k, qid="qid", did="idx", vec="embedding")
     return (hits.join(corpus.select(F.col("idx").alias("did"), F.col("did").alias("doc_id")), "did")
