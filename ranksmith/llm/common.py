@@ -66,7 +66,7 @@ def text_slices(batch: pa.RecordBatch, col: int, limit: int = SLICE_BYTES) -> It
         yield batch.slice(a, b - a)
 
 
-def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """ASCII-white-space words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased.
 
     Returns (codes, offsets, distinct): ``codes[offsets[i]:offsets[i + 1]]`` are
@@ -76,22 +76,26 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
-    flat = lists.flatten()
     offs = np.asarray(lists.offsets, dtype=np.int64)
     offs = offs - offs[0]
-    enc = flat.dictionary_encode()
-    codes = np.asarray(enc.indices, dtype=np.int64)
-    distinct = [x.encode() for x in enc.dictionary.to_pylist()]
-    blank = [i for i, x in enumerate(distinct) if not x]
-    if blank:
-        keep = codes != blank[0]
+    enc = lists.flatten().dictionary_encode()
+    codes, distinct = np.asarray(enc.indices, dtype=np.int64), enc.dictionary
+    blank = pc.index(distinct, "").as_py()
+    if blank >= 0:
+        keep = codes != blank
         before = np.concatenate([[0], np.cumsum(keep)])
         codes, offs = codes[keep], before[offs]
-        codes -= codes > blank[0]
-        del distinct[blank[0]]
+        codes -= codes > blank
+        distinct = pa.concat_arrays([distinct[:blank], distinct[blank + 1:]])
     return codes, offs, distinct
 
 
+def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """``word_codes`` with the distinct words as bytes."""
+    codes, offs, distinct = word_codes(texts, lower)
+    return codes, offs, [x.encode() for x in distinct.to_pylist()]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a long, b long) links -> (node, component): smallest id reachable.
 

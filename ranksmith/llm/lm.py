@@ -18,10 +18,13 @@ not put in is taken for one with probability ``ERROR`` per probe. The pairs are
 shards by their first word h (a word with very many followers to several, by the second word); a
 shard also has the counts of its h and of the words behind them as far as they are not in the head, and
 the number of followers of h; as all pairs of h are kept, r(h) = D * followers is left
-to the unigram. So a shard answers for its histories alone. Shards have
+to the unigram. So a shard answers for its histories alone. Pairs travel to their shard as
+hashes in packed runs, a row per shard and task part. Shards have
 bounded size; as many as fit ``ROUND_BYTES`` are broadcast at once and every
 round adds the terms of its own histories: the broadcast does not grow with
-the corpus, the number of rounds does.
+the corpus, the number of rounds does. A round is one buffer; its keys are probed in the order
+of the shards, level by level, in parts that fit a cache. The passes over texts take
+Arrow batches of ``BATCH_ROWS`` texts, so that neither the JVM nor a worker holds many.
 
 Model: absolute discounting, interpolated with the unigram p(w),
     p(w | h) = max(c(h, w) - D, 0) / c(h) + r(h) / c(h) * p(w),
@@ -44,14 +47,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freeze, held, text_slices, words
+from .common import freeze, held, text_slices, word_codes
 
 BASE = 1.5
 ERROR = 1 / 256
@@ -63,6 +67,10 @@ SHARD_PAIRS = 500_000
 ROUND_BYTES = 128 << 20
 #: Text whose tokens and pairs a task holds at once.
 TEXT_BYTES = 4 << 20
+#: Texts of an Arrow batch at most; keys that are probed at once, and pairs whose gains are computed at once.
+BATCH_ROWS = 1000
+PROBE_KEYS = 1 << 13
+GAIN_PAIRS = 1 << 19
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 # kinds of entries: count of a word, of a pair, number of followers of a word
@@ -89,8 +97,12 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     The last two codes are the end token and the start; the start is only a history."""
     import xxhash
-    codes, offs, distinct = words(texts)
-    h = np.array([xxhash.xxh64_intdigest(w) for w in distinct] + [int(END), int(START)], np.uint64)
+    codes, offs, distinct = word_codes(texts)
+    distinct = distinct.cast(pa.large_string())
+    _, edges, data = distinct.buffers()
+    edges = np.frombuffer(edges, np.int64)[distinct.offset:distinct.offset + len(distinct) + 1].tolist() if len(distinct) else []
+    data = memoryview(data) if data is not None else b""
+    h = np.array([xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(edges, edges[1:])] + [int(END), int(START)], np.uint64)
     n = len(texts)
     ends = offs[1:] + np.arange(n)
     out = np.full(len(codes) + n, len(h) - 2, np.int64)
@@ -188,7 +200,10 @@ def count_pairs(texts: DataFrame, head, buckets: int) -> DataFrame:
                 bucket = (pair_hash(h[a], h[b]) >> np.uint64(11)) % np.uint64(buckets)
                 out = []
                 for kind, sel in ((0, np.flatnonzero(both)), (1, np.flatnonzero(~both))):
-                    o = sel[np.lexsort((packed[sel], bucket[sel]))]
+                    if int(buckets).bit_length() + 2 * int(width) <= 64:  # one key of both
+                        o = sel[np.argsort((bucket[sel] << (width + width)) | packed[sel])]
+                    else:
+                        o = sel[np.lexsort((packed[sel], bucket[sel]))]
                     edges = np.searchsorted(bucket[o], np.arange(buckets + 1))
                     for k in range(buckets):
                         x = o[edges[k]:edges[k + 1]]
@@ -291,48 +306,71 @@ def fill(groups: list[tuple[int, np.ndarray, np.ndarray]], probes: int) -> np.nd
     return np.packbits(bits, bitorder="little")
 
 
-def read_level(data: np.ndarray, key: np.ndarray, kind: int, probes: int) -> np.ndarray:
-    """Level of each key in one shard: membership probes j = 1, 2, ... until a miss."""
-    out, live, j, size = np.zeros(len(key), np.int64), np.arange(len(key)), 0, len(data) * 8
+def read_level(data: np.ndarray, key: np.ndarray, kind: int, probes: int, first: np.ndarray | None = None,
+               size: np.ndarray | None = None) -> np.ndarray:
+    """Level of each key: membership probes j = 1, 2, ... until a miss. A key's shard are the ``size``
+    bits of ``data`` from bit ``first`` on (all of them, if not given)."""
+    out, live, j = np.zeros(len(key), np.int64), np.arange(len(key)), 0
+    first = np.zeros(len(key), np.uint64) if first is None else first
+    size = np.full(len(key), len(data) * 8, np.uint64) if size is None else size
     while len(live):
         j += 1
-        hit = np.arange(len(live))
-        with np.errstate(over="ignore"):
-            a = mix(key[live] + np.uint64((j * 8 + kind + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-            b = mix(a) | np.uint64(1)
-            for i in range(probes):  # only keys that have passed every probe so far go on
-                s = _place(a[hit] + np.uint64(i) * b[hit], size)
-                hit = hit[(data[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-                if not len(hit):
-                    break
-        live = live[hit]
+        parts = (live[i:i + PROBE_KEYS] for i in range(0, len(live), PROBE_KEYS))
+        live = np.concatenate([x[_has(data, key[x], kind, j, probes, first[x], size[x])] for x in parts])
         out[live] = j
     return out
 
 
+def _has(data: np.ndarray, key: np.ndarray, kind: int, level: int, probes: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of the keys whose entry (key, kind, level) is in; see ``_slots``."""
+    at = np.arange(len(key))
+    with np.errstate(over="ignore"):
+        a = mix(key + np.uint64((level * 8 + kind + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+        b = mix(a) | np.uint64(1)
+        hit = np.ones(len(key), bool)
+        for i in range(probes):
+            s = a >> np.uint64(32)
+            s *= size
+            s >>= np.uint64(32)
+            s += first
+            bit = data[(s >> np.uint64(3)).view(np.int64)]
+            bit >>= s.astype(np.uint8) & np.uint8(7)
+            hit &= (bit & np.uint8(1)).view(bool)
+            if i + 1 < probes and np.count_nonzero(hit) < 0.75 * len(hit):  # only keys that have passed so far go on
+                at, a, b, first, size = (x[hit] for x in (at, a, b, first, size))
+                hit = np.ones(len(at), bool)
+            a += b
+    return at[hit]
+
+
 class Round:
-    """The shards of one broadcast."""
+    """The shards of one broadcast, in one buffer: {shard: bytes} and the (shard, bits) rows."""
 
-    def __init__(self, shards: Iterator[tuple[int, bytes]]):
-        got = sorted(((i, np.frombuffer(bits, np.uint8)) for i, bits in shards), key=lambda x: x[0])
-        self.ids, self.data = np.array([i for i, _ in got], np.int64), [bits for _, bits in got]
+    def __init__(self, sizes: dict[int, int], shards: Iterator[tuple[int, bytes]]):
+        self.ids = np.array(sorted(sizes), np.int64)
+        edges = np.concatenate([[0], np.cumsum([sizes[i] for i in self.ids.tolist()])]).astype(np.int64)
+        self.first, self.size, self.data = edges[:-1], np.diff(edges), np.zeros(int(edges[-1]), np.uint8)
+        for i, bits in shards:
+            at = int(np.searchsorted(self.ids, i))
+            self.data[edges[at]:edges[at + 1]] = np.frombuffer(bits, np.uint8)
 
     def find(self, shard: np.ndarray) -> np.ndarray:
         """Place of each shard in this round, -1 if it is not here."""
         if not len(self.ids):
             return np.full(len(shard), -1)
+        if self.ids[-1] - self.ids[0] + 1 == len(self.ids):  # consecutive
+            at = shard.astype(np.int64) - self.ids[0]
+            return np.where((at >= 0) & (at < len(self.ids)), at, -1)
         at = np.minimum(np.searchsorted(self.ids, shard), len(self.ids) - 1)
         return np.where(self.ids[at] == shard, at, -1)
 
     def count(self, at: np.ndarray, key: np.ndarray, kind: int, probes: int) -> np.ndarray:
-        """Counts of the keys, each in the shard at its place; shard by shard, so that the bits stay in cache."""
-        order = np.argsort(at, kind="stable")
-        edges = np.searchsorted(at[order], np.arange(len(self.data) + 1)).tolist()
+        """Counts of the keys, each in the shard at its place; in the order of the shards, so that the bits stay in cache."""
+        order = np.argsort(at.astype(np.uint16) if len(self.ids) < 1 << 16 else at, kind="stable")
+        first, size, at = (self.first * 8).astype(np.uint64), (self.size * 8).astype(np.uint64), at[order]
         level = np.zeros(len(key), np.int64)
-        for bits, a, b in zip(self.data, edges[:-1], edges[1:]):
-            if a < b:
-                level[order[a:b]] = read_level(bits, key[order[a:b]], kind, probes)
-        return worth(level, kind)
+        level[order] = read_level(self.data, key[order], kind, probes, first[at], size[at])
+        return worth(np.arange(level.max(initial=0) + 1), kind)[level]
 
 
 @dataclass
@@ -344,15 +382,39 @@ class Dealt:
 
     def of(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         out = (mix(h) >> np.uint64(9)) % np.uint64(self.shards)
-        for x, parts in self.split.items():
-            at = np.flatnonzero(h == np.uint64(x))
-            out[at] = (out[at] + mix(w[at]) % np.uint64(parts)) % np.uint64(self.shards)
+        if self.split:
+            hot = np.array(sorted(self.split), np.uint64)
+            parts = np.array([self.split[x] for x in hot.tolist()], np.uint64)
+            i = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+            at = np.flatnonzero(hot[i] == h)
+            out[at] = (out[at] + mix(w[at]) % parts[i[at]]) % np.uint64(self.shards)
         return out.astype(np.int32)
 
     def all_of(self, h: int) -> list[int]:
         """Every shard that answers for h."""
-        first = int((mix(np.array([h], np.uint64)) >> np.uint64(9))[0] % np.uint64(self.shards))
-        return sorted({(first + i) % self.shards for i in range(self.split.get(h, 1))})
+        return sorted(self.each_of(np.array([h], np.uint64))[1].tolist())
+
+    def each_of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in h, shard) of every shard that answers for each h."""
+        parts = np.array([self.split.get(x, 1) for x in h.tolist()] if self.split else np.ones(len(h)), np.int64)
+        row = np.repeat(np.arange(len(h)), parts)
+        part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = ((mix(h) >> np.uint64(9)) % np.uint64(self.shards)).astype(np.int64)
+        return row, ((first[row] + part) % self.shards).astype(np.int32)
+
+
+def _runs(kind: int, shard: np.ndarray, a: np.ndarray, n: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """A row per shard: its keys a with their counts n, and the words w whose count c is not in the head (c > 0)."""
+    o = np.argsort(shard, kind="stable")
+    shard, a, n, w, c = shard[o], a[o], n[o], w[o], c[o]
+    edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, int)
+    out = []
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        far = x + np.flatnonzero(c[x:y] > 0)
+        out.append((int(shard[x]), kind, y - x, a[x:y].tobytes(), pack(n[x:y]), w[far].tobytes(), c[far].tobytes()))
+    types = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)],
+                                      names=["shard", "kind", "size", "a", "n", "w", "c"])
 
 
 def build_filter(pairs: DataFrame, counts: DataFrame, shard_pairs: int) -> tuple[DataFrame, Dealt]:
@@ -370,26 +432,29 @@ def build_filter(pairs: DataFrame, counts: DataFrame, shard_pairs: int) -> tuple
     deal = Dealt(shards, {r.h & (1 << 64) - 1: min(shards, 1 + 4 * r.followers // shard_pairs) for r in hot} if shards > 1 else {})
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dealt(got: list[list[np.ndarray]]) -> pa.RecordBatch:
+            h, w, n, c = (np.concatenate(x) for x in zip(*got))
+            h, w = h.view(np.uint64), w.view(np.uint64)
+            return _runs(0, deal.of(h, w), pair_hash(h, w), n, w, c)
+
+        got, size = [], 0
         for b in batches:
-            h, w = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(deal.of(h, w)), pa.array(np.zeros(len(h), np.int32)), *b.columns[:3], b.column(4)],
-                                             names=["shard", "kind", "h", "w", "n", "c"])
+            got.append([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4)])
+            size += b.num_rows
+            if size >= shard_pairs:
+                yield dealt(got)
+                got, size = [], 0
+        if got:
+            yield dealt(got)
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, followers, ch = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            rows = [(s, 1, x, 0, r, c) for x, r, c in zip(h.tolist(), followers.tolist(), ch.tolist())
-                    for s in deal.all_of(x & (1 << 64) - 1)] if deal.split else None
-            if rows is None:
-                u = h.view(np.uint64)
-                z = np.zeros(len(u), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(deal.of(u, u)), pa.array(np.ones(len(u), np.int32)), pa.array(h), pa.array(z),
-                                                  pa.array(followers), pa.array(ch)], names=["shard", "kind", "h", "w", "n", "c"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), *[pa.int64()] * 4))],
-                                                 names=["shard", "kind", "h", "w", "n", "c"])
-
-    schema = "shard int, kind int, h long, w long, n long, c long"
+            h = h.view(np.uint64)
+            row, shard = deal.each_of(h)
+            yield _runs(1, shard, h[row], followers[row], h[row], ch[row])
+
+    schema = "shard int, kind int, size long, a binary, n binary, w binary, c binary"
     rows = (known.unionByName(rare).select("h", "w", "n", "ch", "cw").mapInArrow(assign, schema)
             .unionByName(per_h.select("h", "followers", "ch").mapInArrow(totals, schema)))
 
@@ -397,23 +462,20 @@ def build_filter(pairs: DataFrame, counts: DataFrame, shard_pairs: int) -> tuple
         key, got = None, []
 
         def done() -> pa.RecordBatch:
-            kind, h, w, n, c = (np.concatenate([x[i] for x in got]) for i in range(5))
-            p, t = kind == 0, kind == 1
-            rare_w, rare_h = p & (c > 0), t & (c > 0)
-            u, first = np.unique(np.concatenate([w[rare_w], h[rare_h]]), return_index=True)
-            bits = fill([(PAIR, pair_hash(h[p], w[p]), n[p]), (LEFT, h[t], n[t]), (WORD, u, np.concatenate([c[rare_w], c[rare_h]])[first])], probes)
+            kind = np.repeat([r[0] for r in got], [len(r[1]) for r in got])
+            a, n, w, c = (np.concatenate([r[i] for r in got]) for i in range(1, 5))
+            u, first = np.unique(w, return_index=True)
+            bits = fill([(PAIR, a[kind == 0], n[kind == 0]), (LEFT, a[kind == 1], n[kind == 1]), (WORD, u, c[first])], probes)
             return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["shard", "bits"])
 
         for batch in batches:
-            s = batch.column(0).to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
-            for a, b in zip(edges[:-1], edges[1:]):
-                if s[a] != key:
+            for i in range(batch.num_rows):
+                s, kind, size, a, n, w, c = (batch.column(x)[i].as_py() for x in range(7))
+                if s != key:
                     if got:
                         yield done()
-                    key, got = int(s[a]), []
-                col = [batch.column(i).to_numpy(zero_copy_only=False)[a:b] for i in range(1, 6)]
-                got.append((col[0], col[1].view(np.uint64), col[2].view(np.uint64), col[3], col[4]))
+                    key, got = s, []
+                got.append((kind, np.frombuffer(a, np.uint64), unpack(n, size), np.frombuffer(w, np.uint64), np.frombuffer(c, np.int64)))
         if got:
             yield done()
 
@@ -441,9 +503,10 @@ def gains(bits: Round, deal: Dealt, head: Head, hashes: np.ndarray, h: np.ndarra
         c[rare] = bits.count(u // n, hashes[u % n], WORD, probes)[i]
         return c
 
-    # a history is probed once per shard
-    uh, ih = np.unique(place * n + h, return_inverse=True)
-    left = bits.count(uh // n, hashes[uh % n], LEFT, probes)
+    # a history is probed once per run of equal ones in a shard
+    run = np.concatenate([[True], (h[1:] != h[:-1]) | (place[1:] != place[:-1])])
+    ih, uh = np.cumsum(run) - 1, np.flatnonzero(run)
+    left = bits.count(place[uh], hashes[h[uh]], LEFT, probes)
     ok = np.flatnonzero(left[ih] > 0)
     at, place, h, w, left = at[ok], place[ok], h[ok], w[ok], left[ih[ok]]
     c, cw = words_of(h, place), words_of(w, place)
@@ -511,7 +574,8 @@ def _gain(bits: Round, deal: Dealt, hd: Head, codes: np.ndarray, offs: np.ndarra
     if not len(bits.ids):
         return np.zeros(len(offs) - 1)
     key, at = np.unique(pairs_of(codes, offs, len(h)), return_inverse=True)
-    return _sums(gains(bits, deal, hd, h, key // len(h), key % len(h), probes)[at], offs)
+    parts = [key[i:i + GAIN_PAIRS] for i in range(0, len(key), GAIN_PAIRS)]
+    return _sums(np.concatenate([gains(bits, deal, hd, h, x // len(h), x % len(h), probes) for x in parts])[at], offs)
 
 
 def _round(docs: DataFrame, head, bc, deal: Dealt) -> DataFrame:
@@ -528,17 +592,33 @@ def _round(docs: DataFrame, head, bc, deal: Dealt) -> DataFrame:
     return docs.select("rk", "text").mapInArrow(run, "rk long, gain double").groupBy("rk").agg(F.first("gain").alias("gain"))
 
 
+@contextmanager
+def _text_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few texts: the buffers of a batch are held by the JVM and by the worker beside a slice's arrays."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(TEXT_BYTES)}
+    old = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, bucket_pairs: int = BUCKET_PAIRS,
           shard_pairs: int = SHARD_PAIRS, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held(doc_id, 1).alias("held_out"))
     training = docs.where(~F.col("held_out")).select("text")
-    counts = freeze(count_words(training), "lm-words")
+    with _text_batches(spark):
+        counts = freeze(count_words(training), "lm-words")
     hd = read_head(counts, head)
     bc = spark.sparkContext.broadcast(hd)  # at most ``head`` words
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = freeze(count_pairs(training, bc, max(parts, -(-hd.tokens // bucket_pairs))), "lm-pairs")
+    with _text_batches(spark):
+        pairs = freeze(count_pairs(training, bc, max(parts, -(-hd.tokens // bucket_pairs))), "lm-pairs")
     filt, deal = build_filter(pairs, counts, shard_pairs)
     docs = docs.withColumn("rk", F.xxhash64("doc_id", "text"))
     rounds, size = [{}], 0
@@ -552,9 +632,10 @@ def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", h
     def sent(sizes: dict[int, int]):
         # one round's shards, ROUND_BYTES together, fetched shard by shard
         got = filt.where(F.col("shard").isin(list(sizes))).toLocalIterator()
-        return spark.sparkContext.broadcast(Round((r.shard, bytes(r.bits)) for r in got))
+        return spark.sparkContext.broadcast(Round(sizes, ((r.shard, r.bits) for r in got)))
 
-    rows = freeze(_base(docs, bc, sent(rounds[0]), deal), "lm-rows")
+    with _text_batches(spark):
+        rows = freeze(_base(docs, bc, sent(rounds[0]), deal), "lm-rows")
     scale = hd.tokens + 0.5 * (hd.kinds + 1)
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = (rows.where("kind = 1").select("rid", "w", "n").join(counts.select("w", F.col("n").alias("c")), "w", "left")
@@ -562,7 +643,8 @@ def score(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", h
                                 F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known")))
     out = rows.where("kind = 0").drop("kind", "w", "n").join(rare, "rid", "left")
     for ids in rounds[1:]:
-        g = freeze(_round(docs, bc, sent(ids), deal), "lm-round")
+        with _text_batches(spark):
+            g = freeze(_round(docs, bc, sent(ids), deal), "lm-round")
         out = (out.join(g.withColumnRenamed("gain", "g2"), "rk", "left")
                .withColumn("gain", F.col("gain") + F.coalesce("g2", F.lit(0.0))).drop("g2"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0))

@@ -210,6 +210,57 @@ def test_pairs_seen_once_are_scored(spark):
         assert r.score > r.base_score + 1 and abs(r.score - exact) < 3 * math.log10(lm.BASE)
 
 
+def test_text_passes_take_small_batches(spark, monkeypatch):
+    seen, name = {}, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, freeze = spark.conf.get(name, None), lm.freeze
+    monkeypatch.setattr(lm, "freeze", lambda df, x: seen.setdefault(x, spark.conf.get(name)) and freeze(df, x))
+    df = spark.createDataFrame([(i, f"w{i} w{i % 3} a") for i in range(60)], "doc_id long, text string")
+    assert lm.score(df, shard_pairs=20, round_bytes=100).count() == 60
+    assert {seen[x] for x in ("lm-words", "lm-pairs", "lm-rows", "lm-round")} == {str(lm.BATCH_ROWS)}
+    assert spark.conf.get(name, None) == before
+    with lm._text_batches(spark):
+        sizes = [r.n for r in df.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in it), "n long").collect()]
+        wide = spark.range(0, 5000, 1, 1).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in it), "n long")
+        assert sum(sizes) == 60 and max(r.n for r in wide.collect()) <= lm.BATCH_ROWS
+
+
+def test_pairs_travel_as_one_run_per_shard():
+    rng = np.random.default_rng(1)
+    shard, key = rng.integers(0, 9, 4000).astype(np.int32), rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    n, w, c = rng.integers(1, 50, 4000), key + np.uint64(1), rng.integers(0, 2, 4000)
+    rows = lm._runs(0, shard, key, n, w, c).to_pylist()
+    assert [r["shard"] for r in rows] == list(range(9))
+    for r in rows:
+        at = np.flatnonzero(shard == r["shard"])
+        assert np.frombuffer(r["a"], np.uint64).tolist() == key[at].tolist() and lm.unpack(r["n"], r["size"]).tolist() == n[at].tolist()
+        assert np.frombuffer(r["w"], np.uint64).tolist() == w[at][c[at] > 0].tolist() and set(np.frombuffer(r["c"], np.int64)) == {1}
+    assert lm._runs(0, shard[:0], key[:0], n[:0], w[:0], c[:0]).num_rows == 0
+
+
+def test_probes_in_one_buffer_equal_probes_of_each_shard():
+    rng = np.random.default_rng(2)
+    key = rng.integers(0, 1 << 63, 30000).astype(np.uint64)
+    n, at = np.maximum(1, rng.pareto(1.0, 30000) * 3).astype(np.int64), rng.integers(0, 7, 30000)
+    p = lm.probe_count()
+    bits = {3 * i: lm.fill([(lm.PAIR, key[at == i], n[at == i])], p) for i in range(7)}
+    other = rng.integers(0, 1 << 63, 30000).astype(np.uint64)
+    r = lm.Round({i: len(x) for i, x in bits.items()}, ((i, x.tobytes()) for i, x in bits.items()))
+    assert (r.find(3 * at) == at).all() and r.find(np.array([1, 4])).tolist() == [-1, -1]
+    for k in (key, other):
+        want = np.zeros(len(k))
+        for i in range(7):
+            # one probe after the other, as the filter is defined
+            x, level, j = k[at == i], np.zeros((at == i).sum(), int), 0
+            live = np.arange(len(x))
+            while len(live):
+                j += 1
+                is_set = np.unpackbits(bits[3 * i], bitorder="little").astype(bool)
+                live = live[np.all([is_set[s] for s in lm._slots(x[live], lm.PAIR, j, len(is_set), p)], axis=0)]
+                level[live] = j
+            want[at == i] = lm.worth(level, lm.PAIR)
+        assert r.count(at, k, lm.PAIR, p).tolist() == want.tolist()
+
+
 def test_filter_reads_back_quantised_counts():
     rng = np.random.default_rng(0)
     key = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
